@@ -139,5 +139,5 @@ def hash_uniform(keys: Sequence[str | Column], seed: int | str) -> Column:
 def hash_uniform_sql(keys: Sequence[str], seed: int | str) -> str:
     """The DuckDB / ANSI text of :func:`hash_uniform` (for oracles)."""
     inner = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return (f"(CAST(('0x' || substr(md5({inner} || '|' || '{seed}'), 1, 8)) AS BIGINT)"
-            f" / 4294967296.0)")
+    return (f"(CAST(CAST(('0x' || substr(md5({inner} || '|' || '{seed}'), 1, 8)) AS BIGINT) AS DOUBLE)"
+            f" / CAST(4294967296 AS DOUBLE))")

@@ -184,3 +184,7 @@ SELECT count(*) AS n_rows, CAST(9 AS BIGINT) AS n_columns, 'bigint, double, int,
 @register("table_shape", "A3", TABLE_SHAPE_SQL)
 def q_table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.shape(orders_with_nulls(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ further families
+from . import q_impute  # noqa: E402,F401

@@ -28,6 +28,7 @@ ORDER_NULL_MODULI = {
     "o_totalprice": 5,
     "c_mktsegment": 13,
     "o_custkey": 17,
+    "order_month": 19,
 }
 
 
@@ -60,7 +61,8 @@ def orders_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
         nulled("c_mktsegment"),
         F.col("c_nationkey"),
         F.col("n_regionkey"),
-        F.month("o_orderdate").cast(T.IntegerType()).alias("order_month"),
+        F.when(k % ORDER_NULL_MODULI["order_month"] == 0, F.lit(None))
+         .otherwise(F.month("o_orderdate")).cast(T.IntegerType()).alias("order_month"),
     )
 
 
@@ -72,7 +74,8 @@ def orders_with_nulls_sql() -> str:
     return f"""
     SELECT o_orderkey, {nulled('o_custkey')}, {nulled('o_orderstatus')}, {nulled('o_orderpriority')},
            {nulled('o_totalprice')}, {nulled('c_mktsegment')}, c_nationkey, n_regionkey,
-           CAST(month(o_orderdate) AS INTEGER) AS order_month
+           CAST(CASE WHEN o_orderkey % {ORDER_NULL_MODULI['order_month']} = 0 THEN NULL
+                     ELSE month(o_orderdate) END AS INTEGER) AS order_month
     FROM orders
     LEFT JOIN customer ON o_custkey = c_custkey
     LEFT JOIN nation ON c_nationkey = n_nationkey
