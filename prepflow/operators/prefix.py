@@ -50,16 +50,18 @@ def global_rank(df: DataFrame, bucket: Column, order: Sequence[Column], name: st
 
 
 def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column], values: Sequence[str],
-                 prefix: str = "cum_", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Inclusive running sums of ``values`` along the total order.
+                 prefix: str = "cum_", partition_by: Sequence[str] = (),
+                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Inclusive running sums of ``values`` along the total order, restarted
+    inside each ``partition_by`` group.
 
     Rows must be unique in the order (aggregate duplicates first, as the ROC
-    operator does per distinct score).
+    operator does per distinct score).  ``bucket`` as in :func:`global_rank`.
     """
     b = "__bucket"
-    with_b = df.withColumn(b, bucket)
-    off = F.broadcast(_offsets(with_b, b, values))  # <= buckets rows
-    w = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = with_b.join(off, b, "left")
+    with_b = df.withColumn(b, F.least(F.greatest(bucket, F.lit(0)), F.lit(buckets - 1)))
+    off = F.broadcast(_offsets(with_b, b, values, partition_by))  # <= partitions x buckets rows
+    w = Window.partitionBy(*partition_by, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_b.join(off, [*partition_by, b], "left")
     out = out.withColumns({f"{prefix}{v}": F.col(f"__off_{v}") + F.sum(v).over(w) for v in values})
     return out.drop(b, "__off_cnt", *[f"__off_{v}" for v in values])

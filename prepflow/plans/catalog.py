@@ -189,3 +189,4 @@ def q_table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ further families
 from . import q_impute  # noqa: E402,F401
 from . import q_analysis  # noqa: E402,F401
+from . import q_eval  # noqa: E402,F401
