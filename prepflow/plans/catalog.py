@@ -190,3 +190,4 @@ def q_table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 from . import q_impute  # noqa: E402,F401
 from . import q_analysis  # noqa: E402,F401
 from . import q_eval  # noqa: E402,F401
+from . import q_models  # noqa: E402,F401
