@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import safe_ratio
+from ..session import ensure_checkpoint_dir
 from .prefix import running_sums
 
 SCORE_BUCKETS = 256
@@ -67,31 +68,58 @@ def confusion_matrix(df: DataFrame, actual: str | Column, predicted: str | Colum
     )).alias("s")).select("s.*")
 
 
-def score_buckets(df: DataFrame, score: str, buckets: int = SCORE_BUCKETS, rel_err: float = 1e-3) -> Column:
-    """Monotone bucket id of a score, cut at approximate quantiles of its
-    distinct values (at most ``buckets`` split points on the driver)."""
-    distinct = df.select(F.col(score).cast(T.DoubleType()).alias("s")).where(F.col("s").isNotNull()).distinct()
+def score_buckets(per_score: DataFrame, score: str, buckets: int = SCORE_BUCKETS,
+                  rel_err: float = 1e-3) -> Column:
+    """Monotone bucket id of a score, cut at approximate quantiles of the
+    per-score table (at most ``buckets`` split points reach the driver)."""
     probs = [i / buckets for i in range(1, buckets)]
-    qs = sorted(set(distinct.approxQuantile("s", probs, rel_err))) if probs else []
-    b = F.lit(0)
+    qs = sorted(set(per_score.approxQuantile(score, probs, rel_err))) if probs else []
     if not qs:
-        return b
-    # binary search as a balanced CASE tree over the split points
-    def tree(lo: int, hi: int) -> Column:
+        return F.lit(0)
+
+    # binary search as a balanced CASE tree over the split points, built as
+    # one SQL expression (one JVM call instead of one per node)
+    ref = "`" + score.replace("`", "``") + "`"
+
+    def tree(lo: int, hi: int) -> str:
         if lo >= hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(score).cast(T.DoubleType()) < F.lit(qs[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(qs))
+        return (f"CASE WHEN CAST({ref} AS DOUBLE) < {float(qs[mid])!r} "
+                f"THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END")
+    return F.expr(tree(0, len(qs)))
 
 
-def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
-              buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """Per (keys, distinct score): pos, neg, and the running counts below it."""
+def per_score_counts(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
+                     predicted: str | Column | None = None) -> DataFrame:
+    """Rows reduced to one per (keys, distinct score[, predicted]) with ``pos`` / ``neg`` counts.
+
+    Materialised with a reliable ``checkpoint()`` (shared checkpoint folder):
+    the confusion cells, quantile, offset and window passes all read this
+    small table instead of recomputing the scored rows, and it survives lost
+    executors.
+    """
     a = _bool(df, actual)
-    per = (df.where(F.col(score).isNotNull()).groupBy(*keys, score)
+    extra = [_bool(df, predicted).alias("__pred")] if predicted is not None else []
+    per = (df.where(F.col(score).isNotNull())
+           .groupBy(*keys, F.col(score).cast(T.DoubleType()).alias(score), *extra)
            .agg(F.count_if(a).alias("pos"), F.count_if(~a).alias("neg")))
-    bucket = score_buckets(df, score, buckets)
+    ensure_checkpoint_dir(df.sparkSession)
+    return per.checkpoint(eager=True)
+
+
+def _collapse_predicted(per: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
+    if "__pred" not in per.columns:
+        return per
+    return per.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
+              buckets: int = SCORE_BUCKETS, per: DataFrame | None = None) -> DataFrame:
+    """Per (keys, distinct score): pos, neg, and the running counts below it."""
+    per = per if per is not None else per_score_counts(df, actual, score, keys)
+    bucket = score_buckets(per, score, buckets)  # quantiles of the materialised table
+    per = _collapse_predicted(per, score, keys)
     cum = running_sums(per, bucket, [F.col(score)], ["pos", "neg"], prefix="cum_", partition_by=keys,
                        buckets=buckets)
     return cum.withColumn("neg_below", F.col("cum_neg") - F.col("neg")) \
@@ -99,10 +127,10 @@ def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[st
 
 
 def roc_auc(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
-            buckets: int = SCORE_BUCKETS) -> DataFrame:
+            buckets: int = SCORE_BUCKETS, per: DataFrame | None = None) -> DataFrame:
     """Exact ROC-AUC with ties counted half (per ``keys``); NULL when a
     class is absent."""
-    t = roc_table(df, actual, score, keys, buckets)
+    t = roc_table(df, actual, score, keys, buckets, per)
     contrib = F.col("pos").cast(T.DoubleType()) * (F.col("neg_below") + F.col("neg") * F.lit(0.5))
     g = t.groupBy(*keys).agg(F.sum(contrib).alias("__u"), F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     return g.select(*keys, F.try_divide(F.col("__u"), F.col("__p").cast(T.DoubleType()) * F.col("__n"))
@@ -113,8 +141,9 @@ def roc_points(df: DataFrame, actual: str | Column, score: str, buckets: int = S
     """One point per distinct score used as threshold (``score >= t`` is
     positive): ``threshold, fpr, tpr``."""
     t = roc_table(df, actual, score, (), buckets)
-    tot_p = df.agg(F.count_if(_bool(df, actual))).scalar()
-    tot_n = df.agg(F.count_if(~_bool(df, actual))).scalar()
+    tot = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    tot_p = tot.select("p").scalar()
+    tot_n = tot.select("n").scalar()
     return t.select(F.col(score).cast(T.DoubleType()).alias("threshold"),
                     F.try_divide((tot_n - F.col("neg_below")).cast(T.DoubleType()), tot_n).alias("fpr"),
                     F.try_divide((tot_p - F.col("pos_below")).cast(T.DoubleType()), tot_p).alias("tpr"))
@@ -124,11 +153,22 @@ def metrics(df: DataFrame, actual: str | Column, predicted: str | Column, score:
             model: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """E1 + E3: accuracy, precision, recall, F1 (0 on zero division) and ROC-AUC
     (NULL without scores), per ``keys``; ``model`` adds a ``Model`` column."""
-    cells = confusion_cells(df, actual, predicted, keys)
+    if score is None:
+        cells = confusion_cells(df, actual, predicted, keys)
+    else:
+        # one pass over the rows: counts per (keys, score, predicted), then
+        # the cells and the AUC both come from that small table
+        per = per_score_counts(df, actual, score, keys, predicted)
+        p = F.col("__pred")
+        cells = per.groupBy(*keys).agg(
+            F.coalesce(F.sum(F.when(p, F.col("pos"))), F.lit(0)).alias("tp"),
+            F.coalesce(F.sum(F.when(p, F.col("neg"))), F.lit(0)).alias("fp"),
+            F.coalesce(F.sum(F.when(~p, F.col("pos"))), F.lit(0)).alias("fn"),
+            F.coalesce(F.sum(F.when(~p, F.col("neg"))), F.lit(0)).alias("tn"))
     out = cells.select(*keys, *_ratios(), "tp", "fp", "fn", "tn")
     if score is not None:
-        out = out.join(roc_auc(df, actual, score, keys), list(keys), "left") if keys else \
-            out.withColumn("roc_auc", roc_auc(df, actual, score).scalar())
+        auc = roc_auc(df, actual, score, keys, per=per)
+        out = out.join(auc, list(keys), "left") if keys else out.withColumn("roc_auc", auc.scalar())
     else:
         out = out.withColumn("roc_auc", F.lit(None).cast(T.DoubleType()))
     if model is not None:
