@@ -192,3 +192,4 @@ from . import q_analysis  # noqa: E402,F401
 from . import q_eval  # noqa: E402,F401
 from . import q_models  # noqa: E402,F401
 from . import q_io  # noqa: E402,F401
+from . import q_reshape  # noqa: E402,F401
