@@ -125,7 +125,7 @@ def global_mode(df: DataFrame, c: str) -> DataFrame:
     return df.agg(group_mode(c).alias(c))
 
 
-def medians_by_key(df: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
+def medians_by_key(df: DataFrame, target: str, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Exact medians of ``target`` per value of each key and overall, in one scan.
 
     ``GROUPING SETS ((k1), (k2), ..., ())``; result ``key_name, key_value,
@@ -135,7 +135,7 @@ def medians_by_key(df: DataFrame, target: str, keys: Sequence[str]) -> DataFrame
     keys = list(keys)
     sets = [[F.col(k)] for k in keys] + [[]]
     g = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(
-        F.median(target).alias("median"),
+        median_expr(target, accuracy).alias("median"),
         *[F.grouping(k).alias(f"__g{i}") for i, k in enumerate(keys)])
     name = F.lit("*")
     value = F.lit(None).cast(T.StringType())
@@ -168,9 +168,19 @@ def group_mode_fill(df: DataFrame, group: str, cols: Sequence[str], via: str = "
               .drop(*stats.keys())
 
 
-def group_median_fill(df: DataFrame, group: str, target: str, via: str = "join") -> DataFrame:
+def median_expr(target: str, accuracy: int | None = None) -> Column:
+    """Exact median (interpolated, as pandas) or, with ``accuracy``, the
+    bounded-memory ``percentile_approx`` for groups too large for the exact
+    aggregate's per-value counts."""
+    if accuracy is None:
+        return F.median(target)
+    return F.percentile_approx(F.col(target), 0.5, accuracy).cast(T.DoubleType())
+
+
+def group_median_fill(df: DataFrame, group: str, target: str, via: str = "join",
+                      accuracy: int | None = None) -> DataFrame:
     """NULLs of ``target`` take the median of their group."""
-    out = with_group_stats(df, group, {"__gmed": F.median(target)}, via=via)
+    out = with_group_stats(df, group, {"__gmed": median_expr(target, accuracy)}, via=via)
     return out.withColumn(target, F.coalesce(F.col(target), F.col("__gmed"))).drop("__gmed")
 
 
@@ -285,6 +295,7 @@ class ImputeConfig:
     seed: int = 42
     group_via: str = "join"
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
+    median_accuracy: int | None = None  # None: exact medians; else percentile_approx accuracy
 
 
 @dataclass
@@ -323,7 +334,7 @@ def _prepare(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
 def _group_stats(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
     stats: dict[str, Column] = {}
     if cfg.cascade_target and cfg.cascade_target in df.columns:
-        stats["__gmed"] = F.median(cfg.cascade_target)
+        stats["__gmed"] = median_expr(cfg.cascade_target, cfg.median_accuracy)
     mode_cols = [c for c in cfg.sample_features if c in df.columns and c not in cfg.no_group_mode]
     if cfg.zone_col and cfg.zone_col in df.columns:
         mode_cols = [cfg.zone_col] + mode_cols
@@ -352,7 +363,7 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
     medians = None
     if cfg.cascade_target and cfg.cascade_target in base.columns:
         keys = [_pre_key(k) for k in cfg.cascade_keys if _pre_key(k) in base.columns]
-        m = medians_by_key(base, cfg.cascade_target, keys)
+        m = medians_by_key(base, cfg.cascade_target, keys, cfg.median_accuracy)
         m = m.withColumn("key_name", F.regexp_replace("key_name", "^__pre_", ""))
         medians = freeze(m)
     feats = [c for c in cfg.sample_features if c in base.columns]
