@@ -52,9 +52,10 @@ PRESETS: dict[str, Preset] = {
                        early_stop_fraction=0.2),
     # leaf-wise boosting preset: 300 trees, lr 0.05, depth 7
     "lightgbm": Preset("lightgbm", "gbt", dict(maxIter=300, stepSize=0.05, maxDepth=7, seed=42)),
-    # random forest: 300 trees, depth 10, min leaf 2
+    # random forest: 300 trees, depth 10, min leaf 2 (1 GiB of node histograms
+    # per pass: many trees grow together, so fewer passes over the data)
     "random_forest": Preset("random_forest", "rf", dict(numTrees=300, maxDepth=10, minInstancesPerNode=2,
-                                                         seed=42)),
+                                                         seed=42, maxMemoryInMB=1024)),
     # support-vector classifier (linear kernel on standardised features), C = 10
     "svc": Preset("svc", "svc", dict(regParam=0.1, maxIter=100), scale=True),
     # multilayer network 128-64-32 with two outputs, early stop by tolerance
@@ -138,7 +139,15 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     elif preset.early_stop_fraction:
         data = data.withColumn("__is_val", F.rand(42) < F.lit(preset.early_stop_fraction))
     pipe = build_pipeline(preset, numeric, categorical, "label", max_iter_cap, params)
-    return pipe.fit(data)
+    # the pipeline makes several passes (one per indexer, then the model):
+    # keep only the used columns, cached for the duration of the fit
+    cols = list(dict.fromkeys([*numeric, *categorical, "label"] +
+                              (["__is_val"] if "__is_val" in data.columns else [])))
+    data = data.select(*cols).persist()
+    try:
+        return pipe.fit(data)
+    finally:
+        data.unpersist()
 
 
 def positive_probability(scored: DataFrame, model: PipelineModel) -> F.Column:
