@@ -35,7 +35,7 @@ FROM b
 """
 
 
-@register("split_composite", "C1 F1 F2 F3 F4 F5 W1 A8 P1 P2 S3", SPLIT_COMPOSITE_SQL)
+@register("split_composite", "C1 F1 F2 F3 F4 F5 W1 A8 P1 P2 P9 S3", SPLIT_COMPOSITE_SQL)
 def q_split_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = (load(spark, sf_dir, "orders")
          .select("o_orderkey", "o_orderpriority", "o_totalprice",
@@ -84,7 +84,7 @@ SELECT * FROM r3
 """
 
 
-@register("rule_cascade", "C2 C3 C4 C5 C6 P4 P6 F8 J1", RULE_CASCADE_SQL)
+@register("rule_cascade", "C2 C3 C4 C5 C6 P4 P6 P9 F8", RULE_CASCADE_SQL)
 def q_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = orders_with_nulls(spark, sf_dir)
     return fill_constant(apply_rules(v, ORDER_RULES), ["o_totalprice"], 0.0)

@@ -49,9 +49,10 @@ def _onehot_sql_cols() -> str:
 ONEHOT_SQL = f"WITH {V} SELECT o_orderkey, {_SPLIT_CASE} AS split, {_onehot_sql_cols()} FROM v"
 
 
-@register("onehot_fit_apply", "C14 J4 P10", ONEHOT_SQL)
+@register("onehot_fit_apply", "C14 C15 J4 P10", ONEHOT_SQL)
 def q_onehot_fit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _split_orders(spark, sf_dir).select("o_orderkey", "split", *CATS)
+    v = _split_orders(spark, sf_dir).select("o_orderkey", "o_custkey", "split", *CATS)
+    v = enc.passthrough_encode(v, drop=("o_custkey",))  # tree branch: the group id goes
     state = enc.onehot_fit(v.where(F.col("split") == sp.TRAIN), CATS)
     return enc.onehot_apply(v, state)
 
@@ -230,7 +231,7 @@ SELECT round(avg(CASE WHEN event_type = 'error' THEN total END), 6) AS mean_spen
 FROM t JOIN (SELECT event_id, value FROM events) USING (event_id)"""
 
 
-@register("spend_check", "R3 A11 F6", SPEND_CHECK_SQL)
+@register("spend_check", "R3 A11 F6 P7", SPEND_CHECK_SQL)
 def q_spend_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_costs(spark, sf_dir).join(load(spark, sf_dir, "events").select("event_id", "value"), "event_id")
     r = rel.spending_checks(e, COSTS, F.col("event_type") == "error", F.col("value") < 13)

@@ -59,7 +59,7 @@ register("model_svc", "M6 C18 M10 M11")(_holdout("svc"))
 register("model_mlp", "M7 C18 M10 M11")(_holdout("mlp"))
 
 
-@register("kfold_run", "M11 U2 S11 O2 E6 E7 X2")
+@register("kfold_run", "M11 U2 S10 S11 O2 E6 E7 X2")
 def q_kfold_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = mdl.run_model(doc_features(spark, sf_dir), "random_forest", DOC_NUMERIC, DOC_CATEGORICAL,
                       target="quality", key="doc_id", mode="kfold", k=5)
