@@ -95,23 +95,22 @@ def sample_fill(df: DataFrame, feature: str, dictionary: StateTable | DataFrame,
     categories.  An empty dictionary leaves the column unchanged.
     """
     dic = dictionary.df if isinstance(dictionary, StateTable) else dictionary
-    idx = _dictionary_buckets(dic.where(F.col("feature") == feature), buckets)
+    idx = _dictionary_buckets(dic.where(F.col("feature") == feature), buckets).select(
+        F.col("bucket").alias("__ib"), F.col("value").alias("__iv"), F.col("cum_lo").alias("__ilo"),
+        F.col("cum_hi").alias("__ihi"), F.col("total").alias("__itot"))
     n_idx = (dictionary.n_rows * 3 + buckets) if isinstance(dictionary, StateTable) else None
     if n_idx is not None and n_idx <= max_broadcast_rows:
         idx = F.broadcast(idx)
-    u_col, b_col = f"__u_{feature}", f"__b_{feature}"
-    u = hash_uniform(row_key, fill_seed(seed))
-    probe = df.withColumn(u_col, F.when(F.col(feature).isNull(), u)) \
-              .withColumn(b_col, F.floor(F.col(u_col) * F.lit(buckets)).cast("long"))
-    i = idx.select(F.col("bucket").alias("__ib"), F.col("value").alias("__iv"),
-                   F.col("cum_lo").alias("__ilo"), F.col("cum_hi").alias("__ihi"),
-                   F.col("total").alias("__itot"))
-    r = F.floor(F.col(u_col) * F.col("__itot"))
-    joined = probe.join(i, (F.col(b_col) == F.col("__ib")) & (r >= F.col("__ilo")) & (r < F.col("__ihi")),
+    # three transformations of the (possibly large) input plan: draw, join, replace
+    u = F.when(F.col(feature).isNull(), hash_uniform(row_key, fill_seed(seed)))
+    probe = df.select("*", u.alias("__u"))
+    probe = probe.select("*", F.floor(F.col("__u") * F.lit(buckets)).cast("long").alias("__b"))
+    r = F.floor(F.col("__u") * F.col("__itot"))
+    joined = probe.join(idx, (F.col("__b") == F.col("__ib")) & (r >= F.col("__ilo")) & (r < F.col("__ihi")),
                         "left")
     dtype = df.schema[feature].dataType
-    filled = F.coalesce(F.col(feature), F.col("__iv").cast(dtype))
-    return joined.withColumn(feature, filled).drop(u_col, b_col, "__ib", "__iv", "__ilo", "__ihi", "__itot")
+    return joined.select(*[F.coalesce(F.col(c), F.col("__iv").cast(dtype)).alias(c) if c == feature
+                           else F.col(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------------- A5-A7
