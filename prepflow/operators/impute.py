@@ -27,42 +27,47 @@ from pyspark.sql import types as T
 
 from ..functions.columns import hash_uniform, normalise_bool, split_part
 from .groups import with_group_stats
+from .prefix import running_sums
 from .rules import Rule, apply_rules, fill_constant, homeplanet_rules, passenger_pre_rules
 from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, freeze
 
 RANGE_BUCKETS = 1024  # u-buckets per feature for the dictionary range lookup
 
 
+DICT_SEED = "dict"  # seed of the hash that orders dictionary categories
+
+
 def fill_seed(seed: int) -> str:
     """Seed namespace of the sampling draws (independent of the split draws)."""
     return f"fill:{seed}"
 
 
 # ---------------------------------------------------------------------- A4
-def frequency_dictionary(df: DataFrame, features: Sequence[str]) -> DataFrame:
+DICT_BUCKETS = 1024  # hash buckets that order a feature's categories
+
+
+def frequency_dictionary(df: DataFrame, features: Sequence[str], buckets: int = DICT_BUCKETS) -> DataFrame:
     """A4: relative frequencies of the non-null values of each feature.
 
-    Columns ``feature, value, n, total, rel_freq, cum_lo, cum_hi``; within a
-    feature the values are ordered by ``(n desc, value asc)`` and ``[cum_lo,
-    cum_hi)`` are their integer slots in ``[0, total)`` used by the sampler.
-    Values are compared as strings.  One scan; ``groupBy(feature, value)``
-    de-duplicates map-side, the ordering window runs per feature over
-    distinct values only.
+    Columns ``feature, value, n, total, rel_freq, cum_lo, cum_hi``.  Values
+    are compared as strings.  ``[cum_lo, cum_hi)`` are the value's integer
+    slots in ``[0, total)`` used by the sampler; categories are laid out in
+    the order ``(hash bucket of the value, n desc, value)``, so the running
+    sums are bucketed prefix sums (``prefix.py``) and no task ever holds all
+    categories of a feature, whatever its cardinality.  One scan;
+    ``groupBy(feature, value)`` de-duplicates map-side.
     """
-    from pyspark.sql import Window
-
     long = (df.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast(T.StringType()).alias("value"))
         for f in features])).alias("s")).select("s.*").where(F.col("value").isNotNull()))
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w_all = Window.partitionBy("feature")
-    w_cum = w_all.orderBy(F.desc("n"), F.asc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    return (counts
-            .withColumn("total", F.sum("n").over(w_all))
-            .withColumn("cum_hi", F.sum("n").over(w_cum))
-            .select("feature", "value", "n", "total",
-                    (F.col("n") / F.col("total")).alias("rel_freq"),
-                    (F.col("cum_hi") - F.col("n")).alias("cum_lo"), "cum_hi"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))  # one row per feature
+    bucket = F.floor(hash_uniform(["value"], DICT_SEED) * F.lit(buckets)).cast("long")
+    cum = running_sums(counts, bucket, [F.desc("n"), F.asc("value")], ["n"], prefix="cum_",
+                       partition_by=["feature"], buckets=buckets)
+    return (cum.join(F.broadcast(totals), "feature")
+               .select("feature", "value", "n", "total", (F.col("n") / F.col("total")).alias("rel_freq"),
+                       (F.col("cum_n") - F.col("n")).alias("cum_lo"), F.col("cum_n").alias("cum_hi")))
 
 
 def _dictionary_buckets(dictionary: DataFrame, buckets: int = RANGE_BUCKETS) -> DataFrame:

@@ -20,16 +20,18 @@ def group_mode(src: str, keys: Sequence[str], col: str, alias: str) -> str:
       FROM {src} WHERE {nn} AND {col} IS NOT NULL GROUP BY {k}, {col}) WHERE __rn = 1)"""
 
 
-def frequency_dictionary(src: str, features: Sequence[str]) -> str:
-    """Subquery with feature, value, n, total, rel_freq, cum_lo, cum_hi."""
+def frequency_dictionary(src: str, features: Sequence[str], buckets: int = 1024) -> str:
+    """Subquery with feature, value, n, total, rel_freq, cum_lo, cum_hi; slots
+    ordered by (hash bucket of the value, n desc, value)."""
     long = " UNION ALL ".join(
         f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS value FROM {src} WHERE {f} IS NOT NULL"
         for f in features)
+    bucket = f"floor({u('value', 'dict')} * {buckets})"
     return f"""(SELECT feature, value, n, total, CAST(n AS DOUBLE) / total AS rel_freq,
               cum_hi - n AS cum_lo, cum_hi FROM (
       SELECT feature, value, n,
              CAST(sum(n) OVER (PARTITION BY feature) AS BIGINT) AS total,
-             CAST(sum(n) OVER (PARTITION BY feature ORDER BY n DESC, value ASC
+             CAST(sum(n) OVER (PARTITION BY feature ORDER BY {bucket}, n DESC, value ASC
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_hi
       FROM (SELECT feature, value, count(*) AS n FROM ({long}) GROUP BY feature, value)))"""
 
