@@ -110,8 +110,8 @@ def write_splits(df: DataFrame, path: str, by: Sequence[str] = ("split",), fmt:
 
 
 def write_dictionaries(dictionary: DataFrame, path: str) -> None:
-    """Frequency dictionaries as JSON lines (tiny: one file)."""
-    dictionary.coalesce(1).write.mode("overwrite").json(path)
+    """Frequency dictionaries as JSON lines."""
+    dictionary.write.mode("overwrite").json(path)
 
 
 def discover_folds(spark: SparkSession, path: str, fold_col: str = "fold", split_col: str = "split") -> DataFrame:
