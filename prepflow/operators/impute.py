@@ -247,7 +247,7 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
     stages.append(RandomForestClassifier(featuresCol="__zone_x", labelCol="__zone_y",
                                          predictionCol="__zone_pred", numTrees=cfg.num_trees,
                                          maxDepth=cfg.max_depth, seed=cfg.seed,
-                                         maxMemoryInMB=1024))
+                                         maxMemoryInMB=1024, cacheNodeIds=True))
     return Pipeline(stages=stages).fit(train)
 
 
