@@ -16,8 +16,14 @@ from pyspark.sql import types as T
 TWO_POW_32 = 4294967296.0
 
 
+def q(name: str) -> Column:
+    """Column by its exact name: dots, spaces and backticks are taken literally
+    (one-hot outputs such as ``Destination_PSO J318.5-22`` contain dots)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def col_(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return q(c) if isinstance(c, str) else c
 
 
 # ---------------------------------------------------------------- splitting

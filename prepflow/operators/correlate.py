@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import q
 from .encode import onehot_apply, onehot_fit
 from .reshape import columns_of_kind
 
@@ -23,9 +24,9 @@ BANDS = ((0.15, "strong"), (0.05, "medium"))  # fixed thresholds of the target-c
 
 
 def _pair_exprs(a: str, b: str, i: int):
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = F.when(both, F.col(a).cast(T.DoubleType()))
-    y = F.when(both, F.col(b).cast(T.DoubleType()))
+    both = q(a).isNotNull() & q(b).isNotNull()
+    x = F.when(both, q(a).cast(T.DoubleType()))
+    y = F.when(both, q(b).cast(T.DoubleType()))
     return [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"sa{i}"), F.stddev_pop(y).alias(f"sb{i}")]
 
 
@@ -43,7 +44,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[
         one = df.agg(*exprs)
         rows = one.select(F.explode(F.array(*[
             F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                     F.try_divide(F.col(f"c{i}"), F.col(f"sa{i}") * F.col(f"sb{i}")).alias("corr"))
+                     F.try_divide(q(f"c{i}"), q(f"sa{i}") * q(f"sb{i}")).alias("corr"))
             for i, (a, b) in enumerate(chunk)])).alias("s")).select("s.*")
         parts.append(rows)
     out = parts[0]
@@ -67,7 +68,7 @@ def encode_for_correlation(df: DataFrame, text_cols: Sequence[str] | None = None
     no column), then every numeric column."""
     text_cols = list(text_cols) if text_cols is not None else columns_of_kind(df, "string")
     bool_cols = list(bool_cols) if bool_cols is not None else columns_of_kind(df, "boolean")
-    out = df.withColumns({c: F.col(c).cast(T.IntegerType()) for c in bool_cols}) if bool_cols else df
+    out = df.withColumns({c: q(c).cast(T.IntegerType()) for c in bool_cols}) if bool_cols else df
     if text_cols:
         out = onehot_apply(out, onehot_fit(out, text_cols, null_label=None), dtype=T.IntegerType())
     return out, columns_of_kind(out, "number")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import q
 from .reshape import drop_existing
 
 DEFAULT_MAX_CATEGORIES = 1000
@@ -38,7 +39,7 @@ class OneHotState:
 
 
 def _labels(c: str, null_label: str | None) -> Column:
-    s = F.col(c).cast(T.StringType())
+    s = q(c).cast(T.StringType())
     return F.coalesce(s, F.lit(null_label)) if null_label is not None else s
 
 
@@ -82,7 +83,7 @@ def onehot_apply(df: DataFrame, state: OneHotState, drop_columns: Sequence[str]
             if name in drop_columns:
                 continue
             new_cols.append(F.when(lab == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).cast(dtype).alias(name))
-    rest = [F.col(c) for c in df.columns if c not in state.columns]
+    rest = [q(c) for c in df.columns if c not in state.columns]
     return df.select(*rest, *new_cols)
 
 
@@ -90,16 +91,16 @@ def dummy_encode(train: DataFrame, test: DataFrame | None, cols: Sequence[str],
                  max_categories: int = DEFAULT_MAX_CATEGORIES) -> tuple[DataFrame, DataFrame | None, OneHotState]:
     """Dummies with the first category dropped, categories from train+test
     (union only for the fit), every output column cast to double."""
-    both = train.select(*[c for c in cols if c in train.columns])
+    both = train.select(*[q(c) for c in cols if c in train.columns])
     if test is not None:
-        both = both.unionByName(test.select(*[c for c in cols if c in test.columns]))
+        both = both.unionByName(test.select(*[q(c) for c in cols if c in test.columns]))
     state = onehot_fit(both, cols, null_label=None, drop_first=True, max_categories=max_categories)
 
     def enc(d: DataFrame) -> DataFrame:
         out = onehot_apply(d, state)
         num = [f.name for f in out.schema.fields
                if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
-        return out.withColumns({c: F.col(c).cast(T.DoubleType()) for c in num})
+        return out.withColumns({c: q(c).cast(T.DoubleType()) for c in num})
 
     return enc(train), (enc(test) if test is not None else None), state
 
@@ -134,9 +135,9 @@ def ordinal_apply(df: DataFrame, state: OrdinalState, suffix: str = "", unknown:
         cats = state.categories[c]
         m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))]) if cats else None
         unk = F.lit(float(len(cats)) if unknown is None else unknown)
-        code = F.coalesce(F.element_at(m, F.col(c).cast(T.StringType())) if m is not None else F.lit(None), unk) \
+        code = F.coalesce(F.element_at(m, q(c).cast(T.StringType())) if m is not None else F.lit(None), unk) \
             if cats else unk
-        cols[f"{c}{suffix}"] = F.when(F.col(c).isNull(), unk).otherwise(code).cast(T.DoubleType())
+        cols[f"{c}{suffix}"] = F.when(q(c).isNull(), unk).otherwise(code).cast(T.DoubleType())
     return df.withColumns(cols)
 
 
@@ -159,8 +160,8 @@ def standard_fit(df: DataFrame, cols: Sequence[str]) -> ScalerState:
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return ScalerState({}, {})
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return ScalerState({c: row[f"m{i}"] for i, c in enumerate(cols)},
                        {c: row[f"s{i}"] for i, c in enumerate(cols)})
 
@@ -172,6 +173,6 @@ def standard_apply(df: DataFrame, state: ScalerState) -> DataFrame:
         if c not in df.columns or m is None:
             continue
         s = state.stds[c] or 0.0
-        centred = F.col(c).cast(T.DoubleType()) - F.lit(m)
+        centred = q(c).cast(T.DoubleType()) - F.lit(m)
         cols[c] = centred / F.lit(s) if s > 0 else centred
     return df.withColumns(cols) if cols else df

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import safe_ratio
+from ..functions.columns import q, safe_ratio
 from ..session import ensure_checkpoint_dir
 from .prefix import running_sums
 
@@ -35,15 +35,15 @@ def _bool(df: DataFrame, c: str | Column) -> Column:
         return c
     dtype = df.schema[c].dataType
     if isinstance(dtype, T.BooleanType):
-        return F.col(c)
+        return q(c)
     if isinstance(dtype, T.StringType):
-        return F.lower(F.col(c)) == F.lit("true")
-    return F.col(c).cast(T.DoubleType()) > 0.5 if isinstance(dtype, (T.FloatType, T.DoubleType)) \
-        else F.col(c) != 0
+        return F.lower(q(c)) == F.lit("true")
+    return q(c).cast(T.DoubleType()) > 0.5 if isinstance(dtype, (T.FloatType, T.DoubleType)) \
+        else q(c) != 0
 
 
 def _ratios() -> list[Column]:
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    tp, fp, fn, tn = (q(x) for x in ("tp", "fp", "fn", "tn"))
     precision = safe_ratio(tp, tp + fp)
     recall = safe_ratio(tp, tp + fn)
     return [safe_ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), precision.alias("precision"),
@@ -101,8 +101,8 @@ def per_score_counts(df: DataFrame, actual: str | Column, score: str, keys: Sequ
     """
     a = _bool(df, actual)
     extra = [_bool(df, predicted).alias("__pred")] if predicted is not None else []
-    per = (df.where(F.col(score).isNotNull())
-           .groupBy(*keys, F.col(score).cast(T.DoubleType()).alias(score), *extra)
+    per = (df.where(q(score).isNotNull())
+           .groupBy(*keys, q(score).cast(T.DoubleType()).alias(score), *extra)
            .agg(F.count_if(a).alias("pos"), F.count_if(~a).alias("neg")))
     ensure_checkpoint_dir(df.sparkSession)
     return per.checkpoint(eager=True)
@@ -120,7 +120,7 @@ def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[st
     per = per if per is not None else per_score_counts(df, actual, score, keys)
     bucket = score_buckets(per, score, buckets)  # quantiles of the materialised table
     per = _collapse_predicted(per, score, keys)
-    cum = running_sums(per, bucket, [F.col(score)], ["pos", "neg"], prefix="cum_", partition_by=keys,
+    cum = running_sums(per, bucket, [q(score)], ["pos", "neg"], prefix="cum_", partition_by=keys,
                        buckets=buckets)
     return cum.withColumn("neg_below", F.col("cum_neg") - F.col("neg")) \
               .withColumn("pos_below", F.col("cum_pos") - F.col("pos"))
@@ -144,7 +144,7 @@ def roc_points(df: DataFrame, actual: str | Column, score: str, buckets: int = S
     tot = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     tot_p = tot.select("p").scalar()
     tot_n = tot.select("n").scalar()
-    return t.select(F.col(score).cast(T.DoubleType()).alias("threshold"),
+    return t.select(q(score).cast(T.DoubleType()).alias("threshold"),
                     F.try_divide((tot_n - F.col("neg_below")).cast(T.DoubleType()), tot_n).alias("fpr"),
                     F.try_divide((tot_p - F.col("pos_below")).cast(T.DoubleType()), tot_p).alias("tpr"))
 
@@ -179,7 +179,7 @@ def metrics(df: DataFrame, actual: str | Column, predicted: str | Column, score:
 def class_report(df: DataFrame, actual: str | Column, predicted: str | Column) -> DataFrame:
     """E5: per class ``precision, recall, f1, support``."""
     c = confusion_cells(df, actual, predicted)
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    tp, fp, fn, tn = (q(x) for x in ("tp", "fp", "fn", "tn"))
 
     def row(label: bool, t, f_pos, f_neg):
         p, r = safe_ratio(t, t + f_pos), safe_ratio(t, t + f_neg)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bin_fixed, flag, row_sum, split_part, split_parts, to_double
+from ..functions.columns import bin_fixed, flag, q, row_sum, split_part, split_parts, to_double
 from .groups import group_size
 from .reshape import drop_existing, reorder
 
@@ -113,6 +113,6 @@ def spend_features(df: DataFrame, config: SpendConfig = SpendConfig()) -> DataFr
         if lux:
             cols[config.luxury_col] = flag(row_sum(lux) > 0)
     if config.size_col in df.columns:
-        cols[config.alone_col] = flag(F.col(config.size_col) == 1)
+        cols[config.alone_col] = flag(q(config.size_col) == 1)
     out = df.withColumns(cols) if cols else df
     return drop_existing(out, config.drop)

@@ -20,6 +20,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import q
+
 STAT_PREFIX = "__gs_"
 
 
@@ -34,13 +36,13 @@ def with_group_stats(df: DataFrame, key: str, stats: Mapping[str, Column],
         return df
     if via == "window":
         w = Window.partitionBy(key)
-        cols = {name: F.when(F.col(key).isNotNull(), agg.over(w)) for name, agg in stats.items()}
+        cols = {name: F.when(q(key).isNotNull(), agg.over(w)) for name, agg in stats.items()}
         return df.withColumns(cols)
     if via != "join":
         raise ValueError(f"unknown strategy {via!r}")
     tmp_key = STAT_PREFIX + key
-    agg_df = (df.where(F.col(key).isNotNull())
-              .groupBy(F.col(key).alias(tmp_key))
+    agg_df = (df.where(q(key).isNotNull())
+              .groupBy(q(key).alias(tmp_key))
               .agg(*[agg.alias(name) for name, agg in stats.items()]))
     out = df.join(agg_df, df[key] == agg_df[tmp_key], "left").drop(tmp_key)
     return out
@@ -48,4 +50,4 @@ def with_group_stats(df: DataFrame, key: str, stats: Mapping[str, Column],
 
 def group_size(df: DataFrame, key: str, name: str = "GroupSize", via: str = "join") -> DataFrame:
     """Number of non-null keys in the row's group."""
-    return with_group_stats(df, key, {name: F.count(F.col(key))}, via=via)
+    return with_group_stats(df, key, {name: F.count(q(key))}, via=via)

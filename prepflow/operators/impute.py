@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import hash_uniform, normalise_bool, split_part
+from ..functions.columns import hash_uniform, normalise_bool, q, split_part
 from .groups import with_group_stats
 from .prefix import running_sums
 from .rules import Rule, apply_rules, fill_constant, homeplanet_rules, passenger_pre_rules
@@ -58,7 +58,7 @@ def frequency_dictionary(df: DataFrame, features: Sequence[str], buckets: int =
     ``groupBy(feature, value)`` de-duplicates map-side.
     """
     long = (df.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast(T.StringType()).alias("value"))
+        F.struct(F.lit(f).alias("feature"), q(f).cast(T.StringType()).alias("value"))
         for f in features])).alias("s")).select("s.*").where(F.col("value").isNotNull()))
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))  # one row per feature
@@ -107,21 +107,21 @@ def sample_fill(df: DataFrame, feature: str, dictionary: StateTable | DataFrame,
     if n_idx is not None and n_idx <= max_broadcast_rows:
         idx = F.broadcast(idx)
     # three transformations of the (possibly large) input plan: draw, join, replace
-    u = F.when(F.col(feature).isNull(), hash_uniform(row_key, fill_seed(seed)))
+    u = F.when(q(feature).isNull(), hash_uniform(row_key, fill_seed(seed)))
     probe = df.select("*", u.alias("__u"))
     probe = probe.select("*", F.floor(F.col("__u") * F.lit(buckets)).cast("long").alias("__b"))
     r = F.floor(F.col("__u") * F.col("__itot"))
     joined = probe.join(idx, (F.col("__b") == F.col("__ib")) & (r >= F.col("__ilo")) & (r < F.col("__ihi")),
                         "left")
     dtype = df.schema[feature].dataType
-    return joined.select(*[F.coalesce(F.col(c), F.col("__iv").cast(dtype)).alias(c) if c == feature
-                           else F.col(c) for c in df.columns])
+    return joined.select(*[F.coalesce(q(c), F.col("__iv").cast(dtype)).alias(c) if c == feature
+                           else q(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------------- A5-A7
 def group_mode(c: str) -> Column:
     """A5: most frequent non-null value, the smallest one on ties."""
-    return F.mode(F.col(c), True)
+    return F.mode(q(c), True)
 
 
 def global_mode(df: DataFrame, c: str) -> DataFrame:
@@ -137,16 +137,16 @@ def medians_by_key(df: DataFrame, target: str, keys: Sequence[str], accuracy: in
     median is NULL (all targets NULL) are dropped, as in the reference.
     """
     keys = list(keys)
-    sets = [[F.col(k)] for k in keys] + [[]]
-    g = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(
+    sets = [[q(k)] for k in keys] + [[]]
+    g = df.groupingSets(sets, *[q(k) for k in keys]).agg(
         median_expr(target, accuracy).alias("median"),
         *[F.grouping(k).alias(f"__g{i}") for i, k in enumerate(keys)])
     name = F.lit("*")
     value = F.lit(None).cast(T.StringType())
     for i, k in reversed(list(enumerate(keys))):
-        is_k = F.col(f"__g{i}") == 0
+        is_k = q(f"__g{i}") == 0
         name = F.when(is_k, F.lit(k)).otherwise(name)
-        value = F.when(is_k, F.col(k).cast(T.StringType())).otherwise(value)
+        value = F.when(is_k, q(k).cast(T.StringType())).otherwise(value)
     out = g.select(name.alias("key_name"), value.alias("key_value"), "median")
     return out.where(F.col("median").isNotNull() &
                      ((F.col("key_name") == "*") | F.col("key_value").isNotNull()))
@@ -157,9 +157,9 @@ def resolve_group(df: DataFrame, group_col: str, id_col: str | None, id_sep: str
                   out: str = "__group") -> DataFrame:
     """The group key: ``group_col`` if present, else the id prefix, else error."""
     if group_col in df.columns:
-        return df.withColumn(out, F.col(group_col))
+        return df.withColumn(out, q(group_col))
     if id_col and id_col in df.columns:
-        return df.withColumn(out, split_part(F.col(id_col).cast(T.StringType()), id_sep, 0))
+        return df.withColumn(out, split_part(q(id_col).cast(T.StringType()), id_sep, 0))
     raise ValueError(f"no group column: neither {group_col!r} nor {id_col!r} present")
 
 
@@ -168,7 +168,7 @@ def group_mode_fill(df: DataFrame, group: str, cols: Sequence[str], via: str = "
     """NULLs take the mode of their group (singleton groups are unchanged)."""
     stats = {f"__mode_{c}": group_mode(c) for c in cols}
     out = with_group_stats(df, group, stats, via=via)
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__mode_{c}")) for c in cols}) \
+    return out.withColumns({c: F.coalesce(q(c), q(f"__mode_{c}")) for c in cols}) \
               .drop(*stats.keys())
 
 
@@ -178,14 +178,14 @@ def median_expr(target: str, accuracy: int | None = None) -> Column:
     aggregate's per-value counts."""
     if accuracy is None:
         return F.median(target)
-    return F.percentile_approx(F.col(target), 0.5, accuracy).cast(T.DoubleType())
+    return F.percentile_approx(q(target), 0.5, accuracy).cast(T.DoubleType())
 
 
 def group_median_fill(df: DataFrame, group: str, target: str, via: str = "join",
                       accuracy: int | None = None) -> DataFrame:
     """NULLs of ``target`` take the median of their group."""
     out = with_group_stats(df, group, {"__gmed": median_expr(target, accuracy)}, via=via)
-    return out.withColumn(target, F.coalesce(F.col(target), F.col("__gmed"))).drop("__gmed")
+    return out.withColumn(target, F.coalesce(q(target), F.col("__gmed"))).drop("__gmed")
 
 
 def lookup_medians(df: DataFrame, target: str, medians: StateTable, keys: Sequence[str],
@@ -205,11 +205,11 @@ def lookup_medians(df: DataFrame, target: str, medians: StateTable, keys: Sequen
         alias = f"__med{i}"
         m = med.where(F.col("key_name") == k).select(
             F.col("key_value").alias(f"__kv{i}"), F.col("median").alias(alias))
-        out = out.join(m, F.col(kc).cast(T.StringType()) == F.col(f"__kv{i}"), "left").drop(f"__kv{i}")
+        out = out.join(m, q(kc).cast(T.StringType()) == q(f"__kv{i}"), "left").drop(f"__kv{i}")
         fills.append(alias)
     # the global median is one value: a scalar subquery, evaluated once
     glob = medians.df.where(F.col("key_name") == "*").agg(F.first("median")).scalar()
-    out = out.withColumn(target, F.coalesce(F.col(target), *[F.col(a) for a in fills], glob))
+    out = out.withColumn(target, F.coalesce(q(target), *[q(a) for a in fills], glob))
     return out.drop(*fills)
 
 
@@ -233,11 +233,11 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     preds = list(cfg.predictors)
-    cond = F.col(target).isNotNull()
+    cond = q(target).isNotNull()
     for p in preds:
-        cond = cond & F.col(p).isNotNull()
-    train = df.where(cond).select(*[F.col(p).cast(T.StringType()).alias(p) for p in preds],
-                                  F.col(target).cast(T.StringType()).alias("__zone_label"))
+        cond = cond & q(p).isNotNull()
+    train = df.where(cond).select(*[q(p).cast(T.StringType()).alias(p) for p in preds],
+                                  q(target).cast(T.StringType()).alias("__zone_label"))
     if train.limit(1).count() == 0:
         return None
     stages = [StringIndexer(inputCol=p, outputCol=f"__ix_{p}", stringOrderType="alphabetAsc",
@@ -258,13 +258,13 @@ def apply_zone_model(df: DataFrame, target: str, model, cfg: ZoneModelConfig) ->
     from pyspark.ml.feature import IndexToString
 
     preds = list(cfg.predictors)
-    ok = F.col(target).isNull()
+    ok = q(target).isNull()
     for p in preds:
-        ok = ok & F.col(p).isNotNull()
+        ok = ok & q(p).isNotNull()
     labels = model.stages[len(preds)].labels
     scored_in = df.withColumn("__zone_row", ok) \
-                  .withColumns({f"__src_{p}": F.col(p) for p in preds}) \
-                  .withColumns({p: F.col(p).cast(T.StringType()) for p in preds}) \
+                  .withColumns({f"__src_{p}": q(p) for p in preds}) \
+                  .withColumns({p: q(p).cast(T.StringType()) for p in preds}) \
                   .withColumn("__zone_label", F.lit(None).cast(T.StringType()))
     # the label indexer is not needed at scoring time: run the other stages
     from pyspark.ml import PipelineModel
@@ -273,9 +273,9 @@ def apply_zone_model(df: DataFrame, target: str, model, cfg: ZoneModelConfig) ->
     scored = IndexToString(inputCol="__zone_pred", outputCol="__zone_value", labels=labels).transform(scored)
     dtype = df.schema[target].dataType
     out = scored.withColumn(target, F.when(F.col("__zone_row"), F.col("__zone_value").cast(dtype))
-                            .otherwise(F.col(target)))
-    out = out.withColumns({p: F.col(f"__src_{p}") for p in preds})
-    return out.select(*df.columns)
+                            .otherwise(q(target)))
+    out = out.withColumns({p: q(f"__src_{p}") for p in preds})
+    return out.select(*[q(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------------- C12
@@ -329,7 +329,7 @@ def _prepare(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
     out = resolve_group(out, cfg.group_col, cfg.id_col, cfg.id_sep, GROUP)
     keys = [k for k in cfg.cascade_keys if k in out.columns]
     if keys:
-        out = out.withColumns({_pre_key(k): F.col(k) for k in keys})
+        out = out.withColumns({_pre_key(k): q(k) for k in keys})
     if cfg.post_rules is not None:
         out = apply_rules(out, cfg.post_rules(out))
     return out
@@ -351,9 +351,9 @@ def _group_stats(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
 def _fill_from_group(df: DataFrame, cfg: ImputeConfig, state: ImputeState) -> DataFrame:
     out = df
     if "__gmed" in out.columns:
-        out = out.withColumn(cfg.cascade_target, F.coalesce(F.col(cfg.cascade_target), F.col("__gmed")))
+        out = out.withColumn(cfg.cascade_target, F.coalesce(q(cfg.cascade_target), F.col("__gmed")))
     modes = [c[len("__mode_"):] for c in out.columns if c.startswith("__mode_")]
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__mode_{c}")) for c in modes})
+    out = out.withColumns({c: F.coalesce(q(c), q(f"__mode_{c}")) for c in modes})
     return out
 
 
@@ -375,7 +375,7 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
     zone_model, zone_mode = None, None
     if cfg.zone_col and cfg.zone_col in base.columns:
         grouped = _fill_from_group(_group_stats(base, cfg), cfg, ImputeState(None, None, None, None))
-        if cfg.zone_model is not None and grouped.where(F.col(cfg.zone_col).isNull()).limit(1).count() > 0:
+        if cfg.zone_model is not None and grouped.where(q(cfg.zone_col).isNull()).limit(1).count() > 0:
             zone_model = fit_zone_model(grouped, cfg.zone_col, cfg.zone_model)
             grouped = apply_zone_model(grouped, cfg.zone_col, zone_model, cfg.zone_model)
         row = grouped.agg(group_mode(cfg.zone_col).alias("m")).first()
@@ -391,7 +391,7 @@ def apply(df: DataFrame, state: ImputeState, cfg: ImputeConfig = ImputeConfig(),
     # cascade target: group median, then fitted medians by (pre-rule) key, then global
     tgt = cfg.cascade_target
     if tgt and tgt in out.columns:
-        out = out.withColumn(tgt, F.coalesce(F.col(tgt), F.col("__gmed")))
+        out = out.withColumn(tgt, F.coalesce(q(tgt), F.col("__gmed")))
         if state.medians is not None:
             keys = [k for k in cfg.cascade_keys if _pre_key(k) in out.columns]
             out = lookup_medians(out, tgt, state.medians, keys, [_pre_key(k) for k in keys],
@@ -399,17 +399,17 @@ def apply(df: DataFrame, state: ImputeState, cfg: ImputeConfig = ImputeConfig(),
     # zone: group mode -> model -> train mode
     z = cfg.zone_col
     if z and z in out.columns:
-        out = out.withColumn(z, F.coalesce(F.col(z), F.col(f"__mode_{z}")))
+        out = out.withColumn(z, F.coalesce(q(z), q(f"__mode_{z}")))
         if state.zone_model is not None and cfg.zone_model is not None:
             out = apply_zone_model(out, z, state.zone_model, cfg.zone_model)
         if state.zone_mode is not None:
-            out = out.withColumn(z, F.coalesce(F.col(z), F.lit(state.zone_mode).cast(out.schema[z].dataType)))
+            out = out.withColumn(z, F.coalesce(q(z), F.lit(state.zone_mode).cast(out.schema[z].dataType)))
     # categorical features: group mode (except the listed ones), then sampling
     for i, f in enumerate(cfg.sample_features):
         if f not in out.columns:
             continue
         if f"__mode_{f}" in out.columns:
-            out = out.withColumn(f, F.coalesce(F.col(f), F.col(f"__mode_{f}")))
+            out = out.withColumn(f, F.coalesce(q(f), q(f"__mode_{f}")))
         if state.dictionaries is not None:
             out = sample_fill(out, f, state.dictionaries, list(cfg.row_key), cfg.seed + i,
                               max_broadcast_rows=cfg.max_broadcast_rows)

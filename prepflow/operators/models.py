@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import q
 from . import evaluate as ev
 from . import split as sp
 from .encode import ordinal_indexers
@@ -109,9 +110,19 @@ def build_pipeline(preset: Preset, numeric: Sequence[str], categorical: Sequence
                    label: str = "label", max_iter_cap: int | None = DEFAULT_MAX_ITER_CAP,
                    params: dict | None = None) -> Pipeline:
     """P3 + C17 + C18 + classifier, as one Spark ML pipeline."""
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    stages = list(ordinal_indexers(categorical, "__idx"))
-    inputs = list(numeric) + [f"{c}__idx" for c in categorical]
+    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+    # first stage: safe internal names for every feature (ML stages do not
+    # accept names with dots, which one-hot outputs can carry); being a stage,
+    # it is saved with the model and applied again at scoring time
+    num_alias = [f"__n{i}" for i in range(len(numeric))]
+    cat_alias = [f"__c{i}" for i in range(len(categorical))]
+
+    def quoted(c: str) -> str:
+        return "`" + c.replace("`", "``") + "`"
+    renames = ", ".join(f"{quoted(c)} AS {a}" for c, a in zip([*numeric, *categorical], [*num_alias, *cat_alias]))
+    stages = [SQLTransformer(statement=f"SELECT *{', ' + renames if renames else ''} FROM __THIS__")]
+    stages += list(ordinal_indexers(cat_alias, "__idx"))
+    inputs = num_alias + [f"{c}__idx" for c in cat_alias]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__features_raw", handleInvalid="keep"))
     feats = "__features_raw"
     if preset.scale:
@@ -123,8 +134,8 @@ def build_pipeline(preset: Preset, numeric: Sequence[str], categorical: Sequence
 
 def _with_label(df: DataFrame, target: str, label: str = "label") -> DataFrame:
     dtype = df.schema[target].dataType
-    y = F.col(target).cast(T.DoubleType()) if not isinstance(dtype, T.StringType) \
-        else (F.lower(F.col(target)) == "true").cast(T.DoubleType())
+    y = q(target).cast(T.DoubleType()) if not isinstance(dtype, T.StringType) \
+        else (F.lower(q(target)) == "true").cast(T.DoubleType())
     return df.withColumn(label, y)
 
 
@@ -145,7 +156,7 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     # keep only the used columns, cached for the duration of the fit
     cols = list(dict.fromkeys([*numeric, *categorical, "label"] +
                               (["__is_val"] if "__is_val" in data.columns else [])))
-    data = data.select(*cols).persist()
+    data = data.select(*[q(c) for c in cols]).persist()
     try:
         return pipe.fit(data)
     finally:
@@ -168,7 +179,7 @@ def score(model: PipelineModel, df: DataFrame, key: str | Sequence[str], target:
     keys = [key] if isinstance(key, str) else list(key)
     out = model.transform(df)
     prob = positive_probability(out, model)
-    cols = [*[F.col(k) for k in keys], (prob > threshold).alias("prediction"), prob.alias("probability")]
+    cols = [*[q(k) for k in keys], (prob > threshold).alias("prediction"), prob.alias("probability")]
     if target is not None and target in df.columns:
         cols.append(_actual(df, target).alias("actual"))
     return out.select(*cols)
@@ -177,8 +188,8 @@ def score(model: PipelineModel, df: DataFrame, key: str | Sequence[str], target:
 def _actual(df: DataFrame, target: str) -> F.Column:
     """The label as a boolean (P12 coercion for text labels)."""
     if isinstance(df.schema[target].dataType, T.StringType):
-        return F.lower(F.col(target)) == "true"
-    return F.col(target).cast(T.DoubleType()) > 0.5
+        return F.lower(q(target)) == "true"
+    return q(target).cast(T.DoubleType()) > 0.5
 
 
 @dataclass

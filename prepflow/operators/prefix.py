@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import q
+
 DEFAULT_BUCKETS = 1 << 18  # ~4M rows per window task at 10^12 rows; offsets table of a few MB
 
 
@@ -63,5 +65,5 @@ def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column], values:
     off = F.broadcast(_offsets(with_b, b, values, partition_by))  # <= partitions x buckets rows
     w = Window.partitionBy(*partition_by, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = with_b.join(off, [*partition_by, b], "left")
-    out = out.withColumns({f"{prefix}{v}": F.col(f"__off_{v}") + F.sum(v).over(w) for v in values})
+    out = out.withColumns({f"{prefix}{v}": q(f"__off_{v}") + F.sum(v).over(w) for v in values})
     return out.drop(b, "__off_cnt", *[f"__off_{v}" for v in values])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import pct
+from ..functions.columns import pct, q
 
 # Fixed value: label of the "no column missing" combination in the report.
 NO_MISSING_LABEL = "NESSUNA"
@@ -32,7 +32,7 @@ def _row_count(df: DataFrame):
 
 
 def _unpivot_one_row(row_df: DataFrame, names: Sequence[str], prefix: str, value_name: str) -> DataFrame:
-    return row_df.unpivot([], [F.col(f"{prefix}{i}").alias(n) for i, n in enumerate(names)],
+    return row_df.unpivot([], [q(f"{prefix}{i}").alias(n) for i, n in enumerate(names)],
                           "column", value_name)
 
 
@@ -44,10 +44,10 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
     """
     cols = _cols(df, cols)
     aggs = [F.count(F.lit(1)).alias("__n")] + [
-        F.count_if(F.col(c).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)]
+        F.count_if(q(c).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
     stacked = (one.select("__n", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"__m{i}").alias("n_missing"))
+        F.struct(F.lit(c).alias("column"), q(f"__m{i}").alias("n_missing"))
         for i, c in enumerate(cols)])).alias("s"))
         .select(F.col("s.column").alias("column"), F.col("s.n_missing").alias("n_missing"), "__n"))
     out = stacked.select(
@@ -62,7 +62,7 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
 def missing_per_row(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Q2: number of rows by how many of ``cols`` are NULL in them."""
     cols = _cols(df, cols)
-    k = sum((F.col(c).isNull().cast(T.IntegerType()) for c in cols), F.lit(0))
+    k = sum((q(c).isNull().cast(T.IntegerType()) for c in cols), F.lit(0))
     g = df.groupBy(k.alias("n_missing")).agg(F.count(F.lit(1)).alias("n_rows"))
     total = _row_count(df)
     return g.select("n_missing", "n_rows", pct(F.col("n_rows"), total).alias("pct_rows")).orderBy("n_missing")
@@ -71,7 +71,7 @@ def missing_per_row(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def missing_combinations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Q3: frequency of each set of NULL columns, ``A | B`` in column order."""
     cols = _cols(df, cols)
-    combo = F.concat_ws(COMBO_SEPARATOR, *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
+    combo = F.concat_ws(COMBO_SEPARATOR, *[F.when(q(c).isNull(), F.lit(c)) for c in cols])
     label = F.when(combo == "", F.lit(NO_MISSING_LABEL)).otherwise(combo)
     g = df.groupBy(label.alias("missing_columns")).agg(F.count(F.lit(1)).alias("n_rows"))
     return (g.select("missing_columns", "n_rows", pct(F.col("n_rows"), _row_count(df)).alias("pct_rows"))
@@ -86,11 +86,11 @@ def co_missing(df: DataFrame, cols: Sequence[str] | None = None, wide: bool = Fa
     """
     cols = _cols(df, cols)
     pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.bool_or(F.col(a).isNull() & F.col(b).isNull()).alias(f"__p{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [F.bool_or(q(a).isNull() & q(b).isNull()).alias(f"__p{i}") for i, (a, b) in enumerate(pairs)]
     one = df.agg(*aggs)
     long = (one.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                 F.coalesce(F.col(f"__p{i}"), F.lit(False)).alias("both_missing"))
+                 F.coalesce(q(f"__p{i}"), F.lit(False)).alias("both_missing"))
         for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*"))
     if not wide:
         return long
@@ -107,16 +107,16 @@ def column_overview(df: DataFrame, cols: Sequence[str] | None = None, exact_dist
     """
     cols = _cols(df, cols)
     dtypes = dict(df.dtypes)
-    distinct = (lambda c: F.count_distinct(F.col(c))) if exact_distinct else \
-        (lambda c: F.approx_count_distinct(F.col(c), rsd))
+    distinct = (lambda c: F.count_distinct(q(c))) if exact_distinct else \
+        (lambda c: F.approx_count_distinct(q(c), rsd))
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"__m{i}"))
+        aggs.append(F.count_if(q(c).isNull()).alias(f"__m{i}"))
         aggs.append(distinct(c).alias(f"__d{i}"))
     one = df.agg(*aggs)
     rows = one.select("__n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(dtypes[c]).alias("dtype"),
-                 F.col(f"__m{i}").alias("missing_count"), F.col(f"__d{i}").alias("unique_non_null_values"))
+                 q(f"__m{i}").alias("missing_count"), q(f"__d{i}").alias("unique_non_null_values"))
         for i, c in enumerate(cols)])).alias("s"))
     return rows.select(
         F.col("s.feature").alias("feature"), F.col("s.dtype").alias("dtype"),
@@ -140,7 +140,7 @@ def distinct_preview(df: DataFrame, cols: Sequence[str] | None = None, preview:
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_distinct long, preview string")
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast(T.StringType()).alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), q(c).cast(T.StringType()).alias("value")) for c in cols
     ])).alias("s")).select("s.*").where(F.col("value").isNotNull())
     distinct = long.distinct()
     counts = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -162,7 +162,7 @@ def shape(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame, cols: Sequence[str] | None = None, top: int = 20) -> dict[str, DataFrame]:
     """Q6: the text summary as DataFrames (shape, per column, per row, top combinations)."""
     return {
-        "shape": shape(df.select(*_cols(df, cols))),
+        "shape": shape(df.select(*[q(c) for c in _cols(df, cols)])),
         "missing_per_column": null_counts(df, cols),
         "missing_per_row": missing_per_row(df, cols),
         "top_combinations": missing_combinations(df, cols).limit(top),

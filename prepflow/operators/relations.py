@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import row_sum, safe_ratio
+from ..functions.columns import q, row_sum, safe_ratio
 from .encode import DEFAULT_MAX_CATEGORIES
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of each observed ``(a, b)`` pair, both non-null."""
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count()
+    return df.where(q(a).isNotNull() & q(b).isNotNull()).groupBy(a, b).count()
 
 
 def exclusion_rules(df: DataFrame, cols: Sequence[str], max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
@@ -43,9 +43,9 @@ def exclusion_rules(df: DataFrame, cols: Sequence[str], max_categories: int = DE
         return df.sparkSession.createDataFrame(
             [], "column_a string, value_a string, column_b string, value_b string")
     obs = df.select(F.explode(F.array(*[
-        F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
-               F.struct(F.lit(i).alias("pair"), F.col(a).cast(T.StringType()).alias("va"),
-                        F.col(b).cast(T.StringType()).alias("vb")))
+        F.when(q(a).isNotNull() & q(b).isNotNull(),
+               F.struct(F.lit(i).alias("pair"), q(a).cast(T.StringType()).alias("va"),
+                        q(b).cast(T.StringType()).alias("vb")))
         for i, (a, b) in enumerate(pairs)])).alias("s")).where(F.col("s").isNotNull()).select("s.*").distinct()
     dom_b = obs.groupBy("pair").agg(F.collect_set("vb").alias("dom_b"),
                                     F.count_distinct("va").alias("n_a"))
@@ -75,15 +75,15 @@ def cohesion(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     for g, targets in by_group.items():
         stats = []
         for i, t in enumerate(targets):
-            x = F.col(t).cast(T.StringType())
+            x = q(t).cast(T.StringType())
             stats += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        per_group = df.where(F.col(g).isNotNull()).groupBy(g).agg(*stats)
+        per_group = df.where(q(g).isNotNull()).groupBy(g).agg(*stats)
         summary = per_group.agg(*[e for i in range(len(targets)) for e in (
-            F.count_if(F.col(f"n{i}") > 1).alias(f"g{i}"),
-            F.count_if((F.col(f"n{i}") > 1) & (F.col(f"lo{i}") == F.col(f"hi{i}"))).alias(f"p{i}"))])
+            F.count_if(q(f"n{i}") > 1).alias(f"g{i}"),
+            F.count_if((q(f"n{i}") > 1) & (q(f"lo{i}") == q(f"hi{i}"))).alias(f"p{i}"))])
         parts.append(summary.select(F.explode(F.array(*[
             F.struct(F.lit(g).alias("group_col"), F.lit(t).alias("target_col"),
-                     F.col(f"g{i}").alias("n_groups"), F.col(f"p{i}").alias("n_pure"))
+                     q(f"g{i}").alias("n_groups"), q(f"p{i}").alias("n_pure"))
             for i, t in enumerate(targets)])).alias("s")).select("s.*"))
     out = parts[0]
     for p in parts[1:]:
@@ -94,7 +94,7 @@ def cohesion(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def multi_member_rows(df: DataFrame, group: str) -> DataFrame:
     """Rows whose group has more than one member (semi-join on the
     pre-aggregated group sizes)."""
-    big = df.where(F.col(group).isNotNull()).groupBy(group).count().where(F.col("count") > 1).select(group)
+    big = df.where(q(group).isNotNull()).groupBy(group).count().where(F.col("count") > 1).select(group)
     return df.join(big, group, "left_semi")
 
 

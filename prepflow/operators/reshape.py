@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import q
+
 
 def drop_existing(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Drop columns, ignoring those that are absent."""
@@ -24,7 +26,7 @@ def reorder(df: DataFrame, first: Sequence[str] = (), last: Sequence[str] = ())
     start = [c for c in first if c in df.columns]
     end = [c for c in last if c in df.columns and c not in start]
     middle = [c for c in df.columns if c not in start and c not in end]
-    return df.select(*(start + middle + end))
+    return df.select(*[q(c) for c in start + middle + end])
 
 
 def require_columns(df: DataFrame, cols: Iterable[str], what: str = "operator") -> None:
@@ -64,7 +66,7 @@ def align_columns(df: DataFrame, reference_cols: Sequence[str], fill: float = 0.
     Columns missing in ``df`` are filled with ``fill`` (double); extra
     columns are dropped.
     """
-    return df.select(*[F.col(c) if c in df.columns else F.lit(fill).cast(T.DoubleType()).alias(c)
+    return df.select(*[q(c) if c in df.columns else F.lit(fill).cast(T.DoubleType()).alias(c)
                        for c in reference_cols])
 
 
@@ -97,10 +99,10 @@ def argmax(df: DataFrame, value: str, tiebreak: str, keys: Sequence[str] = ()) -
     partial results.
     """
     others = [c for c in df.columns if c not in keys]
-    order_key = F.struct(F.col(value), (-F.col(tiebreak)).alias("neg_tb")) \
+    order_key = F.struct(q(value), (-q(tiebreak)).alias("neg_tb")) \
         if isinstance(df.schema[tiebreak].dataType, T.NumericType) else \
-        F.struct(F.col(value), F.col(tiebreak))
-    packed = F.struct(*[F.col(c) for c in others])
+        F.struct(q(value), q(tiebreak))
+    packed = F.struct(*[q(c) for c in others])
     agg = F.max_by(packed, order_key).alias("__best")
     grouped = df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
     return grouped.select(*keys, "__best.*")

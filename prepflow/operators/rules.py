@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import row_sum
+from ..functions.columns import q, row_sum
 
 Condition = Callable[[DataFrame], Column] | str
 
@@ -43,7 +43,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for r in rules:
         if not r.applicable(out):
             continue
-        tgt = F.col(r.target)
+        tgt = q(r.target)
         value = F.lit(r.value).cast(out.schema[r.target].dataType)
         out = out.withColumn(r.target, F.when(tgt.isNull() & F.coalesce(r.cond(out), F.lit(False)), value)
                              .otherwise(tgt))

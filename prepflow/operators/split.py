@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_uniform
+from ..functions.columns import hash_uniform, q
 from .prefix import DEFAULT_BUCKETS, global_rank
 
 TRAIN, TEST = "train", "test"
@@ -37,7 +37,7 @@ def _rank_by_u(df: DataFrame, keys: Sequence[str], seed: int, partition_by: Sequ
                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     u = _u(keys, split_seed(seed))
     with_u = df.withColumn("__u", u)
-    order = [F.col("__u")] + [F.col(k) for k in keys]
+    order = [F.col("__u")] + [q(k) for k in keys]
     return global_rank(with_u, F.floor(F.col("__u") * buckets).cast("long"), order, "__rank",
                        partition_by=partition_by, buckets=buckets)
 
@@ -85,4 +85,4 @@ def stratified_kfold(df: DataFrame, row_key: Sequence[str] | str, label: str, k:
 
 def fold_frames(df: DataFrame, fold: int, col: str = "fold") -> tuple[DataFrame, DataFrame]:
     """(train, test) views of one fold; filters, no copies."""
-    return df.where(F.col(col) != fold), df.where(F.col(col) == fold)
+    return df.where(q(col) != fold), df.where(q(col) == fold)

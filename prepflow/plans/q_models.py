@@ -106,3 +106,31 @@ def q_random_forest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr, te, _ = imp.fit_apply(v.where(F.col("split") == sp.TRAIN), v.where(F.col("split") == sp.TEST), cfg)
     return tr.unionByName(te).select("split", "o_orderkey", "order_month", "o_orderstatus",
                                      "o_orderpriority", "c_mktsegment")
+
+
+# ------------------------------------------------------------------ end to end (3.1 + 3.2)
+from . import pipeline as pl  # noqa: E402
+from .tables import passengers  # noqa: E402
+
+
+@register("passenger_prepare", "C1 C2 C3 C4 C5 C6 C7 C8 C9 C10 C11 C12 C13 C14 C15 X1 P11")
+def q_passenger_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's preparation flow (holdout mode) on the passenger view:
+    composite split, rules, fit-on-train imputation with the zone forest,
+    derived features, one-hot branch."""
+    return pl.prepare(passengers(spark, sf_dir), mode="holdout").nn
+
+
+@register("passenger_model", "M1 M11 E1 E3 E8 S12")
+def q_passenger_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared tree branch -> boosted trees on the train split -> metrics row
+    on the test split (the reference's holdout model run)."""
+    tree = pl.prepare(passengers(spark, sf_dir), mode="holdout").tree
+    num, cat = pl.model_frame(tree)
+    train = tree.where(F.col("split") == sp.TRAIN)
+    test = tree.where(F.col("split") == sp.TEST)
+    m = mdl.train(train, "xgboost", num, cat, target="Transported", key="PassengerId")
+    scored = mdl.score(m, test, "PassengerId", "Transported")
+    from ..operators import evaluate as ev
+    return ev.metrics(scored, "actual", "prediction", "probability", model="xgboost").select(
+        *ev.LEADERBOARD_COLUMNS)

@@ -98,3 +98,61 @@ def event_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_costs_sql() -> str:
     cols = ", ".join(f"CASE WHEN event_type = '{t}' THEN value END AS cost_{t}" for t in EVENT_TYPES)
     return f"SELECT event_id, user_id, event_type, {cols} FROM events"
+
+
+# ------------------------------------------------------------ passenger-shaped view
+# Fixed mapping of driver values onto the passenger schema's domains.
+SEGMENT_TO_PLANET = {"AUTOMOBILE": "Earth", "BUILDING": "Earth", "FURNITURE": "Europa",
+                     "HOUSEHOLD": "Mars", "MACHINERY": "Mars"}
+PRIORITY_TO_DESTINATION = {"1-URGENT": "55 Cancri e", "2-HIGH": "PSO J318.5-22", "3-MEDIUM": "TRAPPIST-1e",
+                           "4-NOT SPECIFIED": "TRAPPIST-1e", "5-LOW": "TRAPPIST-1e"}
+DECKS = "ABCDEFGT"
+
+
+def passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw passenger schema derived from orders, customer, nation and the
+    order's line items (costs), one passenger per order, grouped by customer.
+
+    Every field is a deterministic function of the source rows; each field
+    but the id and the label is NULL when the order key is divisible by its
+    own modulus.  The five costs come from one ``groupBy(l_orderkey)`` of
+    lineitem (map-side partial sums) joined to orders.
+    """
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                             "o_orderpriority")
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal",
+                                               "c_mktsegment")
+    li = load(spark, sf_dir, "lineitem")
+    rev = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    costs = li.groupBy("l_orderkey").agg(
+        F.sum(F.when(F.col("l_returnflag") == "R", rev).otherwise(0.0)).alias("RoomService"),
+        F.sum(F.when(F.col("l_returnflag") == "A", rev).otherwise(0.0)).alias("FoodCourt"),
+        F.sum(F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), rev)
+              .otherwise(0.0)).alias("ShoppingMall"),
+        F.sum(F.when(F.col("l_quantity") > 40, rev).otherwise(0.0)).alias("Spa"),
+        F.sum(F.when(F.col("l_discount") >= 0.09, rev).otherwise(0.0)).alias("VRDeck"))
+    j = (o.join(c, o.o_custkey == c.c_custkey, "left")
+          .join(costs, o.o_orderkey == costs.l_orderkey, "left"))
+    k = F.col("o_orderkey")
+
+    def nulled(expr, m: int):
+        return F.when(k % m == 0, F.lit(None)).otherwise(expr)
+
+    planet = F.create_map(*[F.lit(x) for kv in SEGMENT_TO_PLANET.items() for x in kv])
+    dest = F.create_map(*[F.lit(x) for kv in PRIORITY_TO_DESTINATION.items() for x in kv])
+    deck = F.substring(F.lit(DECKS), (F.col("c_nationkey") % len(DECKS) + 1).cast("int"), 1)
+    cabin = F.concat_ws("/", deck, (k % 1900).cast("string"), F.when(k % 2 == 0, "P").otherwise("S"))
+    return j.select(
+        F.concat_ws("_", F.lpad(F.col("o_custkey").cast("string"), 6, "0"),
+                    F.lpad(k.cast("string"), 8, "0")).alias("PassengerId"),
+        nulled(F.element_at(planet, F.col("c_mktsegment")), 41).alias("HomePlanet"),
+        nulled(F.col("o_orderstatus") == "F", 37).cast("boolean").alias("CryoSleep"),
+        nulled(cabin, 43).alias("Cabin"),
+        nulled(F.element_at(dest, F.col("o_orderpriority")), 47).alias("Destination"),
+        nulled(F.abs(F.col("c_acctbal")) % 79 + 1, 53).cast("double").alias("Age"),
+        nulled(F.col("o_totalprice") > 400000, 59).cast("boolean").alias("VIP"),
+        *[nulled(F.col(cn), m).alias(cn) for cn, m in
+          (("RoomService", 61), ("FoodCourt", 67), ("ShoppingMall", 71), ("Spa", 73), ("VRDeck", 79))],
+        nulled(F.concat_ws(" ", F.concat(F.lit("N"), k.cast("string")),
+                           F.regexp_replace("c_name", "#", "")), 83).alias("Name"),
+        (F.col("o_orderstatus") != "O").alias("Transported"))

@@ -70,3 +70,17 @@ def test_standardise_population_std_and_constant(spark):
     out = enc.standard_apply(df, st).collect()
     assert [r["x"] for r in out] == [-1.0, 1.0]
     assert [r["k"] for r in out] == [0.0, 0.0]
+
+
+def test_dotted_category_names_flow_downstream(spark):
+    from prepflow.operators import correlate as cor, models as mdl
+    df = spark.createDataFrame([(i, "PSO J318.5-22" if i % 3 else "Earth", float(i % 2 == 0), i % 2 == 0)
+                                for i in range(40)], "k long, dest string, x double, y boolean")
+    st = enc.onehot_fit(df, ["dest"])
+    out = enc.onehot_apply(df, st)
+    assert "dest_PSO J318.5-22" in out.columns
+    corr = cor.target_correlation(out.withColumn("t", F.col("y").cast("int")), "t",
+                                  ["x", "dest_PSO J318.5-22"], top=None)
+    assert corr.count() == 2
+    m = mdl.train(out, "logistic", ["x", "dest_PSO J318.5-22", "dest_Earth"], target="y", key="k")
+    assert mdl.score(m, out, "k").count() == 40

@@ -71,7 +71,7 @@ def test_t6_model_full_run(spark, tmp_path):
     r = mdl.run_model(train, "random_forest", ["PassengerId", "Feature1", "Feature2"], [],
                       target="Transported", key="PassengerId", mode="full", test=test)
     assert r.scored.count() == 3
-    feats = r.models[0].stages[0].getInputCols()
+    feats = [st for st in r.models[0].stages if hasattr(st, "getStatement")][0].getStatement()
     assert "PassengerId" not in feats
     probs = [x["probability"] for x in r.scored.collect()]
     assert all(0.0 <= p <= 1.0 for p in probs)
