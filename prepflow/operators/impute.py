@@ -29,7 +29,7 @@ from ..functions.columns import hash_uniform, normalise_bool, q, split_part
 from .groups import with_group_stats
 from .prefix import running_sums
 from .rules import Rule, apply_rules, fill_constant, homeplanet_rules, passenger_pre_rules
-from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, freeze
+from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, balanced_for_training, freeze
 
 RANGE_BUCKETS = 1024  # u-buckets per feature for the dictionary range lookup
 
@@ -220,6 +220,7 @@ class ZoneModelConfig:
     num_trees: int = 200
     max_depth: int = 8
     seed: int = 42
+    max_memory_mb: int = 256  # node-histogram memory per task (Spark default)
 
 
 def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
@@ -238,7 +239,9 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
         cond = cond & q(p).isNotNull()
     train = df.where(cond).select(*[q(p).cast(T.StringType()).alias(p) for p in preds],
                                   q(target).cast(T.StringType()).alias("__zone_label"))
+    train = balanced_for_training(train)
     if train.limit(1).count() == 0:
+        train.unpersist()
         return None
     stages = [StringIndexer(inputCol=p, outputCol=f"__ix_{p}", stringOrderType="alphabetAsc",
                             handleInvalid="keep") for p in preds]
@@ -247,14 +250,23 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
     stages.append(RandomForestClassifier(featuresCol="__zone_x", labelCol="__zone_y",
                                          predictionCol="__zone_pred", numTrees=cfg.num_trees,
                                          maxDepth=cfg.max_depth, seed=cfg.seed,
-                                         maxMemoryInMB=1024, cacheNodeIds=True))
-    return Pipeline(stages=stages).fit(train)
+                                         maxMemoryInMB=cfg.max_memory_mb, cacheNodeIds=True))
+    try:
+        return Pipeline(stages=stages).fit(train)
+    finally:
+        train.unpersist()
 
 
 def apply_zone_model(df: DataFrame, target: str, model, cfg: ZoneModelConfig) -> DataFrame:
-    """Fill NULL targets whose predictors are all non-null with the model's class."""
+    """Fill NULL targets whose predictors are all non-null with the model's class.
+
+    Only those rows go through the forest: the frame is split on that
+    condition, the needy part is scored and the parts are unioned again
+    (Spark reuses the shared upstream exchange for both branches).
+    """
     if model is None:
         return df
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import IndexToString
 
     preds = list(cfg.predictors)
@@ -262,20 +274,18 @@ def apply_zone_model(df: DataFrame, target: str, model, cfg: ZoneModelConfig) ->
     for p in preds:
         ok = ok & q(p).isNotNull()
     labels = model.stages[len(preds)].labels
-    scored_in = df.withColumn("__zone_row", ok) \
-                  .withColumns({f"__src_{p}": q(p) for p in preds}) \
-                  .withColumns({p: q(p).cast(T.StringType()) for p in preds}) \
-                  .withColumn("__zone_label", F.lit(None).cast(T.StringType()))
+    need = df.where(ok)
+    rest = df.where(~ok)
+    scored_in = need.withColumns({f"__src_{p}": q(p) for p in preds}) \
+                    .withColumns({p: q(p).cast(T.StringType()) for p in preds})
     # the label indexer is not needed at scoring time: run the other stages
-    from pyspark.ml import PipelineModel
     scoring = PipelineModel([s for i, s in enumerate(model.stages) if i != len(preds)])
     scored = scoring.transform(scored_in)
     scored = IndexToString(inputCol="__zone_pred", outputCol="__zone_value", labels=labels).transform(scored)
     dtype = df.schema[target].dataType
-    out = scored.withColumn(target, F.when(F.col("__zone_row"), F.col("__zone_value").cast(dtype))
-                            .otherwise(q(target)))
-    out = out.withColumns({p: q(f"__src_{p}") for p in preds})
-    return out.select(*[q(c) for c in df.columns])
+    filled = scored.withColumn(target, q("__zone_value").cast(dtype)) \
+                   .withColumns({p: q(f"__src_{p}") for p in preds})
+    return rest.unionByName(filled.select(*[q(c) for c in df.columns]))
 
 
 # ---------------------------------------------------------------------- C12
@@ -374,12 +384,19 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
     dictionaries = freeze(frequency_dictionary(base, feats)) if feats else None
     zone_model, zone_mode = None, None
     if cfg.zone_col and cfg.zone_col in base.columns:
-        grouped = _fill_from_group(_group_stats(base, cfg), cfg, ImputeState(None, None, None, None))
-        if cfg.zone_model is not None and grouped.where(q(cfg.zone_col).isNull()).limit(1).count() > 0:
-            zone_model = fit_zone_model(grouped, cfg.zone_col, cfg.zone_model)
-            grouped = apply_zone_model(grouped, cfg.zone_col, zone_model, cfg.zone_model)
-        row = grouped.agg(group_mode(cfg.zone_col).alias("m")).first()
-        zone_mode = row["m"] if row else None
+        # the group-filled train frame feeds the model's indexers, the forest
+        # and the mode: computed once, released when the fit is done
+        grouped = _fill_from_group(_group_stats(base, cfg), cfg, ImputeState(None, None, None, None)).persist()
+        try:
+            if cfg.zone_model is not None and grouped.where(q(cfg.zone_col).isNull()).limit(1).count() > 0:
+                zone_model = fit_zone_model(grouped, cfg.zone_col, cfg.zone_model)
+                scored = apply_zone_model(grouped, cfg.zone_col, zone_model, cfg.zone_model)
+            else:
+                scored = grouped
+            row = scored.agg(group_mode(cfg.zone_col).alias("m")).first()
+            zone_mode = row["m"] if row else None
+        finally:
+            grouped.unpersist()
     return ImputeState(medians, dictionaries, zone_model, zone_mode), base
 
 

@@ -27,6 +27,7 @@ from ..functions.columns import q
 from . import evaluate as ev
 from . import split as sp
 from .encode import ordinal_indexers
+from .state import balanced_for_training
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,7 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     # keep only the used columns, cached for the duration of the fit
     cols = list(dict.fromkeys([*numeric, *categorical, "label"] +
                               (["__is_val"] if "__is_val" in data.columns else [])))
-    data = data.select(*[q(c) for c in cols]).persist()
+    data = balanced_for_training(data.select(*[q(c) for c in cols]))
     try:
         return pipe.fit(data)
     finally:

@@ -36,3 +36,24 @@ def freeze(df: DataFrame, checkpoint: bool = True) -> StateTable:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     return StateTable(df, df.count())
+
+
+MIN_ROWS_PER_TASK = 20_000
+
+
+def balanced_for_training(df: DataFrame) -> DataFrame:
+    """Persist a training frame and spread it over enough tasks for CPU-bound
+    learners: one task per ``MIN_ROWS_PER_TASK`` rows, up to the default
+    parallelism.  Small inputs read from one file, or shuffles that adaptive
+    execution coalesced to one partition, would otherwise train on one core;
+    tiny frames stay in few partitions (more tasks would only add overhead).
+    The caller unpersists the result."""
+    df = df.persist()
+    n = df.count()
+    target = min(df.sparkSession.sparkContext.defaultParallelism, max(1, n // MIN_ROWS_PER_TASK))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    spread = df.repartition(target).persist()
+    spread.count()
+    df.unpersist()
+    return spread
