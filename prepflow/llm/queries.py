@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
@@ -39,6 +39,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+# ------------------------------------------------------------------ 2 personal data
+from . import pii  # noqa: E402
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined in the order of the array."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                s["end"].cast("string"))), ",")
+
+
+def _base_digest(kinds: tuple[str, ...]) -> Column:
+    return F.sha2(_listed(F.filter("spans", lambda s: s["kind"].isin(*kinds))), 256).alias("base_sha256")
+
+
+@register("op2_pii_anchors")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(_count, pii.BASE_KINDS), _base_digest(pii.BASE_KINDS),
+                        _listed(F.col("spans")).alias("spans"))
+
+
 # ------------------------------------------------------------------ 4 token counts
 from .token_counts import count_tokens  # noqa: E402
 
@@ -85,3 +110,86 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents")).withColumn("position", F.get("copies", F.lit(0))["position"])
     return training_order(mixed, "doc_id").select("doc_id", "size", "source_size", "target", "taken",
                                                   F.size("copies").alias("n_copies"))
+
+
+# ------------------------------------------------------------------ 6 licences
+from .licenses import scan_licenses  # noqa: E402
+
+
+@register("op6_license_automaton")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
+# ------------------------------------------------------------------ 7 secrets
+from . import secret_scan  # noqa: E402
+
+
+@register("op7_secret_markov")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(_count, secret_scan.BASE_KINDS), _base_digest(secret_scan.BASE_KINDS),
+                        _listed(F.col("spans")).alias("spans"))
+
+
+# ------------------------------------------------------------------ 8 fingerprints
+from . import fingerprints  # noqa: E402
+
+
+@register("op8_multiset_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    study = fingerprints.edit_study(load(spark, sf_dir, "documents"))
+    return study.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        fingerprints.as_text(F.col("vector")).alias("fingerprint"),
+                        fingerprints.as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+                        "near_edited", "near_next")
+
+
+# ------------------------------------------------------------------ 10 quality
+from .quality import judge  # noqa: E402
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, COALESCE(text, '') AS text, row_number() OVER () AS r,
+         regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+m AS (
+  SELECT *, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM d),
+w AS (
+  SELECT r, n_words, unnest(range(1, len(words) - 3)) AS i,
+         unnest([words[j:j + 4] FOR j IN range(1, len(words) - 3)]) AS win FROM m),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM w),
+p AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c WHERE n > 1),
+v AS (SELECT r, CAST(sum(least(5, i - COALESCE(before, -5))) AS BIGINT) AS n FROM p GROUP BY r),
+l AS (
+  SELECT r, source, text, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+         translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
+                   'abcdefghijklmnopqrstuvwxyz000000000') AS line
+  FROM (SELECT r, source, text, unnest(lines) AS x FROM m)),
+h AS (SELECT source, greatest(20.0, count(DISTINCT text) * 0.01) AS most FROM d GROUP BY source),
+f AS (SELECT l.source, l.line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source
+      GROUP BY l.source, l.line, h.most HAVING count(DISTINCT l.text) > h.most),
+b AS (SELECT l.r, sum(l.n) AS n FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.r),
+q AS (
+  SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(COALESCE(v.n, 0) AS BIGINT) AS n_repeat_words, m.n_words - COALESCE(b.n, 0) AS rest
+  FROM m LEFT JOIN v ON m.r = v.r LEFT JOIN b ON m.r = b.r),
+g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (rest < 10 OR rest < n_words * 0.2) AS kept
+FROM g
+"""
+
+
+@register("op10_line_frequency", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
