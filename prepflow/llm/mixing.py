@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .common import frozen, word_count
+from .common import frozen, small_side, word_count
 
 HASH_BITS = 60
 
@@ -143,3 +143,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), schedules: Sequen
 def training_order(mixed: DataFrame, *by: str) -> DataFrame:
     """Rows sorted by training position (range partitions in order)."""
     return mixed.orderBy("position", *by)
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` (``doc_id``, ``text``, ``source`` and other columns) in training order, once per pass.
+
+    A pass that reads less than half of a document leaves it out and one that
+    reads more has all of it, so a source is within one document of its target.
+    Rows that share a ``doc_id`` share the passes of the one taken most.
+    """
+    plan = mix(docs, **how)
+    plan = plan.groupBy(F.col("doc_id").alias("id_")).agg(
+        F.max_by("copies", "taken").alias("copies"), F.max_by("size", "taken").alias("size"))
+    copies = F.transform(F.filter("copies", lambda c: c["take"] * 2 >= F.col("size")), lambda c: c["position"])
+    plan = frozen(plan.select("id_", F.explode(copies).alias("position_")))
+    rows = docs.join(small_side(plan, plan.count()), docs["doc_id"].eqNullSafe(F.col("id_")))
+    return rows.orderBy("position_", docs["doc_id"]).select(*[docs[c] for c in docs.columns])

@@ -64,6 +64,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _listed(F.col("spans")).alias("spans"))
 
 
+# ------------------------------------------------------------------ 3 n-gram join
+from .ngram_join import near_duplicates  # noqa: E402
+
+
+@register("op3_signature_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------ 4 token counts
 from .token_counts import count_tokens  # noqa: E402
 
@@ -148,6 +157,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "near_edited", "near_next")
 
 
+# ------------------------------------------------------------------ 9 main text
+from .html_extract import extract_main_text  # noqa: E402
+
+
+@register("op9_template_classes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_main_text(load(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 # ------------------------------------------------------------------ 10 quality
 from .quality import judge  # noqa: E402
 
