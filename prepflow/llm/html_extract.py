@@ -1,7 +1,8 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages are read as blocks of text on a path of open containers.  Tokens are the
-container openings and the blocks, each with its path.  Per host, tokens that
+container openings (the first, second and so on of a path told apart) and the
+blocks, each with its path.  Per host, tokens that
 occur in the same pages, equally often, form an equivalence class: their
 occurrence vectors are compared by page count, total and two sums of page hashes.
 A class is valid if it occurs in enough of the host's pages and holds structure
@@ -169,7 +170,11 @@ def _count_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             host, html, page = host.as_py(), html.as_py() or "", page.as_py()
             r1, r2 = page & 0x7FFFFFFF, page >> 31 & 0x7FFFFFFF
             seen: dict[int, list[int]] = {0: [PAGES, 1]}
+            opened: dict[str, int] = {}
             for kind, path, text, _, _ in blocks_of(html):
+                if kind == TAGS:  # the first, second, ... opening of a path are different tokens
+                    text = f"#{opened.setdefault(path, 0)}"
+                    opened[path] += 1
                 own = seen.setdefault(_hash(path, text), [kind, 0])
                 own[1] += 1
             for token, (kind, n) in seen.items():

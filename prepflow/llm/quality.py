@@ -1,6 +1,7 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised (A-Z lower-cased, white space to one space, digits to 0)
+Lines are normalised (A-Z lower-cased, white space to one space,
+numbers to 0)
 and hashed; per host (the ``source`` column) the distinct documents with each
 line are counted, copies of a text counting once.  Lines in more than
 ``max(min_documents, share * documents of the host)`` are boilerplate.  A
@@ -82,8 +83,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line with a word: ``doc_id, source, content`` (hash of the text), ``place, line`` (hash), ``words``."""
     lines = docs.select("doc_id", "source", F.xxhash64("text").alias("content"),
                         F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    plain = F.translate(F.btrim(F.regexp_replace("raw", SPACES, " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789",
-                        "abcdefghijklmnopqrstuvwxyz000000000")
+    plain = F.translate(F.btrim(F.regexp_replace(F.regexp_replace("raw", "[0-9]+", "0"), SPACES, " ")),
+                        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return (lines.withColumn("words", F.regexp_count("raw", F.lit(WORD))).where(F.col("words") > 0)
             .select("doc_id", "source", "content", "place", F.xxhash64(plain).alias("line"), "words"))
 

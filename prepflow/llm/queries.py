@@ -189,8 +189,8 @@ p AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c WHER
 v AS (SELECT r, CAST(sum(least(5, i - COALESCE(before, -5))) AS BIGINT) AS n FROM p GROUP BY r),
 l AS (
   SELECT r, source, text, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-         translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
-                   'abcdefghijklmnopqrstuvwxyz000000000') AS line
+         translate(trim(regexp_replace(regexp_replace(x, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
   FROM (SELECT r, source, text, unnest(lines) AS x FROM m)),
 h AS (SELECT source, greatest(20.0, count(DISTINCT text) * 0.01) AS most FROM d GROUP BY source),
 f AS (SELECT l.source, l.line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source

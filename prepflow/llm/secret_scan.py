@@ -49,7 +49,7 @@ class Training:
     samples: int = 4096
     sample_documents: int = 2000
     smoothing: float = 0.5
-    threshold: float = 1.0  # mean log-likelihood ratio (nats) per character step
+    threshold: float = 1.5  # mean log-likelihood ratio (nats) per character step
 
 
 def _steps(strings: DataFrame, kind: str) -> DataFrame:
