@@ -37,36 +37,41 @@ def paragraphs_of(text: Column) -> Column:
 
 
 def vector(paragraphs: Column) -> Column:
-    """The lanes of a multiset of paragraphs (array column): ``DENSE`` sums, then one lane per bucket."""
-    hashed = F.transform(paragraphs, lambda p: F.struct(
-        F.pmod(F.xxhash64(p), F.lit(BUCKETS)).alias("b"),
-        F.xxhash64(p, F.lit(-1)).bitwiseAND(F.lit(HASH_MASK)).alias("h"), F.length(p).cast("long").alias("w")))
+    """The lanes of a multiset of paragraphs (array column): ``DENSE`` sums, then one lane per bucket.
+
+    Paragraphs are sorted by bucket, so one pass sums all lanes.
+    """
     zero = F.lit(0).cast("long")
+    hashed = F.sort_array(F.transform(paragraphs, lambda p: F.struct(
+        F.pmod(F.xxhash64(p), F.lit(BUCKETS)).alias("b"), F.xxhash64(p).alias("x"), F.xxhash64(p, F.lit(-1)).alias("y"),
+        F.length(p).cast("long").alias("w"))))
 
-    def whole(j: int) -> Column:
-        return F.aggregate(paragraphs, zero, lambda acc, p: (
-            acc + F.xxhash64(p, F.lit(j)).bitwiseAND(F.lit(DENSE_MASK))).bitwiseAND(F.lit(DENSE_MASK)))
+    def lane(acc: Column) -> Column:
+        return F.struct(acc["b"].alias("b"), (F.shiftleft(acc["h"], WEIGHT_BITS) + acc["w"]).alias("v"))
 
-    def lane(j: Column) -> Column:
-        return F.aggregate(hashed, F.struct(zero.alias("h"), zero.alias("w")), lambda acc, p: F.when(
-            p["b"] == j, F.struct((acc["h"] + p["h"]).bitwiseAND(F.lit(HASH_MASK)).alias("h"),
-                                  (acc["w"] + p["w"]).bitwiseAND(F.lit(WEIGHT_MASK)).alias("w"))).otherwise(acc),
-            lambda acc: F.shiftleft(acc["h"], WEIGHT_BITS) + acc["w"])
+    def plus(x: Column, y: Column, mask: int) -> Column:
+        return (x + y.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(mask))
 
-    return F.concat(F.array(*map(whole, range(DENSE))), F.transform(F.sequence(zero, F.lit(BUCKETS - 1).cast("long")), lane))
+    def step(acc: Column, p: Column) -> Column:
+        same = acc["b"] == p["b"]
+        dense = [plus(acc[f"d{j}"], F.xxhash64(p["x"] if j % 2 else p["y"], F.lit(j)), DENSE_MASK).alias(f"d{j}")
+                 for j in range(DENSE)]
+        return F.struct(
+            p["b"].alias("b"), plus(F.when(same, acc["h"]).otherwise(zero), p["y"], HASH_MASK).alias("h"),
+            plus(F.when(same, acc["w"]).otherwise(zero), p["w"], WEIGHT_MASK).alias("w"), *dense,
+            F.when(same, acc["out"]).otherwise(F.concat(acc["out"], F.array(lane(acc)))).alias("out"))
 
+    start = F.struct(F.lit(-1).cast("long").alias("b"), zero.alias("h"), zero.alias("w"),
+                     *(zero.alias(f"d{j}") for j in range(DENSE)),
+                     F.array().cast("array<struct<b:bigint,v:bigint>>").alias("out"))
 
-def _lanewise(a: Column, b: Column, sign: int) -> Column:
-    def one(x: Column, y: Column, mask: int) -> Column:
-        return (x + F.lit(sign) * y + F.lit(mask + 1 if sign < 0 else 0)).bitwiseAND(F.lit(mask))
+    def lanes(acc: Column) -> Column:
+        filled = F.map_from_entries(F.concat(acc["out"], F.array(lane(acc))))  # with one lane for the start, -1
+        buckets = F.transform(F.sequence(zero, F.lit(BUCKETS - 1).cast("long")), lambda j: F.coalesce(
+            F.try_element_at(filled, j), zero))
+        return F.concat(F.array(*(acc[f"d{j}"] for j in range(DENSE))), buckets)
 
-    def pair(z: Column, i: Column) -> Column:
-        x, y = z["a"], z["b"]
-        high = one(F.shiftright(x, WEIGHT_BITS), F.shiftright(y, WEIGHT_BITS), HASH_MASK)
-        low = one(x.bitwiseAND(F.lit(WEIGHT_MASK)), y.bitwiseAND(F.lit(WEIGHT_MASK)), WEIGHT_MASK)
-        return F.when(i < DENSE, one(x, y, DENSE_MASK)).otherwise(F.shiftleft(high, WEIGHT_BITS) + low)
-
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), pair)
+    return F.aggregate(hashed, start, step, lanes)
 
 
 def inserted(a: Column, b: Column) -> Column:
@@ -79,6 +84,19 @@ def deleted(a: Column, b: Column) -> Column:
     return _lanewise(a, b, -1)
 
 
+def _lanewise(a: Column, b: Column, sign: int) -> Column:
+    def one(x: Column, y: Column, mask: int) -> Column:
+        return (x + F.lit(sign) * y + F.lit(mask + 1 if sign < 0 else 0)).bitwiseAND(F.lit(mask))
+
+    def pair(z: Column, i: Column) -> Column:
+        x, y = z["a"], z["b"]
+        high = one(F.shiftright(x, WEIGHT_BITS), F.shiftright(y, WEIGHT_BITS), HASH_MASK)
+        low = one(x.bitwiseAND(F.lit(WEIGHT_MASK)), y.bitwiseAND(F.lit(WEIGHT_MASK)), WEIGHT_MASK)
+        return F.when(i < DENSE, one(x, y, DENSE_MASK)).otherwise(F.shiftleft(high, WEIGHT_BITS) + low)
+
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), pair)
+
+
 def as_text(v: Column) -> Column:
     """Lanes in hex, 15 digits each."""
     return F.array_join(F.transform(v, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
