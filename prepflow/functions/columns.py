@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TWO_POW_32 = 4294967296.0
+TWO_POW_52 = 4503599627370496.0
 
 
 def q(name: str) -> Column:
@@ -132,18 +132,18 @@ def coerce_prediction(df: DataFrame, c: str) -> Column:
 def hash_uniform(keys: Sequence[str | Column], seed: int | str) -> Column:
     """Deterministic uniform in ``[0, 1)`` from the row key and a seed.
 
-    ``md5(key1|...|seed)``, first 32 bits as an unsigned integer, over 2^32.
+    ``md5(key1|...|seed)``, first 52 bits as an unsigned integer, over 2^52.
     It depends only on the key, never on row order or partitioning, so a
     lost executor recomputes the same draw, and DuckDB computes the same
-    value with ``('0x' || substr(md5(...), 1, 8))::BIGINT / 2^32``.
+    value with ``('0x' || substr(md5(...), 1, 13))::BIGINT / 2^52``.
     """
     parts = [col_(k).cast(T.StringType()) for k in keys] + [F.lit(str(seed))]
-    h = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
-    return F.conv(h, 16, 10).cast(T.DoubleType()) / F.lit(TWO_POW_32)
+    h = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
+    return F.conv(h, 16, 10).cast(T.DoubleType()) / F.lit(TWO_POW_52)
 
 
 def hash_uniform_sql(keys: Sequence[str], seed: int | str) -> str:
     """The DuckDB / ANSI text of :func:`hash_uniform` (for oracles)."""
     inner = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return (f"(CAST(CAST(('0x' || substr(md5({inner} || '|' || '{seed}'), 1, 8)) AS BIGINT) AS DOUBLE)"
-            f" / CAST(4294967296 AS DOUBLE))")
+    return (f"(CAST(CAST(('0x' || substr(md5({inner} || '|' || '{seed}'), 1, 13)) AS BIGINT) AS DOUBLE)"
+            f" / CAST(4503599627370496 AS DOUBLE))")

@@ -22,7 +22,7 @@ from ..functions.columns import q, safe_ratio
 from ..session import ensure_checkpoint_dir
 from .prefix import running_sums
 
-SCORE_BUCKETS = 256
+ROWS_PER_BUCKET = 20_000  # distinct scores in one window task
 
 
 def _cells(actual: Column, predicted: Column) -> list[Column]:
@@ -68,7 +68,7 @@ def confusion_matrix(df: DataFrame, actual: str | Column, predicted: str | Colum
     )).alias("s")).select("s.*")
 
 
-def score_buckets(per_score: DataFrame, score: str, buckets: int = SCORE_BUCKETS,
+def score_buckets(per_score: DataFrame, score: str, buckets: int,
                   rel_err: float = 1e-3) -> Column:
     """Monotone bucket id of a score, cut at approximate quantiles of the
     per-score table (at most ``buckets`` split points reach the driver)."""
@@ -97,12 +97,12 @@ def per_score_counts(df: DataFrame, actual: str | Column, score: str, keys: Sequ
     Materialised with a reliable ``checkpoint()`` (shared checkpoint folder):
     the confusion cells, quantile, offset and window passes all read this
     small table instead of recomputing the scored rows, and it survives lost
-    executors.
+    executors.  Rows without a score are kept as a group of their own: they count
+    in the confusion cells; :func:`roc_table` leaves them out.
     """
     a = _bool(df, actual)
     extra = [_bool(df, predicted).alias("__pred")] if predicted is not None else []
-    per = (df.where(q(score).isNotNull())
-           .groupBy(*keys, q(score).cast(T.DoubleType()).alias(score), *extra)
+    per = (df.groupBy(*keys, q(score).cast(T.DoubleType()).alias(score), *extra)
            .agg(F.count_if(a).alias("pos"), F.count_if(~a).alias("neg")))
     ensure_checkpoint_dir(df.sparkSession)
     return per.checkpoint(eager=True)
@@ -115,9 +115,11 @@ def _collapse_predicted(per: DataFrame, score: str, keys: Sequence[str]) -> Data
 
 
 def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
-              buckets: int = SCORE_BUCKETS, per: DataFrame | None = None) -> DataFrame:
+              buckets: int | None = None, per: DataFrame | None = None) -> DataFrame:
     """Per (keys, distinct score): pos, neg, and the running counts below it."""
     per = per if per is not None else per_score_counts(df, actual, score, keys)
+    per = per.where(q(score).isNotNull())
+    buckets = buckets or max(256, min(1 << 14, per.count() // ROWS_PER_BUCKET))
     bucket = score_buckets(per, score, buckets)  # quantiles of the materialised table
     per = _collapse_predicted(per, score, keys)
     cum = running_sums(per, bucket, [q(score)], ["pos", "neg"], prefix="cum_", partition_by=keys,
@@ -127,7 +129,7 @@ def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[st
 
 
 def roc_auc(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
-            buckets: int = SCORE_BUCKETS, per: DataFrame | None = None) -> DataFrame:
+            buckets: int | None = None, per: DataFrame | None = None) -> DataFrame:
     """Exact ROC-AUC with ties counted half (per ``keys``); NULL when a
     class is absent."""
     t = roc_table(df, actual, score, keys, buckets, per)
@@ -137,7 +139,7 @@ def roc_auc(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str]
                     .alias("roc_auc"))
 
 
-def roc_points(df: DataFrame, actual: str | Column, score: str, buckets: int = SCORE_BUCKETS) -> DataFrame:
+def roc_points(df: DataFrame, actual: str | Column, score: str, buckets: int | None = None) -> DataFrame:
     """One point per distinct score used as threshold (``score >= t`` is
     positive): ``threshold, fpr, tpr``."""
     t = roc_table(df, actual, score, (), buckets)

@@ -4,9 +4,10 @@ Physical shape of ``apply`` (C12):
 
 1. one projection: boolean normalisation, domain rules, constant fills, the
    group key, and the post-Age rule set (its inputs are already final);
-2. one ``groupBy(group)`` computing *all* group statistics together (median
-   of the cascade target, mode of every filled column) with map-side
-   partial aggregation, joined back to the rows (see ``groups.py``);
+2. one ``groupBy(group)`` computing the modes of all filled columns together
+   with map-side partial aggregation, joined back to the rows (see
+   ``groups.py``), and the exact group medians of the cascade target from
+   counts of its values;
 3. lookups of the fitted medians by key and of the sampling dictionaries:
    equi-joins against frozen state tables, broadcast when their measured
    size allows it;
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import hash_uniform, normalise_bool, q, split_part
+from .evaluate import score_buckets
 from .groups import with_group_stats
 from .prefix import running_sums
 from .rules import Rule, apply_rules, fill_constant, homeplanet_rules, passenger_pre_rules
 from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, balanced_for_training, freeze
 
+VALUES_PER_BUCKET = 20_000  # distinct values in one window task of the exact medians
 RANGE_BUCKETS = 1024  # u-buckets per feature for the dictionary range lookup
 
 
@@ -109,7 +112,9 @@ def sample_fill(df: DataFrame, feature: str, dictionary: StateTable | DataFrame,
     # three transformations of the (possibly large) input plan: draw, join, replace
     u = F.when(q(feature).isNull(), hash_uniform(row_key, fill_seed(seed)))
     probe = df.select("*", u.alias("__u"))
-    probe = probe.select("*", F.floor(F.col("__u") * F.lit(buckets)).cast("long").alias("__b"))
+    # rows that need no value match no bucket; numbers below 0 spread them over the tasks of the join
+    spread = -F.pmod(F.xxhash64(*[q(k) for k in row_key]), F.lit(1 << 20)) - 1
+    probe = probe.select("*", F.coalesce(F.floor(F.col("__u") * F.lit(buckets)).cast("long"), spread).alias("__b"))
     r = F.floor(F.col("__u") * F.col("__itot"))
     joined = probe.join(idx, (F.col("__b") == F.col("__ib")) & (r >= F.col("__ilo")) & (r < F.col("__ihi")),
                         "left")
@@ -125,31 +130,60 @@ def group_mode(c: str) -> Column:
 
 
 def global_mode(df: DataFrame, c: str) -> DataFrame:
-    """One-row DataFrame with the mode of ``c``."""
-    return df.agg(group_mode(c).alias(c))
+    """One-row DataFrame with the mode of ``c`` (the smallest on ties, NULL without values).
+
+    Values are counted first, so no task holds them all.
+    """
+    counts = df.where(q(c).isNotNull()).groupBy(q(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.min(F.struct((-F.col("n")).alias("less"), "value"))["value"].alias(c))
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], target: str, out: str = "median") -> DataFrame:
+    """Exact medians (interpolated) of ``target`` per ``keys``; NULL targets are left out.
+
+    Rows are counted per (keys, value); running counts over buckets of values
+    then give the one or two middle values, so a key that holds most rows is
+    spread over many tasks.
+    """
+    value, names = F.col("__value"), [f"__k{i}" for i in range(len(keys))]
+    counts = (df.where(q(target).isNotNull())
+              .groupBy(*[q(k).alias(n) for k, n in zip(keys, names)], q(target).cast(T.DoubleType()).alias("__value"))
+              .agg(F.count(F.lit(1)).alias("__n")))
+    per = freeze(counts)
+    buckets = max(1, min(1 << 14, per.n_rows // VALUES_PER_BUCKET))
+    cum = running_sums(per.df, score_buckets(per.df, "__value", buckets), [value], ["__n"], "__upto",
+                       partition_by=names, buckets=buckets)
+    totals = per.df.groupBy(*[F.col(n).alias(f"t{n}") for n in names]).agg(F.sum("__n").alias("__total"))
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == F.col(f"t{n}"))
+    cum = cum.join(totals, same) if names else cum.withColumn("__total", totals.select("__total").scalar())
+    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    at = lambda place: F.max(F.when((F.col("__upto__n") - F.col("__n") <= place)
+                                    & (place < F.col("__upto__n")), value))
+    both = cum.groupBy(*names).agg(at(low).alias("__low"), at(high).alias("__high"))
+    return both.select(*[F.col(n).alias(k) for k, n in zip(keys, names)],
+                       ((F.col("__low") + F.col("__high")) / 2.0).alias(out)).where(q(out).isNotNull())
 
 
 def medians_by_key(df: DataFrame, target: str, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Exact medians of ``target`` per value of each key and overall, in one scan.
 
-    ``GROUPING SETS ((k1), (k2), ..., ())``; result ``key_name, key_value,
-    median`` with ``key_name = '*'`` for the global median.  Keys whose
-    median is NULL (all targets NULL) are dropped, as in the reference.
+    Each row counts once for each of its keys and once overall; result
+    ``key_name, key_value, median`` with ``key_name = '*'`` for the global
+    median.  Keys whose median is NULL (all targets NULL) are dropped, as in the
+    reference.  ``accuracy`` gives bounded-memory approximations instead.
     """
-    keys = list(keys)
-    sets = [[q(k)] for k in keys] + [[]]
-    g = df.groupingSets(sets, *[q(k) for k in keys]).agg(
-        median_expr(target, accuracy).alias("median"),
-        *[F.grouping(k).alias(f"__g{i}") for i, k in enumerate(keys)])
-    name = F.lit("*")
-    value = F.lit(None).cast(T.StringType())
-    for i, k in reversed(list(enumerate(keys))):
-        is_k = q(f"__g{i}") == 0
-        name = F.when(is_k, F.lit(k)).otherwise(name)
-        value = F.when(is_k, q(k).cast(T.StringType())).otherwise(value)
-    out = g.select(name.alias("key_name"), value.alias("key_value"), "median")
-    return out.where(F.col("median").isNotNull() &
-                     ((F.col("key_name") == "*") | F.col("key_value").isNotNull()))
+    pairs = [F.struct(F.lit(k).alias("key_name"), q(k).cast(T.StringType()).alias("key_value")) for k in keys]
+    overall = F.struct(F.lit("*").alias("key_name"), F.lit("").alias("key_value"))
+    long = df.select(F.explode(F.array(*pairs, overall)).alias("__key"), q(target).alias("__target"))
+    long = long.select("__key.*", "__target").where(F.col("key_value").isNotNull())
+    if accuracy is None:
+        out = exact_medians(long, ["key_name", "key_value"], "__target")
+    else:
+        out = long.groupBy("key_name", "key_value").agg(median_expr("__target", accuracy).alias("median"))
+    return out.where(F.col("median").isNotNull()).select(
+        "key_name", F.when(F.col("key_name") != "*", F.col("key_value")).alias("key_value"), "median")
 
 
 # ---------------------------------------------------------------------- C7
@@ -177,14 +211,27 @@ def median_expr(target: str, accuracy: int | None = None) -> Column:
     bounded-memory ``percentile_approx`` for groups too large for the exact
     aggregate's per-value counts."""
     if accuracy is None:
-        return F.median(target)
+        return F.median(q(target))
     return F.percentile_approx(q(target), 0.5, accuracy).cast(T.DoubleType())
 
 
+def with_group_median(df: DataFrame, group: str, target: str, out: str = "__gmed") -> DataFrame:
+    """``df`` with the exact median of ``target`` in the row's group (NULL groups have none)."""
+    medians = exact_medians(df.where(q(group).isNotNull()), [group], target, out).withColumnRenamed(group, "__of")
+    return df.join(medians, q(group) == F.col("__of"), "left").drop("__of")
+
+
 def group_median_fill(df: DataFrame, group: str, target: str, via: str = "join",
                       accuracy: int | None = None) -> DataFrame:
-    """NULLs of ``target`` take the median of their group."""
-    out = with_group_stats(df, group, {"__gmed": median_expr(target, accuracy)}, via=via)
+    """NULLs of ``target`` take the median of their group.
+
+    By default from counts of values, which spreads a large group; ``via="window"``
+    and ``accuracy`` (approximate) compute it per group instead, for small groups.
+    """
+    if via == "join" and accuracy is None:
+        out = with_group_median(df, group, target)
+    else:
+        out = with_group_stats(df, group, {"__gmed": median_expr(target, accuracy)}, via=via)
     return out.withColumn(target, F.coalesce(q(target), F.col("__gmed"))).drop("__gmed")
 
 
@@ -243,6 +290,8 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
     if train.limit(1).count() == 0:
         train.unpersist()
         return None
+    # a split sees every category of a predictor and the slot for unseen ones
+    sizes = train.agg(*[F.count_distinct(q(p)) for p in preds]).first()
     stages = [StringIndexer(inputCol=p, outputCol=f"__ix_{p}", stringOrderType="alphabetAsc",
                             handleInvalid="keep") for p in preds]
     stages.append(StringIndexer(inputCol="__zone_label", outputCol="__zone_y", stringOrderType="alphabetAsc"))
@@ -250,7 +299,8 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
     stages.append(RandomForestClassifier(featuresCol="__zone_x", labelCol="__zone_y",
                                          predictionCol="__zone_pred", numTrees=cfg.num_trees,
                                          maxDepth=cfg.max_depth, seed=cfg.seed,
-                                         maxMemoryInMB=cfg.max_memory_mb, cacheNodeIds=True))
+                                         maxMemoryInMB=cfg.max_memory_mb, cacheNodeIds=True,
+                                         maxBins=max(32, *(n + 1 for n in sizes))))
     try:
         return Pipeline(stages=stages).fit(train)
     finally:
@@ -347,23 +397,19 @@ def _prepare(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
 
 def _group_stats(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
     stats: dict[str, Column] = {}
+    median = None
     if cfg.cascade_target and cfg.cascade_target in df.columns:
-        stats["__gmed"] = median_expr(cfg.cascade_target, cfg.median_accuracy)
+        median = "exact" if cfg.median_accuracy is None else "approximate"
+        if median == "approximate":
+            stats["__gmed"] = median_expr(cfg.cascade_target, cfg.median_accuracy)
     mode_cols = [c for c in cfg.sample_features if c in df.columns and c not in cfg.no_group_mode]
     if cfg.zone_col and cfg.zone_col in df.columns:
         mode_cols = [cfg.zone_col] + mode_cols
     for c in mode_cols:
         stats[f"__mode_{c}"] = group_mode(c)
-    out = with_group_stats(df, GROUP, stats, via=cfg.group_via)
-    return out
-
-
-def _fill_from_group(df: DataFrame, cfg: ImputeConfig, state: ImputeState) -> DataFrame:
-    out = df
-    if "__gmed" in out.columns:
-        out = out.withColumn(cfg.cascade_target, F.coalesce(q(cfg.cascade_target), F.col("__gmed")))
-    modes = [c[len("__mode_"):] for c in out.columns if c.startswith("__mode_")]
-    out = out.withColumns({c: F.coalesce(q(c), q(f"__mode_{c}")) for c in modes})
+    out = with_group_stats(df, GROUP, stats, via=cfg.group_via) if stats else df
+    if median == "exact":
+        out = with_group_median(out, GROUP, cfg.cascade_target)
     return out
 
 
@@ -386,15 +432,17 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
     if cfg.zone_col and cfg.zone_col in base.columns:
         # the group-filled train frame feeds the model's indexers, the forest
         # and the mode: computed once, released when the fit is done
-        grouped = _fill_from_group(_group_stats(base, cfg), cfg, ImputeState(None, None, None, None)).persist()
+        # (its predictors are still as they came: they are filled after it, from group and dictionary)
+        z = cfg.zone_col
+        grouped = with_group_stats(base, GROUP, {f"__mode_{z}": group_mode(z)}, via=cfg.group_via)
+        grouped = grouped.withColumn(z, F.coalesce(q(z), q(f"__mode_{z}"))).persist()
         try:
             if cfg.zone_model is not None and grouped.where(q(cfg.zone_col).isNull()).limit(1).count() > 0:
                 zone_model = fit_zone_model(grouped, cfg.zone_col, cfg.zone_model)
                 scored = apply_zone_model(grouped, cfg.zone_col, zone_model, cfg.zone_model)
             else:
                 scored = grouped
-            row = scored.agg(group_mode(cfg.zone_col).alias("m")).first()
-            zone_mode = row["m"] if row else None
+            zone_mode = global_mode(scored, z).first()[0]
         finally:
             grouped.unpersist()
     return ImputeState(medians, dictionaries, zone_model, zone_mode), base

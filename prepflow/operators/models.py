@@ -3,10 +3,11 @@
 The reference trains six single-machine libraries.  Here every model is a
 ``pyspark.ml`` ``Pipeline``: categorical columns go through ``StringIndexer``
 (alphabetical, unseen -> extra index), numbers and indices are assembled
-into one vector, and one distributed classifier is fitted.  Presets carry
-the reference's hyper-parameters where Spark has a counterpart; boosting
-iterations are capped (``max_iter_cap``) because Spark grows boosted trees
-one after another, each a distributed job.
+into one vector, and one distributed classifier is fitted; linear and network
+presets get their categories one-hot encoded and all inputs standardised.
+Presets carry the reference's hyper-parameters where Spark has a counterpart,
+and nothing bounds them: a caller who wants fewer boosting rounds says so in
+``params``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from ..functions.columns import q
 from . import evaluate as ev
 from . import split as sp
 from .encode import ordinal_indexers
-from .state import balanced_for_training
+from .state import balanced_for_training, freeze
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,8 @@ class Preset:
     name: str
     kind: str                      # gbt | rf | svc | mlp | lr
     params: dict = field(default_factory=dict)
-    scale: bool = False            # standardise features first (svc, mlp)
-    early_stop_fraction: float | None = None
+    scale: bool = False            # one-hot categories, then standardise (svc, mlp)
+    early_stop_fraction: float | None = None  # rows withheld to stop early; off unless a caller asks for it
 
 
 # Hyper-parameters of the reference's models, mapped to Spark ML names.
@@ -48,10 +49,9 @@ PRESETS: dict[str, Preset] = {
     "xgboost_search": Preset("xgboost_search", "gbt", dict(maxIter=3500, stepSize=0.02, maxDepth=5,
                                                             subsamplingRate=0.9, featureSubsetStrategy="0.85",
                                                             minInfoGain=0.05, seed=42)),
-    # ordered boosting preset: 1400 iterations, lr 0.035, depth 5, Bernoulli 0.8, rsm 0.85, stop after 80
+    # ordered boosting preset: 1400 iterations, lr 0.035, depth 5, Bernoulli 0.8, rsm 0.85
     "catboost": Preset("catboost", "gbt", dict(maxIter=1400, stepSize=0.035, maxDepth=5, subsamplingRate=0.8,
-                                                featureSubsetStrategy="0.85", seed=42),
-                       early_stop_fraction=0.2),
+                                                featureSubsetStrategy="0.85", seed=42)),
     # leaf-wise boosting preset: 300 trees, lr 0.05, depth 7
     "lightgbm": Preset("lightgbm", "gbt", dict(maxIter=300, stepSize=0.05, maxDepth=7, seed=42)),
     # random forest: 300 trees, depth 10, min leaf 2.  Many trees grow together:
@@ -60,44 +60,64 @@ PRESETS: dict[str, Preset] = {
     # (the cache is checkpointed into the shared checkpoint folder).
     "random_forest": Preset("random_forest", "rf", dict(numTrees=300, maxDepth=10, minInstancesPerNode=2,
                                                          seed=42, maxMemoryInMB=1024, cacheNodeIds=True)),
-    # support-vector classifier (linear kernel on standardised features), C = 10
-    "svc": Preset("svc", "svc", dict(regParam=0.1, maxIter=100), scale=True),
-    # multilayer network 128-64-32 with two outputs, early stop by tolerance
-    "mlp": Preset("mlp", "mlp", dict(hidden=(128, 64, 32), maxIter=200, tol=1e-3, seed=42, stepSize=0.005),
+    # support-vector classifier (linear kernel on standardised features), C = 10; Spark averages
+    # the hinge loss where C weighs its sum, so regParam is 1 / (C * rows), set when rows are known
+    "svc": Preset("svc", "svc", dict(C=10.0, maxIter=100), scale=True),
+    # multilayer network 128-64-32 with two outputs, learning rate 0.005 (gradient descent, the solver that has one)
+    "mlp": Preset("mlp", "mlp", dict(hidden=(128, 64, 32), maxIter=200, tol=1e-3, seed=42, solver="gd", stepSize=0.005),
                   scale=True),
     "logistic": Preset("logistic", "lr", dict(maxIter=100, regParam=0.0)),
 }
 
-# Search spaces of the reference (names mapped to Spark ML).
+# Search spaces of the reference (names mapped to Spark ML).  Without a counterpart in
+# Spark: leaf counts, minimum rows to split, unlimited depth, L1 / L2 leaf penalties, kernels and their widths.
 SEARCH_SPACES: dict[str, dict[str, list]] = {
-    "lightgbm": {"maxDepth": [5, 7, 10], "stepSize": [0.01, 0.05, 0.1], "maxIter": [100, 300, 500]},
-    "random_forest": {"numTrees": [100, 300, 500], "maxDepth": [10, 20, 30],
+    "lightgbm": {"maxDepth": [5, 7], "stepSize": [0.01, 0.05, 0.1], "maxIter": [100, 300, 500]},
+    "random_forest": {"numTrees": [100, 300, 500], "maxDepth": [10, 20],
                       "minInstancesPerNode": [1, 2, 4]},
-    "svc": {"regParam": [10.0, 1.0, 0.1, 0.01]},
-    "xgboost_search": {"maxIter": [1000, 2000, 3000, 4000], "stepSize": [0.01, 0.02, 0.03, 0.05],
-                       "maxDepth": [3, 4, 5, 6], "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
+    "svc": {"C": [0.1, 1.0, 10.0, 100.0]},
+    "xgboost_search": {"maxIter": [1500, 2500, 3500, 4500], "stepSize": [0.01, 0.02, 0.05, 0.1],
+                       "maxDepth": [3, 4, 5, 7], "minInstancesPerNode": [1, 3, 5],
+                       "minInfoGain": [0.0, 0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
                        "featureSubsetStrategy": ["0.7", "0.85", "0.9", "1.0"]},
 }
 
-DEFAULT_MAX_ITER_CAP = 50
+
+@dataclass(frozen=True)
+class Shape:
+    """What a classifier must know of its training rows: their number and the categories of each column."""
+
+    rows: int
+    categories: tuple[int, ...] = ()
+
+
+def data_shape(df: DataFrame, categorical: Sequence[str]) -> Shape:
+    """Counted in one pass; one row reaches the driver."""
+    r = df.agg(F.count(F.lit(1)), *[F.count_distinct(q(c).cast(T.StringType())) for c in categorical]).first()
+    return Shape(r[0], tuple(r[1:]))
 
 
-def _classifier(preset: Preset, n_features: int, max_iter_cap: int | None, label: str, features: str,
+def _svc_regularisation(c: float, shape: Shape) -> float:
+    return 1.0 / (c * max(1, shape.rows))
+
+
+def _classifier(preset: Preset, n_features: int, shape: Shape, label: str, features: str,
                 params: dict | None = None):
     from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                            MultilayerPerceptronClassifier, RandomForestClassifier)
     p = dict(preset.params)
     p.update(params or {})
     common = dict(featuresCol=features, labelCol=label)
+    if preset.kind in ("gbt", "rf"):  # a split sees each category and the slot for unseen ones
+        p.setdefault("maxBins", max(32, *(n + 1 for n in shape.categories)) if shape.categories else 32)
     if preset.kind == "gbt":
-        if max_iter_cap is not None:
-            p["maxIter"] = min(int(p.get("maxIter", 20)), max_iter_cap)
         if preset.early_stop_fraction:
             p["validationIndicatorCol"] = "__is_val"
         return GBTClassifier(**common, **p)
     if preset.kind == "rf":
         return RandomForestClassifier(**common, **p)
     if preset.kind == "svc":
+        p["regParam"] = _svc_regularisation(p.pop("C"), shape)
         return LinearSVC(**common, **p)
     if preset.kind == "mlp":
         hidden = list(p.pop("hidden", (128, 64, 32)))
@@ -108,10 +128,12 @@ def _classifier(preset: Preset, n_features: int, max_iter_cap: int | None, label
 
 
 def build_pipeline(preset: Preset, numeric: Sequence[str], categorical: Sequence[str] = (),
-                   label: str = "label", max_iter_cap: int | None = DEFAULT_MAX_ITER_CAP,
+                   label: str = "label", shape: Shape = Shape(2),
                    params: dict | None = None) -> Pipeline:
-    """P3 + C17 + C18 + classifier, as one Spark ML pipeline."""
-    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+    """P3 + C17 + C14 / C16 + C18 + classifier, as one Spark ML pipeline."""
+    from pyspark.ml.feature import (ElementwiseProduct, Imputer, OneHotEncoder, SQLTransformer, StandardScaler,
+                                    VectorAssembler)
+    from pyspark.ml.linalg import Vectors
     # first stage: safe internal names for every feature (ML stages do not
     # accept names with dots, which one-hot outputs can carry); being a stage,
     # it is saved with the model and applied again at scoring time
@@ -124,12 +146,26 @@ def build_pipeline(preset: Preset, numeric: Sequence[str], categorical: Sequence
     stages = [SQLTransformer(statement=f"SELECT *{', ' + renames if renames else ''} FROM __THIS__")]
     stages += list(ordinal_indexers(cat_alias, "__idx"))
     inputs = num_alias + [f"{c}__idx" for c in cat_alias]
+    n_features = len(inputs)
+    if preset.scale:
+        # linear and network models: no number for a category, no gap for a missing number
+        if num_alias:
+            stages.append(Imputer(inputCols=num_alias, outputCols=[f"{c}__full" for c in num_alias]))
+        if cat_alias:
+            stages.append(OneHotEncoder(inputCols=inputs[len(num_alias):], outputCols=[f"{c}__hot" for c in cat_alias],
+                                        dropLast=False))
+        inputs = [f"{c}__full" for c in num_alias] + [f"{c}__hot" for c in cat_alias]
+        n_features = len(num_alias) + sum(n + 1 for n in shape.categories)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__features_raw", handleInvalid="keep"))
     feats = "__features_raw"
     if preset.scale:
-        stages.append(StandardScaler(inputCol=feats, outputCol="__features", withMean=True, withStd=True))
+        # Spark divides by the sample deviation; the factor makes it the population's
+        stages.append(StandardScaler(inputCol=feats, outputCol="__features_std", withMean=True, withStd=True))
+        factor = (shape.rows / max(1, shape.rows - 1)) ** 0.5
+        stages.append(ElementwiseProduct(inputCol="__features_std", outputCol="__features",
+                                         scalingVec=Vectors.dense([factor] * n_features)))
         feats = "__features"
-    stages.append(_classifier(preset, len(inputs), max_iter_cap, label, feats, params))
+    stages.append(_classifier(preset, n_features, shape, label, feats, params))
     return Pipeline(stages=stages)
 
 
@@ -141,29 +177,31 @@ def _with_label(df: DataFrame, target: str, label: str = "label") -> DataFrame:
 
 
 def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categorical: Sequence[str] = (),
-          target: str = "Transported", key: str | None = None, max_iter_cap: int | None = DEFAULT_MAX_ITER_CAP,
-          params: dict | None = None) -> PipelineModel:
+          target: str = "Transported", key: str | None = None, params: dict | None = None) -> PipelineModel:
     """M1-M7: fit a preset on ``df`` (the id column is never a feature)."""
     preset = PRESETS[preset] if isinstance(preset, str) else preset
     numeric = [c for c in numeric if c != key and c != target]
     categorical = [c for c in categorical if c != key and c != target]
-    data = _with_label(df, target)
-    if preset.early_stop_fraction and key is not None:
-        data = data.withColumn("__is_val", sp._u([key], "early-stop:42") < F.lit(preset.early_stop_fraction))
-    elif preset.early_stop_fraction:
-        data = data.withColumn("__is_val", F.rand(42) < F.lit(preset.early_stop_fraction))
-    pipe = build_pipeline(preset, numeric, categorical, "label", max_iter_cap, params)
     # the pipeline makes several passes (one per indexer, then the model):
     # keep only the used columns, cached for the duration of the fit
-    cols = list(dict.fromkeys([*numeric, *categorical, "label"] +
-                              (["__is_val"] if "__is_val" in data.columns else [])))
-    data = balanced_for_training(data.select(*[q(c) for c in cols]))
+    data = balanced_for_training(_training_columns(df, preset, numeric, categorical, target, key))
     try:
-        return pipe.fit(data)
+        return build_pipeline(preset, numeric, categorical, "label", data_shape(data, categorical), params).fit(data)
     finally:
         data.unpersist()
 
 
+def _training_columns(df: DataFrame, preset: Preset, numeric: Sequence[str], categorical: Sequence[str], target: str,
+                      key: str | None, *more: str) -> DataFrame:
+    data = _with_label(df, target)
+    cols = [*numeric, *categorical, "label", *more]
+    if preset.early_stop_fraction:
+        draw = sp._u([key], "early-stop:42") if key is not None else F.rand(42)
+        data = data.withColumn("__is_val", draw < F.lit(preset.early_stop_fraction))
+        cols.append("__is_val")
+    return data.select(*[q(c) for c in dict.fromkeys(cols)])
+
+
 def positive_probability(scored: DataFrame, model: PipelineModel) -> F.Column:
     """Probability of the positive class; for margin models the logistic of the margin."""
     if "probability" in scored.columns:
@@ -204,8 +242,7 @@ class RunResult:
 def run_model(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categorical: Sequence[str] = (),
               target: str = "Transported", key: str = "PassengerId", mode: str = "holdout",
               test: DataFrame | None = None, test_size: float = 0.2, k: int = 5, seed: int = 42,
-              max_iter_cap: int | None = DEFAULT_MAX_ITER_CAP, parallelism: int = 4,
-              model_name: str | None = None) -> RunResult:
+              params: dict | None = None, parallelism: int = 4, model_name: str | None = None) -> RunResult:
     """Holdout, k-fold (folds trained concurrently from a small thread
     pool, out-of-fold rows unioned: U2/S11) or full (train on ``df``, score
     ``test``: S9)."""
@@ -214,7 +251,7 @@ def run_model(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categ
     if mode == "full":
         if test is None:
             raise ValueError("full mode needs a test table")
-        m = train(df, preset, numeric, categorical, target, key, max_iter_cap)
+        m = train(df, preset, numeric, categorical, target, key, params)
         s = score(m, test, key, target if target in test.columns else None)
         met = ev.metrics(s, "actual", "prediction", "probability", model=name) if "actual" in s.columns \
             else None
@@ -222,15 +259,15 @@ def run_model(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categ
     if mode == "holdout":
         d = sp.holdout_split(df, key, test_size, seed)
         tr, te = d.where(F.col("split") == sp.TRAIN), d.where(F.col("split") == sp.TEST)
-        m = train(tr, preset, numeric, categorical, target, key, max_iter_cap)
+        m = train(tr, preset, numeric, categorical, target, key, params)
         s = score(m, te, key, target)
         return RunResult(s, ev.metrics(s, "actual", "prediction", "probability", model=name), None, [m])
     if mode == "kfold":
-        d = sp.kfold(df, key, k, seed).cache()
+        d = freeze(sp.kfold(df, key, k, seed)).df
 
         def one(i: int):
             tr, te = sp.fold_frames(d, i)
-            m = train(tr, preset, numeric, categorical, target, key, max_iter_cap)
+            m = train(tr, preset, numeric, categorical, target, key, params)
             return m, score(m, te, key, target).withColumn("fold", F.lit(i))
 
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
@@ -263,8 +300,7 @@ def sample_combinations(space: dict[str, list], n: int, seed: int = 42,
 
 def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categorical: Sequence[str],
                   target: str, key: str, space: dict[str, list] | None = None, n_iter: int = 10,
-                  folds: int = 5, seed: int = 42, parallelism: int = 4, include_base: bool = False,
-                  max_iter_cap: int | None = DEFAULT_MAX_ITER_CAP):
+                  folds: int = 5, seed: int = 42, parallelism: int = 4, include_base: bool = False):
     """M8/M9: accuracy of sampled combinations over stratified folds (X3) with
     ``CrossValidator(foldCol=...)``; returns ``(results, best_model)``.
 
@@ -280,25 +316,25 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
     space = space or SEARCH_SPACES.get(preset.name, {})
     base = {k: preset.params[k] for k in space if k in preset.params} if include_base else None
     combos = sample_combinations(space, n_iter, seed, base)
-    data = sp.stratified_kfold(_with_label(df, target), key, "label", folds, seed, col="__fold")
     numeric = [c for c in numeric if c not in (key, target)]
-    pipe = build_pipeline(preset, numeric, categorical, "label", max_iter_cap)
-    clf = pipe.getStages()[-1]
-    maps = []
-    for c in combos:
-        pm = {}
-        for k, v in c.items():
-            if preset.kind == "gbt" and k == "maxIter" and max_iter_cap is not None:
-                v = min(int(v), max_iter_cap)
-            pm[clf.getParam(k)] = v
-        maps.append(pm)
-    if not maps:
-        maps = ParamGridBuilder().build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, foldCol="__fold", numFolds=folds,
-                        parallelism=parallelism,
-                        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-                        seed=seed)
-    model = cv.fit(data)
+    data = sp.stratified_kfold(_with_label(df, target), key, "label", folds, seed, col="__fold")
+    data = balanced_for_training(_training_columns(data, preset, numeric, categorical, target, key, "__fold"))
+    try:
+        shape = data_shape(data, categorical)
+        pipe = build_pipeline(preset, numeric, categorical, "label", shape)
+        clf = pipe.getStages()[-1]
+        maps = []
+        for c in combos:
+            own = dict(c)
+            if preset.kind == "svc" and "C" in own:
+                own["regParam"] = _svc_regularisation(own.pop("C"), shape)
+            maps.append({clf.getParam(k): v for k, v in own.items()})
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), foldCol="__fold",
+                            numFolds=folds, parallelism=parallelism, seed=seed,
+                            evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"))
+        model = cv.fit(data)
+    finally:
+        data.unpersist()
     spark = df.sparkSession
     rows = [(i, repr(sorted(c.items())), float(a), bool(include_base and i == 0))
             for i, (c, a) in enumerate(zip(combos, model.avgMetrics))]

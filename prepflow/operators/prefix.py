@@ -39,12 +39,12 @@ def global_rank(df: DataFrame, bucket: Column, order: Sequence[Column], name: st
     ``bucket`` must be a non-decreasing function of the order with values in
     ``[0, buckets)`` (e.g. ``floor(u * buckets)`` for a hash uniform ``u``).
     The order must be total (break ties with a unique key).  The offsets
-    table is broadcast: it has at most (number of partition keys) x
-    ``buckets`` rows, and the partition keys are labels (bounded).
+    table, of one row per (partition key, bucket), joins on the keys of the
+    window, so the rows are not moved again; small ones Spark broadcasts.
     """
     b = "__bucket"
     with_b = df.withColumn(b, F.least(F.greatest(bucket, F.lit(0)), F.lit(buckets - 1)))
-    off = F.broadcast(_offsets(with_b, b, [], partition_by))
+    off = _offsets(with_b, b, [], partition_by)
     w = Window.partitionBy(*partition_by, b).orderBy(*order)
     ranked = with_b.join(off, [*partition_by, b], "left").withColumn(
         name, F.col("__off_cnt") + F.row_number().over(w) - 1)
@@ -62,7 +62,7 @@ def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column], values:
     """
     b = "__bucket"
     with_b = df.withColumn(b, F.least(F.greatest(bucket, F.lit(0)), F.lit(buckets - 1)))
-    off = F.broadcast(_offsets(with_b, b, values, partition_by))  # <= partitions x buckets rows
+    off = _offsets(with_b, b, values, partition_by)
     w = Window.partitionBy(*partition_by, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = with_b.join(off, [*partition_by, b], "left")
     out = out.withColumns({f"{prefix}{v}": q(f"__off_{v}") + F.sum(v).over(w) for v in values})

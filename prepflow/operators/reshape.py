@@ -95,14 +95,15 @@ def argmax(df: DataFrame, value: str, tiebreak: str, keys: Sequence[str] = ()) -
     """Per ``keys`` (or overall) the row with the largest ``value``; ties go to
     the smallest ``tiebreak`` (first-seen wins in the reference).
 
-    ``max_by`` over a struct keeps it a single hash aggregation with map-side
-    partial results.
+    One aggregation with map-side partial results: the smallest pair of (negated
+    value, tiebreak), rows without a value last.  NULL tiebreaks come last too.
     """
+    if not isinstance(df.schema[value].dataType, T.NumericType):
+        raise ValueError(f"{value!r} is not a number")
     others = [c for c in df.columns if c not in keys]
-    order_key = F.struct(q(value), (-q(tiebreak)).alias("neg_tb")) \
-        if isinstance(df.schema[tiebreak].dataType, T.NumericType) else \
-        F.struct(q(value), q(tiebreak))
+    order_key = F.struct(q(value).isNull().alias("no_value"), (-q(value)).alias("less"),
+                         q(tiebreak).isNull().alias("no_tiebreak"), q(tiebreak).alias("tiebreak"))
     packed = F.struct(*[q(c) for c in others])
-    agg = F.max_by(packed, order_key).alias("__best")
-    grouped = df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
-    return grouped.select(*keys, "__best.*")
+    agg = F.min_by(packed, order_key).alias("__best")
+    grouped = df.groupBy(*[q(k) for k in keys]).agg(agg) if keys else df.agg(agg)
+    return grouped.select(*[q(k) for k in keys], "__best.*")

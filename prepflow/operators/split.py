@@ -52,7 +52,9 @@ def holdout_split(df: DataFrame, row_key: Sequence[str] | str, test_size: float
         raise ValueError("test_size must be in (0, 1)")
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
     draw_keys = [group_key] if group_key else keys
-    if not exact or group_key:
+    if exact and group_key:
+        raise ValueError("exact sizes are counted in rows; they cannot be kept with whole groups")
+    if not exact:
         side = F.when(_u(draw_keys, split_seed(seed)) < F.lit(test_size), F.lit(TEST)).otherwise(F.lit(TRAIN))
         return df.withColumn(col, side)
     n = df.agg(F.count(F.lit(1))).scalar()
@@ -69,7 +71,9 @@ def kfold(df: DataFrame, row_key: Sequence[str] | str, k: int = 5, seed: int = 4
         raise ValueError("k must be > 1")
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
     draw_keys = [group_key] if group_key else keys
-    if not exact or group_key:
+    if exact and group_key:
+        raise ValueError("exact sizes are counted in rows; they cannot be kept with whole groups")
+    if not exact:
         return df.withColumn(col, F.least(F.floor(_u(draw_keys, split_seed(seed)) * k), F.lit(k - 1)).cast("int"))
     ranked = _rank_by_u(df, keys, seed)
     return ranked.withColumn(col, (F.col("__rank") % k).cast("int")).drop("__u", "__rank")

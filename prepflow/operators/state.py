@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import q
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
@@ -38,22 +39,24 @@ def freeze(df: DataFrame, checkpoint: bool = True) -> StateTable:
     return StateTable(df, df.count())
 
 
-MIN_ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 20_000
+MAX_TASKS = 4096
 
 
 def balanced_for_training(df: DataFrame) -> DataFrame:
-    """Persist a training frame and spread it over enough tasks for CPU-bound
-    learners: one task per ``MIN_ROWS_PER_TASK`` rows, up to the default
-    parallelism.  Small inputs read from one file, or shuffles that adaptive
-    execution coalesced to one partition, would otherwise train on one core;
-    tiny frames stay in few partitions (more tasks would only add overhead).
-    The caller unpersists the result."""
+    """Persist a training frame, spread over one task per ``ROWS_PER_TASK`` rows.
+
+    Learners draw their row samples per partition, so rows are dealt by a hash of
+    their values to a number of partitions that follows from the row count alone:
+    the fitted model does not depend on the cluster or the files.  The caller
+    unpersists the result.
+    """
     df = df.persist()
-    n = df.count()
-    target = min(df.sparkSession.sparkContext.defaultParallelism, max(1, n // MIN_ROWS_PER_TASK))
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    spread = df.repartition(target).persist()
-    spread.count()
-    df.unpersist()
+    try:
+        tasks = min(MAX_TASKS, max(1, -(-df.count() // ROWS_PER_TASK)))
+        key = F.xxhash64(*[q(c) for c in df.columns])
+        spread = df.repartition(tasks, key).sortWithinPartitions(key).persist()
+        spread.count()
+    finally:
+        df.unpersist()
     return spread

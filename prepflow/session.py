@@ -6,7 +6,9 @@ caller is used as is.  ``get_session`` is for tests, the bench and local runs.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,18 +35,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _private_folder() -> str:
+    path = tempfile.mkdtemp(prefix="prepflow-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a private folder is set, so
-    ``DataFrame.checkpoint()`` works.  On a cluster the setting must point at
-    shared storage; it is never overridden here.
+    Only a local master without the setting gets a private folder (tests), which
+    goes with the process.  On a cluster executors could not see it, so there the
+    setting must be made, on shared storage.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="prepflow-ckpt-")
+    if configured is None and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = configured or _private_folder()
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

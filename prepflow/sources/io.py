@@ -141,14 +141,14 @@ def write_predictions(scored: DataFrame, path: str, key: str = "PassengerId") ->
     scored.orderBy(key).write.mode("overwrite").parquet(path)
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append one run's metric row(s) to the metrics table."""
-    metrics.write.mode("append").parquet(path)
+def append_metrics(metrics: DataFrame, path: str, run: int) -> None:
+    """Append one run's metric row(s) to the metrics table, with the run's number in the session."""
+    metrics.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
 
 
 def write_leaderboard(spark: SparkSession, metrics_path: str, out_path: str,
                       columns: Sequence[str] = ("Model", "accuracy", "precision", "recall", "f1", "roc_auc")) -> None:
-    """The session's metric rows with the fixed columns (a few rows: one file)."""
+    """The session's metric rows in the order of the runs, with the fixed columns (a few rows: one file)."""
     m = spark.read.parquet(metrics_path)
-    m.select(*[c for c in columns if c in m.columns]).coalesce(1) \
+    m.coalesce(1).sortWithinPartitions("run").select(*[c for c in columns if c in m.columns]) \
      .write.mode("overwrite").option("header", True).csv(out_path)

@@ -98,8 +98,8 @@ def test_t6_cv_score_in_unit_interval(spark):
 
 def test_same_seed_same_predictions(spark):
     train, test = _t6(spark)
-    a = mdl.score(mdl.train(train, "xgboost", ["Feature1", "Feature2"], max_iter_cap=5), test, "PassengerId")
-    b = mdl.score(mdl.train(train, "xgboost", ["Feature1", "Feature2"], max_iter_cap=5), test, "PassengerId")
+    a = mdl.score(mdl.train(train, "xgboost", ["Feature1", "Feature2"], params={"maxIter": 5}), test, "PassengerId")
+    b = mdl.score(mdl.train(train, "xgboost", ["Feature1", "Feature2"], params={"maxIter": 5}), test, "PassengerId")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -107,3 +107,43 @@ def test_score_requires_model(spark):
     _, test = _t6(spark)
     with pytest.raises(ValueError):
         mdl.score(None, test, "PassengerId")
+
+
+def test_fitted_trees_equal_the_parameters(spark):
+    """Nothing bounds the rounds, and no rows are withheld."""
+    train, _ = _t6(spark)
+    assert mdl.PRESETS["xgboost"].params["maxIter"] == 1500 and mdl.PRESETS["catboost"].early_stop_fraction is None
+    m = mdl.train(train, "catboost", ["Feature1", "Feature2"], params={"maxIter": 60})
+    assert len(m.stages[-1].trees) == 60
+
+
+def test_catboost_search_reports_what_it_trains(spark):
+    train, _ = _t6(spark)
+    space = {"maxIter": [2, 3], "maxDepth": [2]}
+    res, best = mdl.random_search(train, "catboost", ["Feature1", "Feature2"], [], "Transported", "PassengerId",
+                                  space=space, n_iter=2, folds=2)
+    top = res.where("rank = 1").first()["params"]
+    assert str(("maxIter", len(best.stages[-1].trees))) in top
+
+
+def test_many_categories(spark):
+    rows = [(i, f"c{i % 50}", float(i % 7), i % 50 < 25) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, c string, x double, y boolean")
+    for preset, params in (("random_forest", {"numTrees": 3}), ("svc", {"maxIter": 5}), ("mlp", {"maxIter": 5})):
+        m = mdl.train(df, preset, ["x"], ["c"], "y", "id", params=params)
+        unseen = spark.createDataFrame([(1, "new", None)], "id int, c string, x double")
+        out = mdl.score(m, unseen if preset != "random_forest" else df, "id").collect()
+        assert out and all(0 <= r["probability"] <= 1 for r in out)
+
+
+def test_svc_weighs_the_mean_loss(spark):
+    train, _ = _t6(spark)
+    m = mdl.train(train, "svc", ["Feature1"], params={"C": 10.0, "maxIter": 3})
+    assert abs(m.stages[-1].getOrDefault("regParam") - 1 / (10.0 * train.count())) < 1e-12
+
+
+def test_rows_without_score_count_in_the_cells(spark):
+    rows = [(True, True, 0.9), (False, True, 0.8), (True, True, 0.7), (True, False, None)]
+    df = spark.createDataFrame(rows, "y boolean, p boolean, s double")
+    with_score, without = ev.metrics(df, "y", "p", "s").first(), ev.metrics(df, "y", "p").first()
+    assert with_score["accuracy"] == without["accuracy"] == 0.5 and with_score["fn"] == 1

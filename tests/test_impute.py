@@ -95,3 +95,38 @@ def test_rules_only_fill_nulls_in_order(spark):
     rules = [Rule("t", "first", "c = 1"), Rule("t", "second", "c IN (1, 2)")]
     got = sorted((r["c"], r["t"]) for r in apply_rules(df, rules).collect())
     assert got == [(1, "first"), (1, "keep"), (2, "second")]
+
+
+def test_forest_trains_on_unfilled_predictors(spark):
+    """Fitting fills the zone alone before the forest: a row without a predictor is no training row."""
+    cfg = imp.ImputeConfig(row_key=("id",), group_col="g", id_col=None, bool_cols=(), pre_rules=None, zero_fill=(),
+                           cascade_target=None, cascade_keys=(), post_rules=None, zone_col="z",
+                           zone_model=imp.ZoneModelConfig(predictors=("d",), num_trees=2, max_depth=2),
+                           sample_features=("d",), no_group_mode=())
+    rows = [(1, "g1", "A", 1.0), (2, "g1", None, 2.0), (3, "g2", "B", 3.0), (4, "g3", "B", None)]
+    rows += [(i, f"g{i}", "AB"[i % 2], float(i % 3)) for i in range(10, 30)]
+    seen = {}
+    original = imp.fit_zone_model
+    imp.fit_zone_model = lambda df, target, c: seen.update(rows=[(r["id"], r["d"]) for r in df.collect()]) \
+        or original(df, target, c)
+    try:
+        imp.fit(spark.createDataFrame(rows, "id int, g string, d string, z double"), cfg)
+    finally:
+        imp.fit_zone_model = original
+    assert {r[0]: r[1] for r in seen["rows"] if r[0] < 10} == {1: "A", 2: None, 3: "B", 4: "B"}
+
+
+def test_exact_medians_of_a_hot_key(spark):
+    import random
+    import statistics
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.8 else f"k{i % 5}", rng.choice([None, round(rng.random(), 2)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    before, imp.VALUES_PER_BUCKET = imp.VALUES_PER_BUCKET, 7
+    try:
+        out = imp.exact_medians(df, ["k"], "v")
+        assert "median(" not in out._jdf.queryExecution().toString()
+        got = {r["k"]: r["median"] for r in out.collect()}
+    finally:
+        imp.VALUES_PER_BUCKET = before
+    assert got == {k: statistics.median(v for x, v in rows if x == k and v is not None) for k in {x for x, _ in rows}}

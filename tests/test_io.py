@@ -27,12 +27,12 @@ def test_metrics_append_and_leaderboard(spark, tmp_path):
     m1 = ev.metrics(a, "y", "p", "s", model="first")
     m2 = ev.metrics(a, "y", "p", None, model="second")
     path, out = str(tmp_path / "metrics"), str(tmp_path / "board")
-    io.append_metrics(m1, path)
-    io.append_metrics(m2, path)
+    io.append_metrics(m2, path, 1)
+    io.append_metrics(m1, path, 0)
     io.write_leaderboard(spark, path, out)
     board = spark.read.option("header", True).csv(out)
     assert board.columns == ["Model", "accuracy", "precision", "recall", "f1", "roc_auc"]
-    assert sorted(r["Model"] for r in board.collect()) == ["first", "second"]
+    assert [r["Model"] for r in board.collect()] == ["first", "second"]  # in the order of the runs
 
 
 def test_dictionary_sink(spark, tmp_path):

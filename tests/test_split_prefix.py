@@ -58,3 +58,23 @@ def test_running_sums_brute_force(spark_session_values, buckets):  # noqa: D103
         assert got[i] == acc
     rk = prefix.global_rank(df, bucket, [F.col("k")], "r", buckets=buckets)
     assert {r["k"]: r["r"] for r in rk.collect()} == {i: i for i, _ in rows}
+
+
+def test_argmax_ties_and_text():
+    from prepflow.operators.reshape import argmax
+    from prepflow.session import get_session
+    df = get_session().createDataFrame([("x", 2, "b"), ("x", 2, "a"), ("x", 1, "c"), ("y", None, "d"), ("y", 0, "e")],
+                                       "k string, v int, t string")
+    assert {r["k"]: r["t"] for r in argmax(df, "v", "t", ["k"]).collect()} == {"x": "a", "y": "e"}
+
+
+def test_exact_sizes_refuse_groups():
+    import pytest
+
+    from prepflow.operators import split as sp
+    from prepflow.session import get_session
+    df = get_session().createDataFrame([(1, "g")], "id int, g string")
+    with pytest.raises(ValueError):
+        sp.holdout_split(df, "id", exact=True, group_key="g")
+    with pytest.raises(ValueError):
+        sp.kfold(df, "id", exact=True, group_key="g")
