@@ -310,9 +310,8 @@ def fit_zone_model(df: DataFrame, target: str, cfg: ZoneModelConfig):
 def apply_zone_model(df: DataFrame, target: str, model, cfg: ZoneModelConfig) -> DataFrame:
     """Fill NULL targets whose predictors are all non-null with the model's class.
 
-    Only those rows go through the forest: the frame is split on that
-    condition, the needy part is scored and the parts are unioned again
-    (Spark reuses the shared upstream exchange for both branches).
+    The predictors are categories, so each combination that occurs in a row to
+    fill is scored once, and the answers join back by combination.
     """
     if model is None:
         return df
@@ -324,18 +323,17 @@ def apply_zone_model(df: DataFrame, target: str, model, cfg: ZoneModelConfig) ->
     for p in preds:
         ok = ok & q(p).isNotNull()
     labels = model.stages[len(preds)].labels
-    need = df.where(ok)
-    rest = df.where(~ok)
-    scored_in = need.withColumns({f"__src_{p}": q(p) for p in preds}) \
-                    .withColumns({p: q(p).cast(T.StringType()) for p in preds})
+    combos = df.where(ok).select(*[q(p).cast(T.StringType()).alias(p) for p in preds]).distinct()
     # the label indexer is not needed at scoring time: run the other stages
     scoring = PipelineModel([s for i, s in enumerate(model.stages) if i != len(preds)])
-    scored = scoring.transform(scored_in)
-    scored = IndexToString(inputCol="__zone_pred", outputCol="__zone_value", labels=labels).transform(scored)
-    dtype = df.schema[target].dataType
-    filled = scored.withColumn(target, q("__zone_value").cast(dtype)) \
-                   .withColumns({p: q(f"__src_{p}") for p in preds})
-    return rest.unionByName(filled.select(*[q(c) for c in df.columns]))
+    scored = IndexToString(inputCol="__zone_pred", outputCol="__zone_value", labels=labels).transform(
+        scoring.transform(combos))
+    answers = scored.select(*[q(p).alias(f"__of_{i}") for i, p in enumerate(preds)], "__zone_value")
+    same = q(target).isNull()
+    for i, p in enumerate(preds):
+        same = same & (q(p).cast(T.StringType()) == F.col(f"__of_{i}"))
+    filled = F.coalesce(q(target), F.col("__zone_value").cast(df.schema[target].dataType))
+    return df.join(answers, same, "left").select(*[filled.alias(c) if c == target else q(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------------- C12

@@ -63,9 +63,8 @@ PRESETS: dict[str, Preset] = {
     # support-vector classifier (linear kernel on standardised features), C = 10; Spark averages
     # the hinge loss where C weighs its sum, so regParam is 1 / (C * rows), set when rows are known
     "svc": Preset("svc", "svc", dict(C=10.0, maxIter=100), scale=True),
-    # multilayer network 128-64-32 with two outputs, learning rate 0.005 (gradient descent, the solver that has one)
-    "mlp": Preset("mlp", "mlp", dict(hidden=(128, 64, 32), maxIter=200, tol=1e-3, seed=42, solver="gd", stepSize=0.005),
-                  scale=True),
+    # multilayer network 128-64-32 with two outputs, early stop by tolerance; L-BFGS has no learning rate
+    "mlp": Preset("mlp", "mlp", dict(hidden=(128, 64, 32), maxIter=200, tol=1e-3, seed=42), scale=True),
     "logistic": Preset("logistic", "lr", dict(maxIter=100, regParam=0.0)),
 }
 
@@ -353,6 +352,7 @@ def loss_history(model: PipelineModel) -> DataFrame | None:
     """``(iteration, loss)`` of the last stage when Spark records it."""
     last = model.stages[-1]
     summ = getattr(last, "summary", None) if getattr(last, "hasSummary", False) else None
+    summ = summ() if callable(summ) else summ
     hist = getattr(summ, "objectiveHistory", None) if summ is not None else None
     if hist is None:
         return None

@@ -131,7 +131,7 @@ SELECT CASE WHEN {_COMBO} = '' THEN '{prof.NO_MISSING_LABEL}' ELSE {_COMBO} END
 FROM v GROUP BY 1"""
 
 
-@register("null_combos", "Q3 Q6", NULL_COMBOS_SQL)
+@register("null_combos", "Q3", NULL_COMBOS_SQL)
 def q_null_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.missing_combinations(orders_with_nulls(spark, sf_dir))
 

@@ -200,7 +200,7 @@ COHESION_SQL = f"WITH {V} " + " UNION ALL ".join([
     _cohesion_sql("lineitem", "l_orderkey", "l_linestatus")])
 
 
-@register("group_cohesion", "R2 A9 A10 P5", COHESION_SQL)
+@register("group_cohesion", "R2 A9 A10", COHESION_SQL)
 def q_group_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = orders_with_nulls(spark, sf_dir)
     a = rel.cohesion(v, [("o_custkey", "o_orderstatus"), ("o_custkey", "o_orderpriority"),

@@ -90,7 +90,7 @@ def _rounded(df: DataFrame, cols=_ROUND6) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-@register("metrics", "E1 E3 E7 S12", METRICS_SQL)
+@register("metrics", "E1 E3", METRICS_SQL)
 def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = ev.metrics(scored(spark, sf_dir), "actual", "predicted", "score", model="score_model")
     return _rounded(m.select("Model", *_ROUND6))
@@ -165,7 +165,7 @@ SELECT 'random_model', round(accuracy, 6), round(precision, 6), round(recall, 6)
        round((SELECT roc_auc FROM {_auc_sql('score_b')}), 6), 1 FROM b"""
 
 
-@register("leaderboard", "E8 S12 S13 O3", LEADERBOARD_SQL)
+@register("leaderboard", "E8", LEADERBOARD_SQL)
 def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     a = ev.metrics(s, "actual", "predicted", "score", model="score_model")

@@ -18,7 +18,7 @@ FEATURES = ("o_orderstatus", "o_orderpriority", "c_mktsegment")
 
 
 # ---------------------------------------------------------------------- A4
-@register("frequency_dictionary", "A4 S7",
+@register("frequency_dictionary", "A4",
           f"WITH {V} SELECT * FROM {sqlgen.frequency_dictionary('v', FEATURES)}")
 def q_frequency_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imp.frequency_dictionary(orders_with_nulls(spark, sf_dir), FEATURES)
@@ -232,7 +232,7 @@ register("impute_fit_apply", "C12 C7 C8 C9 C10 C6 X1 A4 A5 A6 A7 J1 J5 W2 W3",
 
 
 # ---------------------------------------------------------------------- X1-X3
-@register("holdout_split", "X1 X4",
+@register("holdout_split", "X1",
           f"SELECT o_orderkey, CASE WHEN {_U_SPLIT} < 0.2 THEN 'test' ELSE 'train' END AS split FROM orders")
 def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_orderkey")

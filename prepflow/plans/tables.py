@@ -115,7 +115,7 @@ def passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every field is a deterministic function of the source rows; each field
     but the id and the label is NULL when the order key is divisible by its
-    own modulus.  The five costs come from one ``groupBy(l_orderkey)`` of
+    own modulus.  The label, four lines or more, is no function of any feature.  The five costs come from one ``groupBy(l_orderkey)`` of
     lineitem (map-side partial sums) joined to orders.
     """
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
@@ -130,7 +130,8 @@ def passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), rev)
               .otherwise(0.0)).alias("ShoppingMall"),
         F.sum(F.when(F.col("l_quantity") > 40, rev).otherwise(0.0)).alias("Spa"),
-        F.sum(F.when(F.col("l_discount") >= 0.09, rev).otherwise(0.0)).alias("VRDeck"))
+        F.sum(F.when(F.col("l_discount") >= 0.09, rev).otherwise(0.0)).alias("VRDeck"),
+        F.count(F.lit(1)).alias("n_lines"))
     j = (o.join(c, o.o_custkey == c.c_custkey, "left")
           .join(costs, o.o_orderkey == costs.l_orderkey, "left"))
     k = F.col("o_orderkey")
@@ -155,4 +156,25 @@ def passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
           (("RoomService", 61), ("FoodCourt", 67), ("ShoppingMall", 71), ("Spa", 73), ("VRDeck", 79))],
         nulled(F.concat_ws(" ", F.concat(F.lit("N"), k.cast("string")),
                            F.regexp_replace("c_name", "#", "")), 83).alias("Name"),
-        (F.col("o_orderstatus") != "O").alias("Transported"))
+        (F.coalesce("n_lines", F.lit(0)) >= 4).alias("Transported"))
+
+
+def passengers_sql() -> str:
+    """The columns of :func:`passengers` that rules read, as SQL text."""
+    planet = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_TO_PLANET.items())
+    rev = "l_extendedprice * (1 - l_discount)"
+    costs = (("RoomService", "l_returnflag = 'R'", 61), ("FoodCourt", "l_returnflag = 'A'", 67),
+             ("ShoppingMall", "l_returnflag = 'N' AND l_linestatus = 'O'", 71), ("Spa", "l_quantity > 40", 73),
+             ("VRDeck", "l_discount >= 0.09", 79))
+    sums = ", ".join(f"sum(CASE WHEN {cond} THEN {rev} ELSE 0.0 END) AS {name}" for name, cond, _ in costs)
+    return f"""
+SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '_' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS PassengerId,
+       CASE WHEN o_orderkey % 41 <> 0 THEN CASE c_mktsegment {planet} END END AS HomePlanet,
+       CASE WHEN o_orderkey % 37 <> 0 THEN o_orderstatus = 'F' END AS CryoSleep,
+       CASE WHEN o_orderkey % 43 <> 0 THEN substr('{DECKS}', CAST(c_nationkey % {len(DECKS)} + 1 AS INTEGER), 1)
+            || '/' || CAST(o_orderkey % 1900 AS VARCHAR) || '/' || CASE WHEN o_orderkey % 2 = 0 THEN 'P' ELSE 'S' END END AS Cabin,
+       CASE WHEN o_orderkey % 53 <> 0 THEN CAST(abs(c_acctbal) % 79 + 1 AS DOUBLE) END AS Age,
+       CASE WHEN o_orderkey % 59 <> 0 THEN o_totalprice > 400000 END AS VIP,
+       {", ".join(f"CASE WHEN o_orderkey % {m} <> 0 THEN {name} END AS {name}" for name, _, m in costs)}
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+LEFT JOIN (SELECT l_orderkey, {sums} FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey"""
