@@ -157,5 +157,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
         F.max_by("copies", "taken").alias("copies"), F.max_by("size", "taken").alias("size"))
     copies = F.transform(F.filter("copies", lambda c: c["take"] * 2 >= F.col("size")), lambda c: c["position"])
     plan = frozen(plan.select("id_", F.explode(copies).alias("position_")))
-    rows = docs.join(small_side(plan, plan.count()), docs["doc_id"].eqNullSafe(F.col("id_")))
-    return rows.orderBy("position_", docs["doc_id"]).select(*[docs[c] for c in docs.columns])
+    rows = docs.join(small_side(plan, plan.count()), docs["doc_id"].eqNullSafe(plan["id_"]))
+    return rows.orderBy(plan["position_"], docs["doc_id"]).select(*[docs[c] for c in docs.columns])

@@ -440,12 +440,12 @@ def keep_first(docs: DataFrame, similarity: Similarity = Similarity(5, 80)) -> D
     """The rows of ``docs`` whose document is the smallest of its component; a repeated ``doc_id`` stays once."""
     found = frozen(near_duplicates(docs, similarity))
     late = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("id_")).distinct()
-    kept = docs.join(small_side(late, found.count()), docs["doc_id"] == F.col("id_"), "left_anti")
+    kept = docs.join(small_side(late, found.count()), docs["doc_id"] == late["id_"], "left_anti")
     again = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id_")).count().where("count > 1")
     again = frozen(again.select("id_"))
     n = again.count()
     if n == 0:
         return kept
     twice = small_side(again, n)
-    return (kept.join(twice, kept["doc_id"] == F.col("id_"), "left_anti")
-            .unionByName(kept.join(twice, kept["doc_id"] == F.col("id_"), "left_semi").dropDuplicates(["doc_id"])))
+    return (kept.join(twice, kept["doc_id"] == again["id_"], "left_anti")
+            .unionByName(kept.join(twice, kept["doc_id"] == again["id_"], "left_semi").dropDuplicates(["doc_id"])))

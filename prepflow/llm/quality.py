@@ -136,5 +136,5 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     bad = (judge(docs, rules).groupBy(F.col("doc_id").alias("id_"), F.col("content").alias("content_"))
            .agg(F.max("kept").alias("any_")).where(~F.col("any_")).select("id_", "content_"))
     bad = frozen(bad)
-    on = docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("content_"))
+    on = docs["doc_id"].eqNullSafe(bad["id_"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["content_"])
     return docs.join(small_side(bad, bad.count()), on, "left_anti")

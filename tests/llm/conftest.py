@@ -23,5 +23,5 @@ def odd_documents(spark, odd_texts):
     """``documents`` of the odd texts, with repeated rows, NULL ids and sources, and clashing extra columns."""
     rows = [(i, t, None if i % 5 == 0 else f"s{i % 3}", i, i, i, i) for i, t in enumerate(odd_texts)]
     rows += [rows[3], rows[9], (None, "no id here at all", "s1", 1, 1, 1, 1)]
-    schema = "doc_id long, text string, source string, size int, spans int, words int, position int"
+    schema = "doc_id long, text string, source string, size int, id_ int, words int, position_ int"
     return spark.createDataFrame(rows, schema).repartition(3)
