@@ -108,7 +108,7 @@ def normalise_bool(df: DataFrame, c: str) -> Column:
     other non-null value is kept as its string form; NULL stays NULL.
     """
     dtype = df.schema[c].dataType
-    x = F.col(c)
+    x = q(c)
     if isinstance(dtype, T.BooleanType):
         return F.when(x, F.lit("True")).when(~x, F.lit("False")).alias(c)
     if isinstance(dtype, T.NumericType):
@@ -122,7 +122,7 @@ def normalise_bool(df: DataFrame, c: str) -> Column:
 def coerce_prediction(df: DataFrame, c: str) -> Column:
     """Predictions to boolean: strings equal to 'true' in any case are true."""
     dtype = df.schema[c].dataType
-    x = F.col(c)
+    x = q(c)
     if isinstance(dtype, T.StringType):
         return F.coalesce(F.lower(x) == F.lit("true"), F.lit(False))
     return x.cast(T.BooleanType())

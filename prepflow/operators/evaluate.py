@@ -194,14 +194,15 @@ def class_report(df: DataFrame, actual: str | Column, predicted: str | Column) -
 def kfold_summary(df: DataFrame, fold: str, actual: str | Column, predicted: str | Column,
                   score: str | None = None) -> DataFrame:
     """E6 + A14 + A15: mean of each fold metric, population std of accuracy,
-    summed confusion cells, number of folds; one row."""
+    summed and mean confusion cells, number of folds; one row."""
     per = metrics(df, actual, predicted, score, keys=[fold])
     return per.agg(F.count(F.lit(1)).alias("n_folds"),
                    F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
                    F.avg("precision").alias("precision_mean"), F.avg("recall").alias("recall_mean"),
                    F.avg("f1").alias("f1_mean"), F.avg("roc_auc").alias("roc_auc_mean"),
                    F.sum("tp").alias("tp_sum"), F.sum("fp").alias("fp_sum"),
-                   F.sum("fn").alias("fn_sum"), F.sum("tn").alias("tn_sum"))
+                   F.sum("fn").alias("fn_sum"), F.sum("tn").alias("tn_sum"),
+                   *[F.avg(c).alias(f"{c}_mean") for c in ("tp", "fp", "fn", "tn")])
 
 
 LEADERBOARD_COLUMNS = ("Model", "accuracy", "precision", "recall", "f1", "roc_auc")

@@ -44,7 +44,7 @@ def with_group_stats(df: DataFrame, key: str, stats: Mapping[str, Column],
     agg_df = (df.where(q(key).isNotNull())
               .groupBy(q(key).alias(tmp_key))
               .agg(*[agg.alias(name) for name, agg in stats.items()]))
-    out = df.join(agg_df, df[key] == agg_df[tmp_key], "left").drop(tmp_key)
+    out = df.join(agg_df, q(key) == q(tmp_key), "left").drop(tmp_key)
     return out
 
 

@@ -141,7 +141,8 @@ SELECT count(*) AS n_folds, round(avg(accuracy), 6) AS accuracy_mean, round(stdd
        round(avg(precision), 6) AS precision_mean, round(avg(recall), 6) AS recall_mean,
        round(avg(f1), 6) AS f1_mean, round(avg(roc_auc), 6) AS roc_auc_mean,
        CAST(sum(tp) AS BIGINT) AS tp_sum, CAST(sum(fp) AS BIGINT) AS fp_sum,
-       CAST(sum(fn) AS BIGINT) AS fn_sum, CAST(sum(tn) AS BIGINT) AS tn_sum
+       CAST(sum(fn) AS BIGINT) AS fn_sum, CAST(sum(tn) AS BIGINT) AS tn_sum,
+       round(avg(tp), 6) AS tp_mean, round(avg(fp), 6) AS fp_mean, round(avg(fn), 6) AS fn_mean, round(avg(tn), 6) AS tn_mean
 FROM per JOIN auc USING (fold)"""
 
 

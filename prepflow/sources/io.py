@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import q
 from ..session import ensure_checkpoint_dir
 
 # Declared schema of the raw passenger table (column names and types are
@@ -81,7 +82,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not fl:
         return df
-    return df.withColumns({c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)) for c in fl})
+    return df.withColumns({c: F.when(F.isnan(q(c)), F.lit(None)).otherwise(q(c)) for c in fl})
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
