@@ -414,10 +414,10 @@ def _group_stats(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
 def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeState, DataFrame]:
     """Fit the imputation state on ``train``; returns ``(state, prepared_train)``.
 
-    The prepared train frame (rules applied, before any statistical fill) is
-    persisted because it feeds several fits; the caller may unpersist it.
+    The prepared train frame (rules applied, before any statistical fill) feeds
+    several fits and the caller: computed once, in the checkpoint folder.
     """
-    base = _prepare(train, cfg).persist()
+    base = freeze(_prepare(train, cfg)).df
     medians = None
     if cfg.cascade_target and cfg.cascade_target in base.columns:
         keys = [_pre_key(k) for k in cfg.cascade_keys if _pre_key(k) in base.columns]

@@ -18,6 +18,7 @@ from ..operators import impute as imp
 from ..operators import split as sp
 from ..operators.features import CompositeConfig, split_composite, spend_features
 from ..operators.reshape import drop_existing
+from ..operators.state import freeze
 
 CATEGORICAL = ("HomePlanet", "CryoSleep", "Destination", "VIP", "Deck", "Side")
 KEY = "PassengerId"
@@ -29,19 +30,13 @@ class Prepared:
     tree: DataFrame
     nn: DataFrame
     states: list = field(default_factory=list)
-    cached: list = field(default_factory=list)
-
-    def release(self) -> None:
-        """Unpersist the imputed train frames once the outputs are written."""
-        for df in self.cached:
-            df.unpersist()
 
 
 def _one_split(train: DataFrame, test: DataFrame, cfg: imp.ImputeConfig, drop_columns: Sequence[str],
                label: dict) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, object]:
     tr, te, state = imp.fit_apply(train, test, cfg)
-    # the imputed train frame feeds the encoder fit and the output: persist it
-    tr = spend_features(tr).persist()
+    # the imputed train frame feeds the encoder fit and the output: computed once
+    tr = freeze(spend_features(tr)).df
     te = spend_features(te)
     tree_tr, tree_te = enc.passthrough_encode(tr), enc.passthrough_encode(te)
     oh = enc.onehot_fit(tree_tr, CATEGORICAL)
@@ -51,7 +46,7 @@ def _one_split(train: DataFrame, test: DataFrame, cfg: imp.ImputeConfig, drop_co
     return (tree_tr.withColumns({**lit, "split": F.lit(sp.TRAIN)}),
             tree_te.withColumns({**lit, "split": F.lit(sp.TEST)}),
             nn_tr.withColumns({**lit, "split": F.lit(sp.TRAIN)}),
-            nn_te.withColumns({**lit, "split": F.lit(sp.TEST)}), (state, oh, tr))
+            nn_te.withColumns({**lit, "split": F.lit(sp.TEST)}), (state, oh))
 
 
 def prepare(train_raw: DataFrame, test_raw: DataFrame | None = None, mode: str = "holdout",
@@ -75,7 +70,7 @@ def prepare(train_raw: DataFrame, test_raw: DataFrame | None = None, mode: str =
         te = split_composite(test_raw, is_train=False, config=comp, keep=[KEY])
         a, b, c, d, st = _one_split(tr, te, impute_config, drop_columns, {})
         return Prepared(a.unionByName(b, allowMissingColumns=True),
-                        c.unionByName(d, allowMissingColumns=True), [st[:2]], [st[2]])
+                        c.unionByName(d, allowMissingColumns=True), [st])
     data = split_composite(both_raw if both_raw is not None else train_raw, is_train=True, config=comp,
                            keep=[KEY])
     if mode == "holdout":
@@ -83,9 +78,10 @@ def prepare(train_raw: DataFrame, test_raw: DataFrame | None = None, mode: str =
         a, b, c, e, st = _one_split(d.where(F.col("split") == sp.TRAIN).drop("split"),
                                     d.where(F.col("split") == sp.TEST).drop("split"),
                                     impute_config, drop_columns, {})
-        return Prepared(a.unionByName(b), c.unionByName(e, allowMissingColumns=True), [st[:2]], [st[2]])
+        return Prepared(a.unionByName(b), c.unionByName(e, allowMissingColumns=True), [st])
     if mode == "kfold":
-        d = sp.kfold(data, KEY, k, seed, exact=exact, group_key=group_key, col="__fold")
+        # every fold reads the split rows twice: computed once
+        d = freeze(sp.kfold(data, KEY, k, seed, exact=exact, group_key=group_key, col="__fold")).df
         trees, nns, states = [], [], []
         for i in range(k):
             a, b, c, e, st = _one_split(d.where(F.col("__fold") != i).drop("__fold"),
@@ -100,7 +96,7 @@ def prepare(train_raw: DataFrame, test_raw: DataFrame | None = None, mode: str =
         nn = nns[0]
         for t in nns[1:]:
             nn = nn.unionByName(t, allowMissingColumns=True)
-        return Prepared(tree, nn, [x[:2] for x in states], [x[2] for x in states])
+        return Prepared(tree, nn, states)
     raise ValueError(f"unknown mode {mode}")
 
 
