@@ -52,8 +52,8 @@ from .common import Recent, frozen, small_side
 from .components import components
 
 HOT_BITS = 22
-HOT_BUFFER = 2_000_000  # elements counted together in a task
-HOT_IN_BUFFER = 4
+HOT_BUFFER = 6_000_000  # elements counted together in a task
+HOT_IN_BUFFER = 2
 SIGNATURE_BUFFER = 1_000_000
 LEAF, FANOUT = 16, 8
 
@@ -64,7 +64,7 @@ class Similarity:
 
     words: int = 4
     percent: int = 85
-    block_elements: int = 2_000_000  # of a group, in one task
+    block_elements: int = 4_000_000  # of a group, in one task
     block_sets: int = 4096
 
     def linked(self, a: int, b: int, common: int) -> bool:
@@ -171,7 +171,7 @@ def _facts(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
 
 def _common_elements(facts: DataFrame, documents: int) -> np.ndarray:
     """Bitmap over the top ``HOT_BITS`` bits of elements: those that many documents share (2 ** 16 words at most)."""
-    least = max(64, documents // 4096)
+    least = max(16, documents // 16384)
     slot = F.shiftrightunsigned("element", 64 - HOT_BITS)
     words = (facts.where(F.col("element").isNotNull()).groupBy("element").agg(F.sum("times").alias("times"))
              .where(F.col("times") >= least)
