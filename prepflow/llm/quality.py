@@ -8,7 +8,8 @@ line are counted, copies of a text counting once.  Lines in more than
 document that keeps less than ``min_left`` of its words, or fewer than
 ``min_words`` of them, without its boilerplate is depleted and rejected, as is
 one that fails the rules on its own text: too few words, or too many words in
-five-word windows that occur again in the text.
+five-word windows that occur again in the text.  ``cleaned`` gives the kept rows
+with the boilerplate lines taken out of their texts.
 
 All is DataFrame expressions.  Counting shuffles one narrow row per distinct line
 of a document, combined before the shuffle, so a line in a third of all documents
@@ -111,12 +112,24 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     """
     rows = docs.select(q(id_col).cast("long").alias("doc_id"), q(source_col).alias("source"),
                        text_or_empty(text_col).alias("text"))
+    return _judged(rows, rules).select(
+        "doc_id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate",
+        "base_failed", "kept")
+
+
+def _frequent_hits(rows: DataFrame, rules: Rules) -> DataFrame:
+    """The lines of documents that are boilerplate: ``doc_id, source, content, place, line, words``, each place once."""
     frequent = frozen(boilerplate_lines(rows, rules))
     frequent = small_side(frequent, frequent.count()).withColumnsRenamed({"source": "host", "line": "line_"})
     hit = lines_of(rows).join(frequent, F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("line_")))
     # repeated rows of a document list the same places
-    lost = (hit.select("doc_id", "source", "content", "place", "words").distinct()
-            .groupBy("doc_id", "source", "content").agg(F.sum("words").alias("n_boilerplate"))
+    return hit.select("doc_id", "source", "content", "place", "line", "words").distinct()
+
+
+def _judged(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``judge`` with ``source`` and ``places`` (of boilerplate lines, NULL without any), from ``doc_id, source, text``."""
+    lost = (_frequent_hits(rows, rules).groupBy("doc_id", "source", "content")
+            .agg(F.sum("words").alias("n_boilerplate"), F.collect_set("place").alias("places"))
             .withColumnsRenamed({"doc_id": "doc_", "source": "source_", "content": "content_"}))
     measured = text_measures(rows.withColumn("content", F.xxhash64("text")), rules).drop("text")
     joined = measured.join(lost, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("content") == F.col("content_"))
@@ -126,8 +139,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     left = F.col("n_words") - F.col("n_boilerplate")
     depleted = (left < rules.min_words) | (left < F.col("n_words") * F.lit(rules.min_left))
     return joined.withColumn("n_boilerplate", F.coalesce("n_boilerplate", F.lit(0)).cast("long")).select(
-        "doc_id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+        "doc_id", "source", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "n_boilerplate", "places", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -138,3 +151,29 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     bad = frozen(bad)
     on = docs["doc_id"].eqNullSafe(bad["id_"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["content_"])
     return docs.join(small_side(bad, bad.count()), on, "left_anti")
+
+
+def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The kept rows of ``docs``, their ``text`` without its boilerplate lines and ``n_chars`` (if there) renewed.
+
+    Every row is judged with its own source.  Texts without boilerplate stay as they are.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_or_empty("text").alias("text"))
+    changed = (_judged(rows, rules).where(~F.col("kept") | F.col("places").isNotNull())
+               .select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("content").alias("content_"),
+                       F.col("kept").alias("kept_"), F.when(F.col("kept"), F.col("places")).alias("places_"))
+               .dropDuplicates(["id_", "source_", "content_"]))
+    changed = frozen(changed)
+    weight = changed.agg(F.sum(1 + F.greatest(F.size("places_"), F.lit(0)))).first()[0] or 0
+    on = (docs["doc_id"].cast("long").eqNullSafe(changed["id_"]) & docs["source"].eqNullSafe(changed["source_"])
+          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == changed["content_"]))
+    d = docs.join(small_side(changed, weight), on, "left").where(F.coalesce("kept_", F.lit(True)))
+    cut = F.col("places_").isNotNull()
+    d = d.withColumn("lines_", F.when(cut, F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("places_"))
+    d = d.withColumn("text", F.when(cut, F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n"))
+                     .otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType))
+                         .otherwise(F.col("n_chars")))
+    return d.select(*[q(c) for c in docs.columns])

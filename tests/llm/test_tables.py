@@ -11,7 +11,7 @@ import corpus_pipeline
 from prepflow.llm.html_extract import extract_main_text, main_text
 from prepflow.llm.mixing import SCHEDULES, Schedule, mix, mixed_documents
 from prepflow.llm.ngram_join import Similarity, keep_first, near_duplicates
-from prepflow.llm.quality import Rules, judge, keep_good
+from prepflow.llm.quality import Rules, cleaned, judge, keep_good
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -174,6 +174,26 @@ def test_boilerplate_depletes_documents(spark):
     assert keep_good(docs, Rules(max_repeat_percent=100)).count() == len(rows) - 1
 
 
+def test_boilerplate_leaves_the_texts(spark):
+    """Kept texts lose their frequent lines and nothing else; the others stay byte for byte."""
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    own = lambda i: " ".join(f"{letters(i)}x{letters(j)}" for j in range(30))
+    rows = [(i, f"Please accept  our cookies {i}\n{own(i)}\n\n {own(1000 + i)} \nplease accept our COOKIES 1", "a", 1)
+            for i in range(40)]
+    rows += [rows[3], (None, rows[4][1], "a", 1), (3, rows[3][1], "b", 1), (4, rows[4][1], None, 1)]
+    rows += [(100, "please accept our cookies 7\n" + own(100)[:20], "a", 1), (101, " \n" + own(101) + "\n", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(3)
+    found = cleaned(docs, Rules(max_repeat_percent=100))
+    assert found.schema == docs.schema
+    short = {i: f"{own(i)}\n\n {own(1000 + i)} " for i in range(40)}
+    expected = Counter((i, short[i], "a", len(short[i])) for i in (*range(40), 3))
+    expected.update([(None, short[4], "a", len(short[4])), rows[42], rows[43], rows[45]])
+    assert Counter(tuple(r) for r in found.collect()) == expected
+    assert cleaned(docs.limit(0)).count() == 0
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "")
+    assert not stage.where("source = 'a' and lower(text) like '%cookies%'").count()
+
+
 # ------------------------------------------------------------------ main text
 def test_main_text_of_one_page():
     page = ('<html><body class="x no-sidebar"><header><h1>Site</h1></header><main><article><header><h1>T &amp; U</h1></header>'
