@@ -3,7 +3,8 @@
 Lines are normalised (A-Z lower-cased, white space to one space,
 numbers to 0)
 and hashed; per host (the ``source`` column) the distinct documents with each
-line are counted, copies of a text counting once.  Lines in more than
+line are counted, copies of a text counting once (and with ``alike_percent``
+below 100 near copies, too, so a family of them is not its own boilerplate).  Lines in more than
 ``max(min_documents, share * documents of the host)`` are boilerplate.  A
 document that keeps less than ``min_left`` of its words, or fewer than
 ``min_words`` of them, without its boilerplate is depleted and rejected, as is
@@ -28,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .common import SPACES, WORD, frozen, small_side, text_or_empty
+from .common import BROADCAST_ROWS, SPACES, WORD, frozen, small_side, text_or_empty
+from .components import components
 
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -42,6 +44,10 @@ class Rules:
     min_documents: int = 20  # a line in no more documents of a host is never boilerplate
     share: float = 0.01  # of the host's distinct documents
     min_left: float = 0.2  # of the words, without boilerplate lines
+    alike_percent: int = 100  # texts with so many of their windows in common count once per line; 100: equal texts
+
+
+BINS, BIN_SHIFT, BAND = 64, 58, 4
 
 
 def words_of(text: Column) -> Column:
@@ -91,7 +97,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(``source``, ``line``) above the host's limit."""
+    """(``source``, ``line``, ``limit``) of lines in more distinct texts than the host's limit."""
     lines = lines_of(docs).select("source", "line", "content").distinct()
     counts = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
     hosts = (docs.select(F.col("source").alias("host"), F.xxhash64("text").alias("content")).distinct()
@@ -99,7 +105,54 @@ def boilerplate_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                                              F.count(F.lit(1)) * F.lit(rules.share)).alias("limit")))
     counts = counts.where(F.col("n") > rules.min_documents)
     return (counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("n") > F.col("limit"))
-            .select("source", "line"))
+            .select("source", "line", "limit"))
+
+
+def _sketches(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``content`` and ``sketch`` of every row: the smallest window hash in each of ``BINS`` ranges of hashes.
+
+    Windows are of lower-case words; a text shorter than one is one window.
+    """
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    d = rows.withColumn("words", words_of(plain))
+    d = d.withColumn("hashes", F.sort_array(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("words") - (rules.window - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice("words", i, rules.window)))))
+    bin_of = lambda x: F.shiftright(x, BIN_SHIFT)
+    first = F.filter("hashes", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("hashes", i - 1))))
+    return d.select(F.xxhash64("text").alias("content"), first.alias("sketch"))
+
+
+def _families(rows: DataFrame, contents: DataFrame, rules: Rules) -> DataFrame:
+    """(``node``, ``root``): texts among ``contents`` alike in ``alike_percent`` of their windows, linked in chains.
+
+    Sketches with an equal band of bins are compared with one of them, chosen anew
+    for each band; the share of equal bins estimates the share of common windows.
+    """
+    n = contents.count()
+    named = contents.withColumnRenamed("content", "content_")
+    if n <= BROADCAST_ROWS:  # only their texts are read; else sketches of all texts are shuffled, not the texts
+        rows = rows.join(F.broadcast(named), F.xxhash64("text") == F.col("content_"), "left_semi")
+        own = _sketches(rows, rules)
+    else:
+        own = _sketches(rows, rules).join(named, F.col("content") == F.col("content_"), "left_semi")
+    own = frozen(own.dropDuplicates(["content"]))
+    band_of = lambda x: F.shiftright(x, BIN_SHIFT + 2)
+    bands = F.filter(F.transform(
+        F.sequence(F.lit(-BINS // BAND // 2).cast("long"), F.lit(BINS // BAND // 2 - 1).cast("long")),
+        lambda b: F.filter("sketch", lambda x: band_of(x) == b)), lambda x: F.size(x) > 0)
+    sent = own.select("content", F.explode(bands).alias("band")).select("content", F.xxhash64("band").alias("band"))
+    heads = (sent.groupBy(F.col("band").alias("band_"))
+             .agg(F.min_by("content", F.xxhash64("content", "band")).alias("head"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("band_", "head"))
+    pairs = (sent.join(heads, F.col("band") == F.col("band_")).where(F.col("content") != F.col("head"))
+             .select(F.least("content", "head").alias("u"), F.greatest("content", "head").alias("v")).distinct())
+    a = own.select(F.col("content").alias("u"), F.col("sketch").alias("a"))
+    b = own.select(F.col("content").alias("v"), F.col("sketch").alias("b"))
+    bins = lambda x: F.transform(x, lambda h: F.shiftright(h, BIN_SHIFT))
+    alike = (F.size(F.array_intersect("a", "b")) * 100
+             >= F.size(F.array_union(bins("a"), bins("b"))) * rules.alike_percent)
+    return components(pairs.join(a, "u").join(b, "v").where(alike).select("u", "v"))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text",
@@ -121,9 +174,21 @@ def _frequent_hits(rows: DataFrame, rules: Rules) -> DataFrame:
     """The lines of documents that are boilerplate: ``doc_id, source, content, place, line, words``, each place once."""
     frequent = frozen(boilerplate_lines(rows, rules))
     frequent = small_side(frequent, frequent.count()).withColumnsRenamed({"source": "host", "line": "line_"})
-    hit = lines_of(rows).join(frequent, F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("line_")))
+    on = F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("line_"))
     # repeated rows of a document list the same places
-    return hit.select("doc_id", "source", "content", "place", "line", "words").distinct()
+    hit = (lines_of(rows).join(frequent, on).select("doc_id", "source", "content", "place", "line", "words", "limit")
+           .distinct())
+    if rules.alike_percent >= 100:
+        return hit.drop("limit")
+    hit = frozen(hit)
+    families = _families(rows, hit.select("content").distinct(), rules)
+    counted = (hit.select("source", "line", "limit", "content").distinct()
+               .join(families, F.col("content") == F.col("node"), "left")
+               .select("source", "line", "limit", F.coalesce("root", "content").alias("one")).distinct()
+               .groupBy("source", "line", "limit").agg(F.count(F.lit(1)).alias("n")))
+    still = frozen(counted.where(F.col("n") > F.col("limit")).select(F.col("source").alias("host"),
+                                                                     F.col("line").alias("line_")))
+    return hit.drop("limit").join(small_side(still, still.count()), on, "left_semi")
 
 
 def _judged(rows: DataFrame, rules: Rules) -> DataFrame:

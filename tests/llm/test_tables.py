@@ -194,6 +194,31 @@ def test_boilerplate_leaves_the_texts(spark):
     assert not stage.where("source = 'a' and lower(text) like '%cookies%'").count()
 
 
+@pytest.mark.parametrize("n, edits", [(30, 1), (120, 1), (60, 3)])
+def test_near_copies_are_not_their_own_boilerplate(spark, n, edits):
+    """Of a family of near copies one member comes through two stages, whole; a shared frame still goes."""
+    rng = random.Random(n)
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    own = lambda i: " ".join(f"{letters(i)}x{letters(j)}" for j in range(40))
+    base = [[f"{letters(i)}w{letters(j)}" for j in range(12 * edits)] for i in range(10)]
+
+    def copy(i):
+        lines = [list(x) for x in base]
+        for e, at in enumerate(rng.sample(range(10), edits)):
+            lines[at][rng.randrange(12 * edits)] = f"edit{letters(i)}x{letters(e)}"
+        return "\n".join(map(" ".join, lines))
+
+    rows = [(i, copy(i), "a") for i in range(n)]
+    rows += [(1000 + i, f"All our offers of the day\n{own(1000 + i)}\nImprint and terms", "a") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality_rules"](spark, docs, "")
+    texts = {r.doc_id: r.text for r in good.collect()}
+    assert texts == {i: t if i < 1000 else own(i) for i, t, _ in rows}
+    left = [r.doc_id for r in stage["near_duplicates"](spark, good, "").collect()]
+    assert [i for i in left if i < 1000] == [0] and len(left) == 61
+
+
 # ------------------------------------------------------------------ main text
 def test_main_text_of_one_page():
     page = ('<html><body class="x no-sidebar"><header><h1>Site</h1></header><main><article><header><h1>T &amp; U</h1></header>'
