@@ -1,5 +1,6 @@
 """Personal data, licences, secrets and fingerprints against brute force."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -149,3 +150,21 @@ def test_fingerprints_are_homomorphic(spark):
         .select("x", "y", "p", fingerprints.inserted(F.col("p"), F.col("q")).alias("both"),
                 fingerprints.deleted(F.col("x"), F.col("q")).alias("less")).first()
     assert r.x == r.y == r.both and r.less == r.p
+
+
+def test_likeness_holds_at_any_length(spark):
+    """Texts with the last quarter replaced, of 40 to 2000 sentences or one unbroken paragraph; other texts are not alike."""
+    rng = random.Random(4)
+    sentence = lambda: " ".join("".join(rng.choices("abcdeilnorst", k=5)) for _ in range(12))
+    rows = []
+    for n, end in ((40, ". "), (200, ". "), (2000, ". "), (200, " ")):
+        own = [sentence() for _ in range(n)]
+        cut = n - n // 4
+        rows += [(n, end, end.join(own), end.join(own[:cut] + [sentence() for _ in range(n - cut)]),
+                  end.join(sentence() for _ in range(n)))]
+    docs = spark.createDataFrame(rows, "n int, end string, x string, y string, z string")
+    v = lambda c: fingerprints.vector(fingerprints.paragraphs_of(F.col(c))).alias(c)
+    found = docs.select("n", "end", v("x"), v("y"), v("z")).select(
+        "n", "end", fingerprints.likeness(F.col("x"), F.col("y")).alias("edited"),
+        fingerprints.likeness(F.col("x"), F.col("z")).alias("other")).collect()
+    assert all(0.58 <= r.edited <= 0.92 and r.other <= 0.5 for r in found), found
