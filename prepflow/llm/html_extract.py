@@ -189,9 +189,31 @@ def _count_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def _page_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [_hash("", "\n".join([f"{kind} {path} {text}" for kind, path, text, _, _ in blocks_of(html.as_py() or "")]))
+                for html in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["host", "page", "key"])
+
+
+def _distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host, page, html`` with one page of each sequence of blocks on a host; ``page`` is a hash of host and html."""
+    pages = pages.where(F.col("host").isNotNull()).select("host", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("page"), "html")
+    keys = frozen(pages.mapInArrow(_page_keys, "host string, page long, key long").groupBy("host", "key", "page")
+                  .agg(F.count(F.lit(1)).alias("n")))
+    low = keys.groupBy("host", "key").agg(F.min("page").alias("low"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    copies = frozen(keys.join(low, ["host", "key"]).select(F.col("page").alias("page_"), (F.col("page") == F.col("low")).alias("first"))
+                    .distinct())
+    copies = small_side(copies, copies.count())
+    same = F.col("page") == F.col("page_")
+    single = pages.join(copies, same, "left_anti")
+    # only the html of pages that are copied is shuffled
+    return single.unionByName(pages.join(copies.where("first"), same, "left_semi").dropDuplicates(["host", "page"]))
+
+
 def templates(pages: DataFrame, deduction: Deduction = Deduction()) -> DataFrame:
-    """(``host_``, ``tokens``): the blocks of each host's template, from ``host, page, html``."""
-    counted = pages.where(F.col("host").isNotNull()).select("host", "page", "html").mapInArrow(_count_tokens, COUNTED)
+    """(``host_``, ``tokens``): the blocks of each host's template, from ``host, html``; copies of a page count once."""
+    counted = _distinct_pages(pages).mapInArrow(_count_tokens, COUNTED)
     tokens = frozen(counted.groupBy("host", "token").agg(
         F.max("kind").alias("kind"), *(F.sum(c).alias(c) for c in ("pages", "times", "r1", "r2")))
         .where((F.col("pages") >= deduction.min_pages) | (F.col("kind") == PAGES)))
@@ -226,8 +248,7 @@ def extract_main_text(pages: DataFrame, deduction: Deduction = Deduction(), salt
     host = F.lower(F.regexp_extract(q(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(q(id_col).cast("long").alias("page_id"), q(url_col).alias("url"), q(html_col).alias("html"),
                         F.when(host != "", host).alias("host"))
-    hashed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
-    found = frozen(templates(hashed, deduction))
+    found = frozen(templates(rows, deduction))
     n = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
     if n <= 400_000:
         joined = rows.join(small_side(found, n), F.col("host") == F.col("host_"), "left")

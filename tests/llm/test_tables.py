@@ -250,6 +250,25 @@ def test_template_is_deduced(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_copies_of_a_page_are_no_template(spark, tag):
+    """12 equal pages, repeated rows and pages that differ outside their blocks keep their text."""
+    page = lambda i, more="": (f"<body{more}><div><p>Our shop of good things</div><{tag}><p>Text {i} of its own</p></{tag}>"
+                               "<div><p>All prices in euro</div></body>")
+    whole = lambda i: f"Our shop of good things\n\nText {i} of its own\n\nAll prices in euro"
+    rows = [(i, f"https://one.example/{i}", page(1)) for i in range(12)]
+    rows += [(20, "https://two.example/", page(2))] * 12
+    rows += [(30 + i, f"https://three.example/{i}", page(3, f" data-url='/{i}'")) for i in range(12)]
+    rows += [(60 + i, f"https://four.example/{i}", page(max(0, i - 20))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = extract_main_text(pages).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        i = 1 if r.page_id < 20 else 2 if r.page_id < 30 else 3 if r.page_id < 60 else max(0, r.page_id - 80)
+        own = f"Text {i} of its own"
+        assert r.text == (own if r.page_id >= 60 or tag == "article" else whole(i))
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
