@@ -131,20 +131,19 @@ def q_passenger_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.prepare(passengers(spark, sf_dir), mode="holdout").nn
 
 
-@register("passenger_full", "X4 C1 C7 C8 C9 C10 C12 C13 C14 C15 P11")
+@register("passenger_full", "X4 C1 C7 C8 C9 C10 C11 C12 C13 C14 C15 P11")
 def q_passenger_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preparation in full mode: fitted on one table, applied to another without labels."""
+    """The preparation in full mode, with the zone forest: fitted on one table, applied to another without labels."""
     d = sp.holdout_split(passengers(spark, sf_dir), "PassengerId", 0.2, seed=42)
     train = d.where(F.col("split") == sp.TRAIN).drop("split")
     test = d.where(F.col("split") == sp.TEST).drop("split", "Transported")
-    return pl.prepare(train, test, mode="full", impute_config=imp.ImputeConfig(zone_model=None)).tree
+    return pl.prepare(train, test, mode="full").tree
 
 
-@register("passenger_kfold", "X2 C1 C7 C8 C9 C10 C12 C13 C14 C15 P11")
+@register("passenger_kfold", "X2 C1 C7 C8 C9 C10 C11 C12 C13 C14 C15 P11")
 def q_passenger_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preparation in k-fold mode, fitted anew on the training rows of each of three folds."""
-    return pl.prepare(passengers(spark, sf_dir), mode="kfold", k=3,
-                      impute_config=imp.ImputeConfig(zone_model=None)).tree
+    """The preparation in k-fold mode, with the zone forest, fitted anew on the training rows of each of three folds."""
+    return pl.prepare(passengers(spark, sf_dir), mode="kfold", k=3).tree
 
 
 @register("passenger_model", "M1 M11 E1 E3 E8 S12")

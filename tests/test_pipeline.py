@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from prepflow.operators import impute as imp
 from prepflow.plans import pipeline as pl
 from prepflow.sources.io import PASSENGER_SCHEMA
 
@@ -58,3 +60,18 @@ def test_full_prepare(spark):
     assert test.count() == 30
     for c in IMPUTED:
         assert test.where(F.col(c).isNull()).count() == 0, c
+
+
+@pytest.mark.parametrize("name", ["passenger_full", "passenger_kfold"])
+def test_queries_of_modes_train_the_zone_forest(spark, monkeypatch, name):
+    from prepflow.plans import catalog  # noqa: F401
+    from prepflow.plans.registry import REGISTRY
+    configs = []
+
+    def prepare(*args, impute_config=imp.ImputeConfig(), **kwargs):
+        configs.append(impute_config)
+        return pl.Prepared(args[0], args[0])
+
+    monkeypatch.setattr(pl, "prepare", prepare)
+    REGISTRY[name].fn(spark, "/root/testdata/sf0.001")
+    assert configs == [imp.ImputeConfig()] and configs[0].zone_model is not None
