@@ -212,3 +212,133 @@ FROM g
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# ------------------------------------------------------------------ 11 near vectors
+from .vector_join import near_vectors  # noqa: E402
+
+OP11_SQL = r"""
+WITH RECURSIVE
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, row_number() OVER () AS r FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+low AS (SELECT reach.a, min(v.vec_id) AS low FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_links, COALESCE(low.low, v.vec_id) AS component_id,
+       v.vec_id IS NOT DISTINCT FROM COALESCE(low.low, v.vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN low ON low.a = v.r
+"""
+
+
+@register("op11_pivot_cells", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------ 12 Merkle manifest
+from . import manifest as merkle  # noqa: E402
+
+OP12_SQL = r"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, lang, row_number() OVER () AS r, text,
+         concat(COALESCE(concat(strlen(doc_id::VARCHAR), ':', doc_id), '-'),
+                COALESCE(concat(strlen(source), ':', source), '-'), COALESCE(concat(strlen(lang), ':', lang), '-'),
+                COALESCE(concat(strlen(n_chars::VARCHAR), ':', n_chars), '-')) AS head,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END)) AS crc
+  FROM documents),
+h AS (
+  SELECT doc_id, lang, r, sha256(head || COALESCE(concat(strlen(text), ':', text), '-')) AS leaf,
+         sha256(head || COALESCE(concat(strlen(text), ':',
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '-')) AS lowered,
+         doc_id IS NOT NULL AND xor(crc, 4294967295) % 3 = 0 AS hit
+  FROM d),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n FROM h),
+up AS (
+  SELECT lang, 0 AS level, i, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY i))
+  FROM up WHERE n > 1 GROUP BY lang, level, n, i // 8),
+runs AS (SELECT lang, level, i // 8 AS run, list(node ORDER BY i) AS nodes FROM up WHERE n > 1 GROUP BY lang, level, i // 8),
+subs AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+         FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, n, subroot AS node FROM subs
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, n, i // 8),
+top_runs AS (SELECT level, i // 8 AS run, list(node ORDER BY i) AS nodes FROM top WHERE n > 1 GROUP BY level, i // 8),
+steps AS (
+  SELECT r, lang, 0 AS level, i, CASE WHEN hit THEN lowered ELSE leaf END AS node, '' AS seen FROM leaves
+  UNION ALL
+  SELECT s.r, s.lang, s.level + 1, s.i // 8,
+         sha256(array_to_string(t.nodes[1:s.i % 8], '') || s.node || array_to_string(t.nodes[s.i % 8 + 2:], '')),
+         s.seen || array_to_string(t.nodes[1:s.i % 8], '') || array_to_string(t.nodes[s.i % 8 + 2:], '')
+  FROM steps s JOIN runs t ON t.lang IS NOT DISTINCT FROM s.lang AND t.level = s.level AND t.run = s.i // 8),
+in_tree AS (SELECT r, lang, arg_max(node, level) AS node, arg_max(seen, level) AS seen FROM steps GROUP BY r, lang),
+climb AS (
+  SELECT t.r, 0 AS level, s.i, t.node, t.seen FROM in_tree t JOIN subs s ON s.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT c.r, c.level + 1, c.i // 8,
+         sha256(array_to_string(t.nodes[1:c.i % 8], '') || c.node || array_to_string(t.nodes[c.i % 8 + 2:], '')),
+         c.seen || array_to_string(t.nodes[1:c.i % 8], '') || array_to_string(t.nodes[c.i % 8 + 2:], '')
+  FROM climb c JOIN top_runs t ON t.level = c.level AND t.run = c.i // 8),
+ends AS (SELECT r, arg_max(node, level) AS folded_root, sha256(arg_max(seen, level)) AS proof_sha256 FROM climb GROUP BY r)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT node FROM top WHERE n = 1) AS root, e.proof_sha256, e.folded_root,
+       e.folded_root = (SELECT node FROM top WHERE n = 1) AS verified
+FROM leaves l JOIN ends e ON e.r = l.r JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@register("op12_merkle_checkpoints", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = merkle.leaf_digest([F.translate(c, UPPER, LOWER) if c == "text" else F.col(c) for c in merkle.FIELDS])
+    proved = merkle.manifest(load(spark, sf_dir, "documents"), payload={"tampered": F.when(hit, lowered)})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                         merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
+                         ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# ------------------------------------------------------------------ 13 ranked search
+from .ranked_search import ranked_search  # noqa: E402
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+n AS (SELECT *, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+tf AS (SELECT r, word, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(words) AS word FROM n) GROUP BY r, word),
+w AS (SELECT word, CAST(floor(1000 * ln((2 * (SELECT docs FROM s) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+      FROM tf GROUP BY word),
+i AS (SELECT item_id, row_number() OVER () AS q,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark),
+t AS (SELECT q, item_id, word, CAST(count(*) AS BIGINT) AS c
+      FROM (SELECT q, item_id, unnest(words) AS word FROM i) GROUP BY q, item_id, word),
+m AS (SELECT r, doc_id, 75 + (25 * n * (SELECT docs FROM s)) // (SELECT total FROM s) AS m FROM n),
+p AS (SELECT t.q, t.item_id, m.doc_id, m.r,
+             CAST(sum(t.c * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m))) AS BIGINT) AS score
+      FROM t JOIN w ON w.word = t.word JOIN tf ON tf.word = t.word JOIN m ON m.r = tf.r
+      GROUP BY t.q, t.item_id, m.doc_id, m.r),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+      FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+@register("op13_blocked_products", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
