@@ -5,9 +5,8 @@
 * ROC-AUC, exact with ties averaged (Mann-Whitney): rows are first reduced to
   one row per distinct score (``groupBy`` with partial aggregation, so a
   score shared by a third of the rows costs nothing extra); the running
-  count of negatives below each score comes from the bucketed prefix sums
-  of ``prefix.py``, with buckets cut at approximate quantiles of the
-  distinct scores so no bucket is much larger than the others.
+  count of negatives below each score comes from radix cells of the scores
+  (``radix.py``), none of which holds more than a fixed number of them.
 """
 
 from __future__ import annotations
@@ -20,9 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import q, safe_ratio
 from ..session import ensure_checkpoint_dir
-from .prefix import running_sums
-
-ROWS_PER_BUCKET = 20_000  # distinct scores in one window task
+from . import radix
 
 
 def _cells(actual: Column, predicted: Column) -> list[Column]:
@@ -68,28 +65,6 @@ def confusion_matrix(df: DataFrame, actual: str | Column, predicted: str | Colum
     )).alias("s")).select("s.*")
 
 
-def score_buckets(per_score: DataFrame, score: str, buckets: int,
-                  rel_err: float = 1e-3) -> Column:
-    """Monotone bucket id of a score, cut at approximate quantiles of the
-    per-score table (at most ``buckets`` split points reach the driver)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = sorted(set(per_score.approxQuantile(score, probs, rel_err))) if probs else []
-    if not qs:
-        return F.lit(0)
-
-    # binary search as a balanced CASE tree over the split points, built as
-    # one SQL expression (one JVM call instead of one per node)
-    ref = "`" + score.replace("`", "``") + "`"
-
-    def tree(lo: int, hi: int) -> str:
-        if lo >= hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return (f"CASE WHEN CAST({ref} AS DOUBLE) < {float(qs[mid])!r} "
-                f"THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END")
-    return F.expr(tree(0, len(qs)))
-
-
 def per_score_counts(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
                      predicted: str | Column | None = None) -> DataFrame:
     """Rows reduced to one per (keys, distinct score[, predicted]) with ``pos`` / ``neg`` counts.
@@ -108,47 +83,45 @@ def per_score_counts(df: DataFrame, actual: str | Column, score: str, keys: Sequ
     return per.checkpoint(eager=True)
 
 
-def _collapse_predicted(per: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
-    if "__pred" not in per.columns:
-        return per
-    return per.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
 def roc_table(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
-              buckets: int | None = None, per: DataFrame | None = None) -> DataFrame:
-    """Per (keys, distinct score): pos, neg, and the running counts below it."""
+              per: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Per (keys, distinct score): pos, neg, and the running counts up to and below it.
+
+    ``limit`` is the number of scores that one window orders at most (``radix.py``).
+    """
     per = per if per is not None else per_score_counts(df, actual, score, keys)
-    per = per.where(q(score).isNotNull())
-    buckets = buckets or max(256, min(1 << 14, per.count() // ROWS_PER_BUCKET))
-    bucket = score_buckets(per, score, buckets)  # quantiles of the materialised table
-    per = _collapse_predicted(per, score, keys)
-    cum = running_sums(per, bucket, [q(score)], ["pos", "neg"], prefix="cum_", partition_by=keys,
-                       buckets=buckets)
-    return cum.withColumn("neg_below", F.col("cum_neg") - F.col("neg")) \
-              .withColumn("pos_below", F.col("cum_pos") - F.col("pos"))
+    counts = radix.counted(per, keys, score, {"pos": F.sum("pos"), "neg": F.sum("neg")}, checkpoint=False)
+    cum = radix.running(counts, limit)
+    return cum.select(*counts.named(), F.col("__value").alias(score), "pos", "neg", "cum_pos", "cum_neg",
+                      (F.col("cum_pos") - F.col("pos")).alias("pos_below"),
+                      (F.col("cum_neg") - F.col("neg")).alias("neg_below"))
 
 
 def roc_auc(df: DataFrame, actual: str | Column, score: str, keys: Sequence[str] = (),
-            buckets: int | None = None, per: DataFrame | None = None) -> DataFrame:
+            per: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Exact ROC-AUC with ties counted half (per ``keys``); NULL when a
     class is absent."""
-    t = roc_table(df, actual, score, keys, buckets, per)
+    t = roc_table(df, actual, score, keys, per, limit)
     contrib = F.col("pos").cast(T.DoubleType()) * (F.col("neg_below") + F.col("neg") * F.lit(0.5))
     g = t.groupBy(*keys).agg(F.sum(contrib).alias("__u"), F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     return g.select(*keys, F.try_divide(F.col("__u"), F.col("__p").cast(T.DoubleType()) * F.col("__n"))
                     .alias("roc_auc"))
 
 
-def roc_points(df: DataFrame, actual: str | Column, score: str, buckets: int | None = None) -> DataFrame:
+def roc_points(df: DataFrame, actual: str | Column, score: str, limit: int | None = None) -> DataFrame:
     """One point per distinct score used as threshold (``score >= t`` is
-    positive): ``threshold, fpr, tpr``."""
-    t = roc_table(df, actual, score, (), buckets)
+    positive): ``threshold, fpr, tpr``; the curve starts at (0, 0), where no row
+    is positive and the threshold is NULL."""
+    t = roc_table(df, actual, score, limit=limit)
     tot = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     tot_p = tot.select("p").scalar()
     tot_n = tot.select("n").scalar()
-    return t.select(q(score).cast(T.DoubleType()).alias("threshold"),
-                    F.try_divide((tot_n - F.col("neg_below")).cast(T.DoubleType()), tot_n).alias("fpr"),
-                    F.try_divide((tot_p - F.col("pos_below")).cast(T.DoubleType()), tot_p).alias("tpr"))
+    points = t.select(q(score).cast(T.DoubleType()).alias("threshold"),
+                      F.try_divide((tot_n - F.col("neg_below")).cast(T.DoubleType()), tot_n).alias("fpr"),
+                      F.try_divide((tot_p - F.col("pos_below")).cast(T.DoubleType()), tot_p).alias("tpr"))
+    start = df.sparkSession.range(1).select(F.lit(None).cast(T.DoubleType()).alias("threshold"),
+                                            F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
 def metrics(df: DataFrame, actual: str | Column, predicted: str | Column, score: str | None = None,

@@ -3,17 +3,18 @@
 Physical shape of ``apply`` (C12):
 
 1. one projection: boolean normalisation, domain rules, constant fills, the
-   group key, and the post-Age rule set (its inputs are already final);
-2. one ``groupBy(group)`` computing the modes of all filled columns together
-   with map-side partial aggregation, joined back to the rows (see
-   ``groups.py``), and the exact group medians of the cascade target from
-   counts of its values;
-3. lookups of the fitted medians by key and of the sampling dictionaries:
-   equi-joins against frozen state tables, broadcast when their measured
-   size allows it;
-4. the optional zone model (Spark ML random forest), a per-row projection.
-
-Nothing is collected to the driver and no group is ever gathered in one
+   group key, and the post-Age rule set (its inputs are already final), written
+   once; rows without a NULL to fill are done;
+2. the modes of all filled columns from one unpivot and counts (``groups.py``),
+   and the exact group medians of the cascade target by radix selection
+   (``radix.py``), joined to the rows that have a NULL;
+3. lookups of the fitted medians by key: equi-joins against frozen state tables,
+   broadcast when their measured size allows it;
+4. the optional zone model (Spark ML random forest), scored once per combination;
+5. draws for the cells that were NULL: one equi-join with the alias tables of
+   all features (``alias.py``), folded back by row key.
+
+No rows are collected to the driver and no group is ever gathered in one
 task, so a group holding a third of the rows is still split across tasks.
 """
 
@@ -27,24 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import hash_uniform, normalise_bool, q, split_part
-from .evaluate import score_buckets
-from .groups import with_group_stats
+from .alias import DICT_SEED, AliasState, alias_fill, fill_seed, fit_alias
+from .groups import counted_modes, with_group_modes, with_group_stats
 from .prefix import running_sums
+from .radix import exact_medians
 from .rules import Rule, apply_rules, fill_constant, homeplanet_rules, passenger_pre_rules
 from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, balanced_for_training, freeze
 
-VALUES_PER_BUCKET = 20_000  # distinct values in one window task of the exact medians
 RANGE_BUCKETS = 1024  # u-buckets per feature for the dictionary range lookup
 
 
-DICT_SEED = "dict"  # seed of the hash that orders dictionary categories
-
-
-def fill_seed(seed: int) -> str:
-    """Seed namespace of the sampling draws (independent of the split draws)."""
-    return f"fill:{seed}"
-
-
 # ---------------------------------------------------------------------- A4
 DICT_BUCKETS = 1024  # hash buckets that order a feature's categories
 
@@ -124,46 +117,9 @@ def sample_fill(df: DataFrame, feature: str, dictionary: StateTable | DataFrame,
 
 
 # ---------------------------------------------------------------------- A5-A7
-def group_mode(c: str) -> Column:
-    """A5: most frequent non-null value, the smallest one on ties."""
-    return F.mode(q(c), True)
-
-
-def global_mode(df: DataFrame, c: str) -> DataFrame:
-    """One-row DataFrame with the mode of ``c`` (the smallest on ties, NULL without values).
-
-    Values are counted first, so no task holds them all.
-    """
-    counts = df.where(q(c).isNotNull()).groupBy(q(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.min(F.struct((-F.col("n")).alias("less"), "value"))["value"].alias(c))
-
-
-def exact_medians(df: DataFrame, keys: Sequence[str], target: str, out: str = "median") -> DataFrame:
-    """Exact medians (interpolated) of ``target`` per ``keys``; NULL targets are left out.
-
-    Rows are counted per (keys, value); running counts over buckets of values
-    then give the one or two middle values, so a key that holds most rows is
-    spread over many tasks.
-    """
-    value, names = F.col("__value"), [f"__k{i}" for i in range(len(keys))]
-    counts = (df.where(q(target).isNotNull())
-              .groupBy(*[q(k).alias(n) for k, n in zip(keys, names)], q(target).cast(T.DoubleType()).alias("__value"))
-              .agg(F.count(F.lit(1)).alias("__n")))
-    per = freeze(counts)
-    buckets = max(1, min(1 << 14, per.n_rows // VALUES_PER_BUCKET))
-    cum = running_sums(per.df, score_buckets(per.df, "__value", buckets), [value], ["__n"], "__upto",
-                       partition_by=names, buckets=buckets)
-    totals = per.df.groupBy(*[F.col(n).alias(f"t{n}") for n in names]).agg(F.sum("__n").alias("__total"))
-    same = F.lit(True)
-    for n in names:
-        same = same & (F.col(n) == F.col(f"t{n}"))
-    cum = cum.join(totals, same) if names else cum.withColumn("__total", totals.select("__total").scalar())
-    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
-    at = lambda place: F.max(F.when((F.col("__upto__n") - F.col("__n") <= place)
-                                    & (place < F.col("__upto__n")), value))
-    both = cum.groupBy(*names).agg(at(low).alias("__low"), at(high).alias("__high"))
-    return both.select(*[F.col(n).alias(k) for k, n in zip(keys, names)],
-                       ((F.col("__low") + F.col("__high")) / 2.0).alias(out)).where(q(out).isNotNull())
+def global_mode(df: DataFrame, *cols: str) -> DataFrame:
+    """One-row DataFrame with the mode of each column (the smallest on ties, NULL without values)."""
+    return counted_modes(df, [], cols)
 
 
 def medians_by_key(df: DataFrame, target: str, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
@@ -198,12 +154,11 @@ def resolve_group(df: DataFrame, group_col: str, id_col: str | None, id_sep: str
 
 
 # ---------------------------------------------------------------------- C8 / W2 / W3
-def group_mode_fill(df: DataFrame, group: str, cols: Sequence[str], via: str = "join") -> DataFrame:
+def group_mode_fill(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """NULLs take the mode of their group (singleton groups are unchanged)."""
-    stats = {f"__mode_{c}": group_mode(c) for c in cols}
-    out = with_group_stats(df, group, stats, via=via)
+    out = with_group_modes(df, group, cols, lambda c: f"__mode_{c}")
     return out.withColumns({c: F.coalesce(q(c), q(f"__mode_{c}")) for c in cols}) \
-              .drop(*stats.keys())
+              .drop(*[f"__mode_{c}" for c in cols])
 
 
 def median_expr(target: str, accuracy: int | None = None) -> Column:
@@ -215,9 +170,18 @@ def median_expr(target: str, accuracy: int | None = None) -> Column:
     return F.percentile_approx(q(target), 0.5, accuracy).cast(T.DoubleType())
 
 
-def with_group_median(df: DataFrame, group: str, target: str, out: str = "__gmed") -> DataFrame:
-    """``df`` with the exact median of ``target`` in the row's group (NULL groups have none)."""
-    medians = exact_medians(df.where(q(group).isNotNull()), [group], target, out).withColumnRenamed(group, "__of")
+def with_group_median(df: DataFrame, group: str, target: str, out: str = "__gmed", accuracy: int | None = None,
+                      of: DataFrame | None = None) -> DataFrame:
+    """``df`` with the median of ``target`` in the row's group (NULL groups have none).
+
+    The median is of the rows ``of`` (by default ``df`` itself), exact or, with
+    ``accuracy``, approximate.
+    """
+    rows = (df if of is None else of).where(q(group).isNotNull()).select(q(group).alias("__of"), q(target).alias("__target"))
+    if accuracy is None:
+        medians = exact_medians(rows, ["__of"], "__target", out)
+    else:
+        medians = rows.groupBy("__of").agg(median_expr("__target", accuracy).alias(out))
     return df.join(medians, q(group) == F.col("__of"), "left").drop("__of")
 
 
@@ -228,8 +192,8 @@ def group_median_fill(df: DataFrame, group: str, target: str, via: str = "join",
     By default from counts of values, which spreads a large group; ``via="window"``
     and ``accuracy`` (approximate) compute it per group instead, for small groups.
     """
-    if via == "join" and accuracy is None:
-        out = with_group_median(df, group, target)
+    if via == "join":
+        out = with_group_median(df, group, target, accuracy=accuracy)
     else:
         out = with_group_stats(df, group, {"__gmed": median_expr(target, accuracy)}, via=via)
     return out.withColumn(target, F.coalesce(q(target), F.col("__gmed"))).drop("__gmed")
@@ -355,7 +319,6 @@ class ImputeConfig:
     sample_features: tuple[str, ...] = ("HomePlanet", "Destination", "CryoSleep", "VIP", "Deck", "Side")
     no_group_mode: tuple[str, ...] = ("Destination",)
     seed: int = 42
-    group_via: str = "join"
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     median_accuracy: int | None = None  # None: exact medians; else percentile_approx accuracy
 
@@ -366,6 +329,7 @@ class ImputeState:
     dictionaries: StateTable | None
     zone_model: object | None
     zone_mode: object | None
+    alias: AliasState | None = None  # tables of the dictionaries, for the draws
 
 
 GROUP = "__group"
@@ -393,21 +357,16 @@ def _prepare(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
     return out
 
 
-def _group_stats(df: DataFrame, cfg: ImputeConfig) -> DataFrame:
-    stats: dict[str, Column] = {}
-    median = None
-    if cfg.cascade_target and cfg.cascade_target in df.columns:
-        median = "exact" if cfg.median_accuracy is None else "approximate"
-        if median == "approximate":
-            stats["__gmed"] = median_expr(cfg.cascade_target, cfg.median_accuracy)
-    mode_cols = [c for c in cfg.sample_features if c in df.columns and c not in cfg.no_group_mode]
-    if cfg.zone_col and cfg.zone_col in df.columns:
-        mode_cols = [cfg.zone_col] + mode_cols
-    for c in mode_cols:
-        stats[f"__mode_{c}"] = group_mode(c)
-    out = with_group_stats(df, GROUP, stats, via=cfg.group_via) if stats else df
-    if median == "exact":
-        out = with_group_median(out, GROUP, cfg.cascade_target)
+def _mode_columns(df: DataFrame, cfg: ImputeConfig) -> list[str]:
+    cols = [c for c in cfg.sample_features if c in df.columns and c not in cfg.no_group_mode]
+    return ([cfg.zone_col] if cfg.zone_col and cfg.zone_col in df.columns else []) + cols
+
+
+def _with_group_statistics(df: DataFrame, of: DataFrame, cfg: ImputeConfig) -> DataFrame:
+    """``df`` with the modes and the median of its rows' groups in ``of``."""
+    out = with_group_modes(df, GROUP, _mode_columns(of, cfg), lambda c: f"__mode_{c}", of)
+    if cfg.cascade_target and cfg.cascade_target in of.columns:
+        out = with_group_median(out, GROUP, cfg.cascade_target, "__gmed", cfg.median_accuracy, of)
     return out
 
 
@@ -426,14 +385,14 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
         medians = freeze(m)
     feats = [c for c in cfg.sample_features if c in base.columns]
     dictionaries = freeze(frequency_dictionary(base, feats)) if feats else None
+    alias = fit_alias(dictionaries.df) if dictionaries else None
     zone_model, zone_mode = None, None
     if cfg.zone_col and cfg.zone_col in base.columns:
         # the group-filled train frame feeds the model's indexers, the forest
         # and the mode: computed once, released when the fit is done
         # (its predictors are still as they came: they are filled after it, from group and dictionary)
         z = cfg.zone_col
-        grouped = with_group_stats(base, GROUP, {f"__mode_{z}": group_mode(z)}, via=cfg.group_via)
-        grouped = grouped.withColumn(z, F.coalesce(q(z), q(f"__mode_{z}"))).persist()
+        grouped = group_mode_fill(base, GROUP, [z]).persist()
         try:
             if cfg.zone_model is not None and grouped.where(q(cfg.zone_col).isNull()).limit(1).count() > 0:
                 zone_model = fit_zone_model(grouped, cfg.zone_col, cfg.zone_model)
@@ -443,14 +402,26 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
             zone_mode = global_mode(scored, z).first()[0]
         finally:
             grouped.unpersist()
-    return ImputeState(medians, dictionaries, zone_model, zone_mode), base
+    return ImputeState(medians, dictionaries, zone_model, zone_mode, alias), base
 
 
 def apply(df: DataFrame, state: ImputeState, cfg: ImputeConfig = ImputeConfig(),
           prepared: bool = False) -> DataFrame:
-    """Impute ``df`` with a fitted ``state`` (C12 order of the reference)."""
-    base = df if prepared else _prepare(df, cfg)
-    out = _group_stats(base, cfg)
+    """Impute ``df`` with a fitted ``state`` (C12 order of the reference).
+
+    ``prepared`` says that ``df`` comes from :func:`fit` (rules applied, in the
+    checkpoint folder); another frame is prepared and written there first.  Rows
+    without a NULL to fill are done by then; statistics of groups are of all rows,
+    but only the other rows are joined with anything.
+    """
+    base = df if prepared else freeze(_prepare(df, cfg)).df
+    features = [f for f in cfg.sample_features if f in base.columns]
+    filled = [c for c in dict.fromkeys([cfg.cascade_target, cfg.zone_col, *features]) if c and c in base.columns]
+    open_ = F.lit(False)
+    for c in filled:
+        open_ = open_ | q(c).isNull()
+    todo = base.where(open_)
+    out = _with_group_statistics(todo, base, cfg)
     # cascade target: group median, then fitted medians by (pre-rule) key, then global
     tgt = cfg.cascade_target
     if tgt and tgt in out.columns:
@@ -467,17 +438,13 @@ def apply(df: DataFrame, state: ImputeState, cfg: ImputeConfig = ImputeConfig(),
             out = apply_zone_model(out, z, state.zone_model, cfg.zone_model)
         if state.zone_mode is not None:
             out = out.withColumn(z, F.coalesce(q(z), F.lit(state.zone_mode).cast(out.schema[z].dataType)))
-    # categorical features: group mode (except the listed ones), then sampling
-    for i, f in enumerate(cfg.sample_features):
-        if f not in out.columns:
-            continue
-        if f"__mode_{f}" in out.columns:
-            out = out.withColumn(f, F.coalesce(q(f), q(f"__mode_{f}")))
-        if state.dictionaries is not None:
-            out = sample_fill(out, f, state.dictionaries, list(cfg.row_key), cfg.seed + i,
-                              max_broadcast_rows=cfg.max_broadcast_rows)
-    helper = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*helper)
+    # categorical features: group mode (except the listed ones), then one join with the alias tables of all
+    out = out.withColumns({f: F.coalesce(q(f), q(f"__mode_{f}")) for f in features if f"__mode_{f}" in out.columns})
+    if state.alias is not None and features:
+        seeds = {f: cfg.seed + i for i, f in enumerate(cfg.sample_features) if f in features}
+        out = alias_fill(out, seeds, state.alias, list(cfg.row_key), cfg.max_broadcast_rows, of=todo)
+    kept = [c for c in base.columns if not c.startswith("__")]
+    return base.where(~open_).select(*map(q, kept)).unionByName(out.select(*map(q, kept)))
 
 
 def fit_apply(train: DataFrame, test: DataFrame | None = None,

@@ -105,7 +105,8 @@ r AS (SELECT score, pos, neg,
       FROM g),
 t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM g)
 SELECT CAST(score AS DOUBLE) AS threshold, round(CAST(N - nb AS DOUBLE) / N, 9) AS fpr,
-       round(CAST(P - pb AS DOUBLE) / P, 9) AS tpr FROM r, t"""
+       round(CAST(P - pb AS DOUBLE) / P, 9) AS tpr FROM r, t
+UNION ALL SELECT CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE"""
 
 
 @register("roc_points", "E4", ROC_POINTS_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import alias
 from ..operators import impute as imp
 from ..operators import split as sp
 from ..operators.rules import Rule
@@ -15,6 +16,7 @@ from .tables import load, orders_with_nulls, orders_with_nulls_sql
 
 V = f"v AS ({orders_with_nulls_sql()})"
 FEATURES = ("o_orderstatus", "o_orderpriority", "c_mktsegment")
+ALIAS_FEATURES = (*FEATURES, "order_month", "o_custkey")  # the last has many categories
 
 
 # ---------------------------------------------------------------------- A4
@@ -88,8 +90,7 @@ SELECT (SELECT o_orderpriority FROM v WHERE o_orderpriority IS NOT NULL GROUP BY
 @register("global_mode", "A6", GLOBAL_MODE_SQL)
 def q_global_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = orders_with_nulls(spark, sf_dir)
-    return v.agg(imp.group_mode("o_orderpriority").alias("o_orderpriority"),
-                 imp.group_mode("order_month").alias("order_month"))
+    return imp.global_mode(v, "o_orderpriority", "order_month")
 
 
 # ---------------------------------------------------------------------- C9 / J5
@@ -113,6 +114,34 @@ def q_sample_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "o_orderstatus", "c_mktsegment")
 
 
+ALIAS_TABLES_SQL = f"""WITH {V}, d AS {sqlgen.frequency_dictionary('v', ALIAS_FEATURES)},
+{sqlgen.alias_tables('a', 'd')}
+SELECT * FROM a
+"""
+
+
+@register("alias_tables", "C9 J5 A4", ALIAS_TABLES_SQL)
+def q_alias_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alias.alias_tables(imp.frequency_dictionary(orders_with_nulls(spark, sf_dir), ALIAS_FEATURES))
+
+
+ALIAS_FILL_SQL = f"""WITH {V}, d AS {sqlgen.frequency_dictionary('v', FEATURES)},
+{sqlgen.alias_tables('a', 'd')}
+SELECT o_orderkey, COALESCE(o_orderstatus, s0) AS o_orderstatus, COALESCE(o_orderpriority, s1) AS o_orderpriority,
+       COALESCE(c_mktsegment, s2) AS c_mktsegment
+FROM (SELECT v.*, {", ".join(sqlgen.alias_pick('a', f, sqlgen.u('v.o_orderkey', imp.fill_seed(42 + i)), f's{i}')
+                             for i, f in enumerate(FEATURES))}
+      FROM v)
+"""
+
+
+@register("alias_fill", "C9 J5 A4", ALIAS_FILL_SQL)
+def q_alias_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = orders_with_nulls(spark, sf_dir).select("o_orderkey", *FEATURES)
+    state = alias.fit_alias(imp.frequency_dictionary(v, FEATURES))
+    return alias.alias_fill(v, {f: 42 + i for i, f in enumerate(FEATURES)}, state, ["o_orderkey"])
+
+
 # ---------------------------------------------------------------------- C10 cascade
 CASCADE_SQL = f"""WITH {V},
 g AS (SELECT o_custkey, median(o_totalprice) AS gmed FROM v WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
@@ -176,6 +205,7 @@ med AS (SELECT 'c_mktsegment' AS key_name, CAST(pre_seg AS VARCHAR) AS key_value
         FROM tr WHERE pre_reg IS NOT NULL GROUP BY pre_reg),
 gmed AS (SELECT median(o_totalprice) AS m FROM tr),
 d AS {sqlgen.frequency_dictionary('tr', ORDER_SAMPLE)},
+{sqlgen.alias_tables('al', 'd')},
 gs AS (SELECT split, o_custkey, median(o_totalprice) AS gmed FROM p3
        WHERE o_custkey IS NOT NULL GROUP BY split, o_custkey),
 a AS (SELECT p3.*, gs.gmed, mm.mode_month, ms.mode_status, mp.mode_prio
@@ -202,9 +232,9 @@ b AS (SELECT a.split, a.o_orderkey, a.o_custkey, a.c_nationkey, a.n_regionkey,
       LEFT JOIN med m2 ON m2.key_name = 'n_regionkey' AND m2.key_value = CAST(a.pre_reg AS VARCHAR)
                        AND m2.median IS NOT NULL),
 c AS (SELECT b.*,
-        {sqlgen.sample_pick('d', 'o_orderstatus', sqlgen.u('b.o_orderkey', imp.fill_seed(42)), 's1')},
-        {sqlgen.sample_pick('d', 'c_mktsegment', sqlgen.u('b.o_orderkey', imp.fill_seed(43)), 's2')},
-        {sqlgen.sample_pick('d', 'o_orderpriority', sqlgen.u('b.o_orderkey', imp.fill_seed(44)), 's3')}
+        {sqlgen.alias_pick('al', 'o_orderstatus', sqlgen.u('b.o_orderkey', imp.fill_seed(42)), 's1')},
+        {sqlgen.alias_pick('al', 'c_mktsegment', sqlgen.u('b.o_orderkey', imp.fill_seed(43)), 's2')},
+        {sqlgen.alias_pick('al', 'o_orderpriority', sqlgen.u('b.o_orderkey', imp.fill_seed(44)), 's3')}
       FROM b)
 SELECT split, o_orderkey, o_custkey,
        COALESCE(o_orderstatus, s1) AS o_orderstatus,

@@ -33,7 +33,7 @@ def test_auc_brute_force_pairs(spark):
     pos = [s for _, y, s, _ in rows if y]
     neg = [s for _, y, s, _ in rows if not y]
     brute = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg) / (len(pos) * len(neg))
-    assert abs(ev.roc_auc(df, "actual", "score", buckets=4).first()["roc_auc"] - brute) < 1e-12
+    assert abs(ev.roc_auc(df, "actual", "score", limit=4).first()["roc_auc"] - brute) < 1e-12
 
 
 def test_metrics_and_confusion(spark):

@@ -122,11 +122,7 @@ def test_exact_medians_of_a_hot_key(spark):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.8 else f"k{i % 5}", rng.choice([None, round(rng.random(), 2)])) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v double")
-    before, imp.VALUES_PER_BUCKET = imp.VALUES_PER_BUCKET, 7
-    try:
-        out = imp.exact_medians(df, ["k"], "v")
-        assert "median(" not in out._jdf.queryExecution().toString()
-        got = {r["k"]: r["median"] for r in out.collect()}
-    finally:
-        imp.VALUES_PER_BUCKET = before
+    out = imp.exact_medians(df, ["k"], "v", limit=7)
+    assert "median(" not in out._jdf.queryExecution().toString()
+    got = {r["k"]: r["median"] for r in out.collect()}
     assert got == {k: statistics.median(v for x, v in rows if x == k and v is not None) for k in {x for x, _ in rows}}
