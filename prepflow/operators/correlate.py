@@ -1,65 +1,46 @@
 """Pairwise-complete Pearson correlations.
 
-Each coefficient is ``covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b))`` over
-the rows where both are non-null, computed as plain aggregate expressions,
-so a whole block of pairs costs one scan with map-side partial aggregation.
-Spark's ``corr`` raises on a constant column under ANSI mode; ``try_divide``
-returns NULL there (pandas gives NaN).  Pairs are chunked so that one pass
-never carries more than ``max_exprs`` aggregates.
+All coefficients of a frame come from one scan: the second moments of every pair of
+columns over the rows where both are present (``gram.py``).  A pair whose rows have
+a constant column has no coefficient (NULL, where pandas gives NaN); a deviation
+below ``CONSTANT`` times the mean counts as constant.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q
 from .encode import onehot_apply, onehot_fit
+from .gram import pair_moments
 from .reshape import columns_of_kind
 
 BANDS = ((0.15, "strong"), (0.05, "medium"))  # fixed thresholds of the target-correlation chart
 
 
-def _pair_exprs(a: str, b: str, i: int):
-    both = q(a).isNotNull() & q(b).isNotNull()
-    x = F.when(both, q(a).cast(T.DoubleType()))
-    y = F.when(both, q(b).cast(T.DoubleType()))
-    return [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"sa{i}"), F.stddev_pop(y).alias(f"sb{i}")]
-
-
-def correlation_pairs(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None,
-                      max_exprs: int = 240) -> DataFrame:
-    """Long form ``(column_a, column_b, corr)`` for the given (or all unordered) pairs."""
-    cols = list(cols)
-    if pairs is None:
-        pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    per_pass = max(1, max_exprs // 3)
-    parts = []
-    for start in range(0, len(pairs), per_pass):
-        chunk = pairs[start:start + per_pass]
-        exprs = [e for i, (a, b) in enumerate(chunk) for e in _pair_exprs(a, b, i)]
-        one = df.agg(*exprs)
-        rows = one.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                     F.try_divide(q(f"c{i}"), q(f"sa{i}") * q(f"sb{i}")).alias("corr"))
-            for i, (a, b) in enumerate(chunk)])).alias("s")).select("s.*")
-        parts.append(rows)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+CONSTANT = 1e-12
+
+
+def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
+    """``(column_a, column_b, corr)`` of each left column with each right one (by default the left ones again)."""
+    m = pair_moments(df, left, right)
+
+    def spread(total: str, mean: str) -> Column:
+        deviation = F.sqrt(F.try_divide(F.col(total), F.col("n").cast(T.DoubleType())))
+        return F.when(deviation > F.abs(F.col(mean)) * F.lit(CONSTANT), deviation)
+
+    covariance = F.try_divide(F.col("sum_ab"), F.col("n").cast(T.DoubleType()))
+    corr = F.try_divide(covariance, spread("sum_aa", "mean_a") * spread("sum_bb", "mean_b"))
+    return m.select("column_a", "column_b", F.when(corr.isNotNull() & ~F.isnan(corr), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Symmetric matrix in long form, diagonal 1 (NULL for a constant column)."""
-    cols = list(cols) if cols else columns_of_kind(df, "number")
-    off = correlation_pairs(df, cols)
-    mirrored = off.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "corr")
-    diag = correlation_pairs(df, cols, pairs=[(c, c) for c in cols])
-    return off.unionByName(mirrored).unionByName(diag)
+    return correlations(df, list(cols) if cols else columns_of_kind(df, "number"))
 
 
 def encode_for_correlation(df: DataFrame, text_cols: Sequence[str] | None = None,
@@ -79,7 +60,7 @@ def target_correlation(df: DataFrame, target: str, cols: Sequence[str] | None =
     """``|corr(feature, target)|`` for every other numeric column, sorted
     descending, banded; ``top`` keeps the first rows (the report's top 15)."""
     cols = [c for c in (cols or columns_of_kind(df, "number")) if c != target]
-    pairs = correlation_pairs(df, [target] + cols, pairs=[(c, target) for c in cols])
+    pairs = correlations(df, cols, [target])
     a = F.abs(F.col("corr"))
     band = F.when(a >= BANDS[0][0], BANDS[0][1]).when(a >= BANDS[1][0], BANDS[1][1]).otherwise("weak")
     out = pairs.select(F.col("column_a").alias("feature"), a.alias("abs_corr"), band.alias("band"))

@@ -139,6 +139,28 @@ def q_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("corr", F.round("corr", 6))
 
 
+_NULLED = ("o_totalprice", "order_month", "c_nationkey", "n_regionkey")
+_NULLED_TEXT = ("o_orderstatus", "c_mktsegment", "o_orderpriority")
+CORR_NULLS_SQL = f"""WITH v AS ({orders_with_nulls_sql()}),
+e AS (SELECT *, COALESCE(o_orderstatus = 'F', false)::INT AS "o_orderstatus_F",
+        COALESCE(c_mktsegment = 'BUILDING', false)::INT AS "c_mktsegment_BUILDING",
+        COALESCE(o_orderpriority = '1-URGENT', false)::INT AS "o_orderpriority_1-URGENT" FROM v)
+""" + " UNION ALL ".join(
+    f"""SELECT '{a}' AS column_a, '{b}' AS column_b,
+        (SELECT round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6)
+         FROM (SELECT "{a}"::DOUBLE AS x, "{b}"::DOUBLE AS y FROM e WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL)) AS corr"""
+    for a in (*_NULLED, "o_orderstatus_F", "c_mktsegment_BUILDING", "o_orderpriority_1-URGENT")
+    for b in (*_NULLED, "o_orderstatus_F", "c_mktsegment_BUILDING", "o_orderpriority_1-URGENT"))
+
+
+@register("corr_nulls", "A13 R5", CORR_NULLS_SQL)
+def q_corr_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = orders_with_nulls(spark, sf_dir).select(*_NULLED, *_NULLED_TEXT)
+    encoded, _ = cor.encode_for_correlation(v, list(_NULLED_TEXT), [])
+    m = cor.correlation_matrix(encoded, [*_NULLED, "o_orderstatus_F", "c_mktsegment_BUILDING", "o_orderpriority_1-URGENT"])
+    return m.withColumn("corr", F.round("corr", 6))
+
+
 _T_FEATS = list(LI_NUM) + ["l_linestatus_F", "l_linestatus_O"]
 CORR_TARGET_SQL = """WITH t AS (SELECT *, CAST(l_returnflag = 'R' AS INTEGER) AS is_r,
     CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS l_linestatus_F,
