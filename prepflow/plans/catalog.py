@@ -162,6 +162,23 @@ def q_column_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.column_overview(orders_with_nulls(spark, sf_dir))
 
 
+DISTINCT_MERGE_SQL = f"WITH {_V} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS n_rows, count_if({c} IS NULL) AS n_missing, "
+    f"count(DISTINCT {c}) AS n_distinct, true AS within_bound FROM v" for c in _PCOLS)
+
+
+@register("distinct_merge", "A2 Q5", DISTINCT_MERGE_SQL)
+def q_distinct_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the table's parts, merged; whether each estimate keeps its error bound against the exact count."""
+    v = orders_with_nulls(spark, sf_dir)
+    merged = prof.merged_sketches(prof.distinct_sketches(v, F.pmod("o_orderkey", F.lit(7))))
+    exact = prof.column_overview(v).select(F.col("feature").alias("column"), "unique_non_null_values")
+    error = F.abs(F.col("n_distinct") - F.col("unique_non_null_values"))
+    return merged.join(exact, "column").select(
+        F.col("column").alias("feature"), "n_rows", "n_missing", F.col("unique_non_null_values").alias("n_distinct"),
+        (error <= F.lit(prof.sketch_error()) * F.col("unique_non_null_values")).alias("within_bound"))
+
+
 _TEXT = ("o_orderstatus", "o_orderpriority", "c_mktsegment")
 DISTINCT_PREVIEW_SQL = f"WITH {_V}, long AS (" + " UNION ALL ".join(
     f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM v WHERE {c} IS NOT NULL"

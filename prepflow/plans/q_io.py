@@ -102,16 +102,22 @@ def q_leaderboard_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLS = ("o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "c_mktsegment", "order_month")
+_COMBO = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _COLS) + ")"
 _MISSING = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in _COLS)
 SUMMARY_SQL = f"""WITH v AS ({orders_with_nulls_sql()})
 SELECT 'rows' AS section, '' AS item, count(*) AS n FROM v
 """ + "".join(f"UNION ALL SELECT 'missing in column', '{c}', count_if({c} IS NULL) FROM v\n" for c in _COLS) + f"""
-UNION ALL SELECT 'fields missing', CAST({_MISSING} AS VARCHAR), count(*) FROM v GROUP BY 2"""
+UNION ALL SELECT 'fields missing', CAST({_MISSING} AS VARCHAR), count(*) FROM v GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'combination', CASE WHEN {_COMBO} = '' THEN '{prof.NO_MISSING_LABEL}' ELSE {_COMBO} END AS item,
+                                count(*) AS n FROM v GROUP BY 2 ORDER BY n DESC, item LIMIT 20)
+""" + "".join(f"""UNION ALL SELECT 'missing together', '{a} | {b}', bool_or({a} IS NULL AND {b} IS NULL)::BIGINT FROM v
+""" for a in _COLS for b in _COLS)
 
 
-@register("missing_summary", "Q6 A3 Q1 Q2", SUMMARY_SQL)
+@register("missing_summary", "Q6 A3 Q1 Q2 Q3 Q4", SUMMARY_SQL)
 def q_missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text summary as lines: rows, missing fields per column, rows per number of missing fields."""
+    """The text summary as lines: rows, missing fields per column, rows per number of missing fields, the
+    most frequent combinations, and which columns are missing together."""
     parts = prof.summary(orders_with_nulls(spark, sf_dir), list(_COLS))
 
     def lines(section: str, df: DataFrame, item: str | None, n: str) -> DataFrame:
@@ -120,7 +126,11 @@ def q_missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (lines("rows", parts["shape"], None, "n_rows")
             .unionByName(lines("missing in column", parts["missing_per_column"], "column", "n_missing"))
-            .unionByName(lines("fields missing", parts["missing_per_row"], "n_missing", "n_rows")))
+            .unionByName(lines("fields missing", parts["missing_per_row"], "n_missing", "n_rows"))
+            .unionByName(lines("combination", parts["top_combinations"], "missing_columns", "n_rows"))
+            .unionByName(lines("missing together", parts["missing_together"].select(
+                F.concat_ws(" | ", "column_a", "column_b").alias("pair"), F.col("both_missing").cast("long").alias("n")),
+                "pair", "n")))
 
 
 # ------------------------------------------------------------------ the passenger rules themselves

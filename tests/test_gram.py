@@ -64,13 +64,13 @@ def test_empty_and_all_missing(spark):
 
 def test_merging_is_the_same_as_adding():
     rng, parts = random.Random(1), []
-    x = frame(300, 6, 3).to_numpy()
+    x = frame(300, 9, 3).to_numpy()
     for at in range(0, 300, 60):
-        m = Moments(6, 6)
+        m = Moments(9, 9)
         m.add(np.concatenate((x[at:at + 60],) * 2, axis=1))
         parts.append(m.centred())
     rng.shuffle(parts)
-    whole = Moments(6, 6)
+    whole = Moments(9, 9)
     whole.add(np.concatenate((x, x), axis=1))
     total = parts[0]
     for p in parts[1:]:

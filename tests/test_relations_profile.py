@@ -55,3 +55,45 @@ def test_spending_checks(spark):
     r = rel.spending_checks(df, ["a", "b"], F.col("cryo"), F.col("age") < 13).first()
     assert r["mean_spend_flagged"] == 5.0 and r["flagged_spend_violation"]
     assert r["mean_spend_children"] == 10.0
+
+
+def test_reports_of_many_columns_share_one_table(spark):
+    """More columns than one word of a mask has bits; every report against a count by hand."""
+    import random
+    rng = random.Random(3)
+    names = [f"c{i}" for i in range(130)]
+    rows = [tuple(None if rng.random() < (0.5 if i in (0, 61, 62, 129) else 0.01) else i for i in range(130)) for _ in range(150)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names)).repartition(4)
+    m = prof.null_masks(df, keep=True)
+    missing = [{c for c, v in zip(names, r) if v is None} for r in rows]
+    assert {r["column"]: r["n_missing"] for r in prof.null_counts(m).collect()} == {c: sum(c in x for x in missing) for c in names}
+    per_row = {r["n_missing"]: r["n_rows"] for r in prof.missing_per_row(m).collect()}
+    assert per_row == {k: sum(len(x) == k for x in missing) for k in {len(x) for x in missing}}
+    combos = {r["missing_columns"]: r["n_rows"] for r in prof.missing_combinations(m).collect()}
+    assert sum(combos.values()) == 150 and all(
+        n == sum(x == set(label.split(" | ")) - {prof.NO_MISSING_LABEL} for x in missing) for label, n in combos.items())
+    pairs = {(r["column_a"], r["column_b"]): r["both_missing"] for r in prof.co_missing(m).collect()}
+    assert pairs == {(a, b): any(a in x and b in x for x in missing) for a in names for b in names}
+
+
+def test_summary_reads_once_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, None), (None, None)], "a int, b int").write.parquet(str(tmp_path / "t"))
+    parts = prof.summary(spark.read.parquet(str(tmp_path / "t")))
+    assert all("FileScan" not in d._jdf.queryExecution().executedPlan().toString() for d in parts.values())
+    assert parts["top_combinations"].first()["missing_columns"] in ("b", "a | b")
+    empty = prof.summary(spark.createDataFrame([], "a int, b int"))
+    assert empty["shape"].first()["n_rows"] == 0 and empty["missing_per_row"].collect() == []
+    assert {r["n_missing"] for r in empty["missing_per_column"].collect()} == {0}
+
+
+def test_distinct_counts_without_expand_and_merged_sketches(spark):
+    df = spark.range(40_000).select(F.col("id").alias("a"), (F.col("id") % 300).cast("string").alias("b"),
+                                    F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(1.5).alias("c"))
+    overview = prof.column_overview(df)
+    assert "Expand" not in overview._jdf.queryExecution().executedPlan().toString()
+    assert {r["feature"]: r["unique_non_null_values"] for r in overview.collect()} == {"a": 40_000, "b": 300, "c": 1}
+    stored = prof.distinct_sketches(df.where("id < 25000"), F.lit("first"))  # an earlier run
+    later = prof.distinct_sketches(df.where("id >= 20000"), F.lit("second"))  # overlaps it
+    merged = {r["column"]: r for r in prof.merged_sketches(stored.unionByName(later)).collect()}
+    assert abs(merged["a"]["n_distinct"] - 40_000) <= prof.sketch_error() * 40_000
+    assert (merged["b"]["n_distinct"], merged["c"]["n_distinct"], merged["c"]["n_missing"]) == (300, 1, 22_500)
