@@ -1,10 +1,15 @@
 """Categorical and numeric encodings with fit/apply state.
 
-Fitting finds the category lists with one aggregation (``groupBy(column,
-value)``, map-side de-duplicated) guarded by a maximum cardinality; the lists
-are small by that guard and decide the output schema, so they are brought to
-the driver (a bounded collect).  Applying is a pure projection of
-``CASE WHEN`` columns - no join, no shuffle, inside whole-stage codegen.
+The fitted state of categories is a table ``column, value, code, n``: values are
+counted by (column, value) and numbered in order by distributed ranks, whatever
+their number (``fit_category_table``).
+
+* Wide output (one 0/1 column per category) decides the schema, so its categories
+  are brought to the driver, under a limit; applying is a projection.
+* Codes come from a literal map for columns within the limit and from a join with
+  the table beyond it, broadcast only under a size bound.
+* Sparse output - the indices of the active categories, or one sparse ML vector -
+  has no limit: a row holds one index per encoded column.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q
+from .prefix import ranks_by_range
 from .reshape import drop_existing
+from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, freeze
 
-DEFAULT_MAX_CATEGORIES = 1000
+DEFAULT_MAX_CATEGORIES = 1000  # of a column, for wide output and literal maps
 NULL_LABEL = "nan"  # fixed: pandas' string form of a missing float after astype(str)
 
 
@@ -43,24 +50,109 @@ def _labels(c: str, null_label: str | None) -> Column:
     return F.coalesce(s, F.lit(null_label)) if null_label is not None else s
 
 
+@dataclass
+class CategoryTable:
+    """Frozen categories ``column, value, code, n`` and the number of categories per column."""
+
+    table: StateTable
+    sizes: dict[str, int]  # of the columns, in their order
+    null_label: str | None = None
+
+    def small(self, most: int) -> dict[str, list[str]]:
+        """Sorted categories of the columns with at most ``most`` of them (a bounded collect)."""
+        out: dict[str, list[str]] = {c: [] for c, n in self.sizes.items() if n <= most}
+        if out:
+            for r in self.table.df.where(F.col("column").isin(*out)).orderBy("column", "code").select("column", "value").collect():
+                out[r["column"]].append(r["value"])
+        return out
+
+
+def fit_category_table(df: DataFrame, cols: Sequence[str], null_label: str | None = None) -> CategoryTable:
+    """Categories of any number, numbered from 0 in the bytewise order of their string form per column."""
+    cols = [c for c in cols if c in df.columns]
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), _labels(c, null_label).alias("value")) for c in cols]))) if cols else \
+        df.sparkSession.createDataFrame([], "column string, value string")
+    counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    table = freeze(ranks_by_range(counts, ["column"], ["value"], "code").select("column", "value", "code", "n"))
+    found = {r["column"]: r["n"] for r in table.df.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return CategoryTable(table, {c: found.get(c, 0) for c in cols}, null_label)
+
+
 def fit_categories(df: DataFrame, cols: Sequence[str], null_label: str | None = NULL_LABEL,
                    max_categories: int = DEFAULT_MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct labels per column; raises if a column exceeds ``max_categories``."""
-    cols = list(cols)
+    """Sorted distinct labels per column for wide output; raises if a column exceeds ``max_categories``."""
     if not cols:
         return {}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _labels(c, null_label).alias("value")) for c in cols
-    ])).alias("s")).select("s.*").where(F.col("value").isNotNull()).distinct()
-    # the guard runs first, so the collect below is bounded by construction
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = {c: n for c, n in counts.items() if n > max_categories}
+    state = fit_category_table(df, cols, null_label)
+    too_many = {c: n for c, n in state.sizes.items() if n > max_categories}
     if too_many:
-        raise ValueError(f"too many categories for encoding: {too_many} (max {max_categories})")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in long.collect():
-        out[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+        raise ValueError(f"too many categories for one column each: {too_many} (max {max_categories}); "
+                         "use sparse_indices or sparse_vector")
+    return state.small(max_categories)
+
+
+# ------------------------------------------------------------------ codes and sparse output
+def _coded(df: DataFrame, state: CategoryTable, names: dict[str, str], max_categories: int,
+           max_broadcast_rows: int) -> DataFrame:
+    """``df`` with the code (long, NULL if unseen) of each column ``c`` as ``names[c]``."""
+    maps = state.small(max_categories)
+    out = df
+    for i, c in enumerate(state.sizes):
+        if c in maps:
+            code = F.lit(None).cast("long")
+            if maps[c]:
+                pairs = F.create_map(*[x for k, v in enumerate(maps[c]) for x in (F.lit(v), F.lit(k).cast("long"))])
+                code = F.element_at(pairs, _labels(c, state.null_label))
+            out = out.withColumn(names[c], code)
+            continue
+        part = state.table.df.where(F.col("column") == c).select(F.col("value").alias(f"__value{i}"), F.col("code").alias(names[c]))
+        part = F.broadcast(part) if state.sizes[c] <= max_broadcast_rows else part
+        out = out.join(part, _labels(c, state.null_label) == F.col(f"__value{i}"), "left").drop(f"__value{i}")
+    return out
+
+
+def sparse_indices(df: DataFrame, state: CategoryTable, out: str = "active", drop_first: bool = False,
+                   max_categories: int = DEFAULT_MAX_CATEGORIES,
+                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """C14/C16 without a limit: ``out`` lists the indices of the row's categories in one space of all columns.
+
+    Column i's categories follow those of the columns before it; unseen values (and the
+    first category with ``drop_first``) have no index.
+    """
+    names = {c: f"__code{i}" for i, c in enumerate(state.sizes)}
+    coded = _coded(df, state, names, max_categories, max_broadcast_rows)
+    indices, offset = [], 0
+    for c, n in state.sizes.items():
+        code = F.col(names[c]) - (1 if drop_first else 0)
+        indices.append(F.when(code >= 0, code + F.lit(offset)))
+        offset += max(0, n - (1 if drop_first else 0))
+    active = F.filter(F.array(*indices), lambda x: x.isNotNull()) if indices else F.array().cast("array<bigint>")
+    return coded.select(*map(q, df.columns), active.alias(out))
+
+
+def sparse_vector(df: DataFrame, state: CategoryTable, out: str = "features", drop_first: bool = False,
+                  max_categories: int = DEFAULT_MAX_CATEGORIES,
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """The same as one sparse ML vector per row, ready for training; unseen values are zeros."""
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    names = {c: f"__code{i}" for i, c in enumerate(state.sizes)}
+    coded = _coded(df, state, names, max_categories, max_broadcast_rows)
+    kept, inputs = {}, []
+    for c, n in state.sizes.items():
+        size = n - (1 if drop_first else 0)
+        if size < 1:
+            continue
+        code = F.col(names[c]) - (1 if drop_first else 0)
+        # the size is known, so fitting the encoder reads no data; an index beyond it gives zeros
+        sized = {"ml_attr": {"type": "nominal", "num_vals": size, "name": names[c]}}
+        kept[names[c]] = F.when(code >= 0, code).otherwise(F.lit(size)).cast("double").alias(names[c], metadata=sized)
+        inputs.append(names[c])
+    coded = coded.select(*map(q, df.columns), *kept.values())
+    encoder = OneHotEncoder(inputCols=inputs, outputCols=[f"{n}v" for n in inputs], handleInvalid="keep", dropLast=True)
+    vectors = encoder.fit(coded).transform(coded)
+    whole = VectorAssembler(inputCols=[f"{n}v" for n in inputs], outputCol=out).transform(vectors)
+    return whole.select(*map(q, df.columns), q(out))
 
 
 def onehot_fit(df: DataFrame, cols: Sequence[str], null_label: str | None = NULL_LABEL,
@@ -111,34 +203,24 @@ def passthrough_encode(df: DataFrame, drop: Sequence[str] = ("Group", "Surnames"
 
 
 # ---------------------------------------------------------------------- C17
-@dataclass
-class OrdinalState:
-    columns: list[str]
-    categories: dict[str, list[str]]
-
-
-def ordinal_fit(df: DataFrame, cols: Sequence[str], max_categories: int = DEFAULT_MAX_CATEGORIES) -> OrdinalState:
+def ordinal_fit(df: DataFrame, cols: Sequence[str]) -> CategoryTable:
     """C17 fit: alphabetical codes per column (``OrdinalEncoder`` / ``StringIndexer(alphabetAsc)``)."""
-    cols = [c for c in cols if c in df.columns]
-    return OrdinalState(cols, fit_categories(df, cols, None, max_categories))
+    return fit_category_table(df, cols)
 
 
-def ordinal_apply(df: DataFrame, state: OrdinalState, suffix: str = "", unknown: float | None = None) -> DataFrame:
+def ordinal_apply(df: DataFrame, state: CategoryTable, suffix: str = "", unknown: float | None = None,
+                  max_categories: int = DEFAULT_MAX_CATEGORIES,
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """C17 apply: code = position in the sorted train categories (double).
 
     Unseen or NULL values get ``unknown``; the default is the number of
-    categories, like ``StringIndexer(handleInvalid="keep")``.  Codes are
-    looked up in a literal map, a projection.
+    categories, like ``StringIndexer(handleInvalid="keep")``.
     """
-    cols = {}
-    for c in state.columns:
-        cats = state.categories[c]
-        m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))]) if cats else None
-        unk = F.lit(float(len(cats)) if unknown is None else unknown)
-        code = F.coalesce(F.element_at(m, q(c).cast(T.StringType())) if m is not None else F.lit(None), unk) \
-            if cats else unk
-        cols[f"{c}{suffix}"] = F.when(q(c).isNull(), unk).otherwise(code).cast(T.DoubleType())
-    return df.withColumns(cols)
+    names = {c: f"__code{i}" for i, c in enumerate(state.sizes)}
+    coded = _coded(df, state, names, max_categories, max_broadcast_rows)
+    code = {f"{c}{suffix}": F.coalesce(F.col(names[c]).cast(T.DoubleType()), F.lit(float(n) if unknown is None else unknown))
+            for c, n in state.sizes.items()}
+    return coded.withColumns(code).drop(*names.values())
 
 
 def ordinal_indexers(cols: Sequence[str], suffix: str = "_idx"):

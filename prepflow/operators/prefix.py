@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from .state import freeze
 
+ROW_BITS = 33  # of monotonically_increasing_id, below the partition
 DEFAULT_BUCKETS = 1 << 18  # ~4M rows per window task at 10^12 rows; offsets table of a few MB
 
 
@@ -67,3 +69,27 @@ def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column], values:
     out = with_b.join(off, [*partition_by, b], "left")
     out = out.withColumns({f"{prefix}{v}": q(f"__off_{v}") + F.sum(v).over(w) for v in values})
     return out.drop(b, "__off_cnt", *[f"__off_{v}" for v in values])
+
+
+def ranks_by_range(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """0-based rank of each row inside its ``partition_by`` group, for orders without buckets (such as strings).
+
+    Rows are dealt to range partitions in the order of (``partition_by``, ``order``) and
+    written there with their place; the counts per (partition, group) - a row each - give
+    the offsets.  A group of any size is ranked by many tasks.
+    """
+    by = [*partition_by, *order]
+    at = F.monotonically_increasing_id()
+    rows = freeze(df.repartitionByRange(*map(q, by)).sortWithinPartitions(*map(q, by))
+                  .withColumn("__part", F.shiftright(at, ROW_BITS))
+                  .withColumn("__row", at.bitwiseAND(F.lit((1 << ROW_BITS) - 1)))).df
+    names = [f"__g{i}" for i in range(len(partition_by))]
+    counts = rows.groupBy(*[q(c).alias(n) for c, n in zip(partition_by, names)], F.col("__part").alias("__of")).agg(
+        F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*names).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    shift = freeze(counts.select(*names, "__of", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")))
+    same = F.col("__part") == F.col("__of")
+    for c, n in zip(partition_by, names):
+        same = same & q(c).eqNullSafe(F.col(n))
+    ranked = rows.join(shift.for_join(), same).withColumn(name, F.col("__row") + F.col("__shift"))
+    return ranked.select(*map(q, df.columns), q(name))

@@ -1,11 +1,10 @@
 """Rule mining between columns.
 
 * R1 exclusion rules: value pairs of two categorical columns never seen
-  together, within the values seen where both are non-null.  No cross join:
-  for each left value the missing right values are
-  ``array_except(domain_right, seen_right)``; the domain is one bounded
-  array per column pair (guarded by a cardinality limit), attached by an
-  equi-join on the pair id.
+  together, within the values seen where both are non-null.  No cross join of
+  rows: for each left value the missing right values are
+  ``array_except(domain_right, seen_right)`` by bounded chunks of the domain,
+  attached by an equi-join on the pair id.
 * R2 cohesion: share of multi-row groups whose target is constant; purity is
   ``min = max`` so every statistic is a partial (map-side) aggregate, and all
   targets of one group key share one aggregation.
@@ -22,7 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q, row_sum, safe_ratio
-from .encode import DEFAULT_MAX_CATEGORIES
+from .prefix import ranks_by_range
+from .state import freeze
+
+CHUNK = 1000  # values of a right domain in one row
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,32 +32,34 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(q(a).isNotNull() & q(b).isNotNull()).groupBy(a, b).count()
 
 
-def exclusion_rules(df: DataFrame, cols: Sequence[str], max_categories: int = DEFAULT_MAX_CATEGORIES) -> DataFrame:
+def exclusion_rules(df: DataFrame, cols: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """``(column_a, value_a, column_b, value_b)`` never observed together.
 
-    All column pairs are handled in one pass: rows are unpivoted to the
-    distinct observed ``(pair, value_a, value_b)`` triples (de-duplicated
-    map-side).  Raises if a column has more than ``max_categories`` values in
-    a pair's domain, which bounds the per-pair domain arrays.
+    All column pairs are handled in one pass: rows are unpivoted to the distinct
+    observed ``(pair, value_a, value_b)`` triples (de-duplicated map-side).  The right
+    domain of a pair is numbered and cut into chunks; each left value is set against
+    each chunk, and what it was not seen with in the chunk comes out.  So rows hold at
+    most ``chunk`` values, and domains may have any number of them; the work is that
+    of the rules found plus the seen pairs.
     """
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "column_a string, value_a string, column_b string, value_b string")
-    obs = df.select(F.explode(F.array(*[
+    seen = freeze(df.select(F.explode(F.array(*[
         F.when(q(a).isNotNull() & q(b).isNotNull(),
                F.struct(F.lit(i).alias("pair"), q(a).cast(T.StringType()).alias("va"),
                         q(b).cast(T.StringType()).alias("vb")))
-        for i, (a, b) in enumerate(pairs)])).alias("s")).where(F.col("s").isNotNull()).select("s.*").distinct()
-    dom_b = obs.groupBy("pair").agg(F.collect_set("vb").alias("dom_b"),
-                                    F.count_distinct("va").alias("n_a"))
-    guard = F.when((F.size("dom_b") > max_categories) | (F.col("n_a") > max_categories),
-                   F.raise_error(F.lit(f"exclusion_rules: more than {max_categories} categories")))
-    dom_b = dom_b.select("pair", F.coalesce(guard.cast("array<string>"), F.col("dom_b")).alias("dom_b"))
-    seen = obs.groupBy("pair", "va").agg(F.collect_set("vb").alias("seen_b"))
-    # dom_b has one row per column pair: a bounded broadcast equi-join
-    missing = seen.join(F.broadcast(dom_b), "pair").select(
-        "pair", "va", F.explode(F.array_except("dom_b", "seen_b")).alias("vb"))
+        for i, (a, b) in enumerate(pairs)])).alias("s")).where(F.col("s").isNotNull()).select("s.*").distinct()).df
+    right = ranks_by_range(seen.select("pair", "vb").distinct(), ["pair"], ["vb"], "place")
+    right = freeze(right.withColumn("chunk", F.floor(F.col("place") / chunk)))
+    chunks = right.df.groupBy("pair", "chunk").agg(F.collect_list("vb").alias("domain"))
+    # (pair, left value, chunk): what was seen there
+    left = seen.select("pair", "va").distinct().join(chunks, "pair")
+    here = (seen.join(right.for_join(), ["pair", "vb"]).groupBy("pair", "va", "chunk")
+            .agg(F.collect_list("vb").alias("known")))
+    missing = left.join(here, ["pair", "va", "chunk"], "left").select(
+        "pair", "va", F.explode(F.array_except("domain", F.coalesce("known", F.array().cast("array<string>")))).alias("vb"))
     names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
     return missing.select(F.element_at(names, F.col("pair") + 1)["a"].alias("column_a"),
                           F.col("va").alias("value_a"),

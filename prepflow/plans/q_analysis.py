@@ -102,6 +102,38 @@ def q_ordinal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.ordinal_apply(v, state, suffix="_code").select("o_orderkey", "split", *[f"{c}_code" for c in CATS])
 
 
+# ---------------------------------------------------------------------- C14 / C16 / C17 with many categories
+MANY = ("o_custkey", "o_orderpriority", "order_month")
+
+
+def _sparse_sql(drop_first: int) -> str:
+    ctes, cells, offset = [], [], []
+    for i, c in enumerate(MANY):
+        ctes.append(f"k{i} AS (SELECT val, row_number() OVER (ORDER BY val) - 1 - {drop_first} AS code FROM "
+                    f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS val FROM v2 WHERE split = 'train' AND {c} IS NOT NULL))")
+        cells.append(f"(SELECT k.code + {' + '.join(offset) or 0} FROM k{i} k WHERE k.val = CAST(v2.{c} AS VARCHAR) AND k.code >= 0)")
+        offset.append(f"(SELECT count(*) - {drop_first} FROM k{i})")
+    return (f"WITH {V}, v2 AS (SELECT *, {_SPLIT_CASE} AS split FROM v), {', '.join(ctes)} "
+            f"SELECT o_orderkey, split, concat_ws(',', {', '.join(cells)}) AS active FROM v2")
+
+
+def _active(spark: SparkSession, sf_dir: str, drop_first: bool) -> DataFrame:
+    v = _split_orders(spark, sf_dir).select("o_orderkey", "split", *MANY)
+    state = enc.fit_category_table(v.where(F.col("split") == sp.TRAIN), MANY)
+    out = enc.sparse_indices(v, state, drop_first=drop_first)
+    return out.select("o_orderkey", "split", F.array_join("active", ",").alias("active"))
+
+
+@register("onehot_sparse", "C14 C17", _sparse_sql(0))
+def q_onehot_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _active(spark, sf_dir, False)
+
+
+@register("dummy_sparse", "C16 C17", _sparse_sql(1))
+def q_dummy_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _active(spark, sf_dir, True)
+
+
 # ---------------------------------------------------------------------- C18
 STANDARDISE_SQL = f"""WITH {V}, v2 AS (SELECT *, {_SPLIT_CASE} AS split FROM v),
 s AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1,
@@ -198,6 +230,18 @@ def q_exclusion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.exclusion_rules(load(spark, sf_dir, "part"), PART_CATS)
 
 
+EXCLUSION_MANY_SQL = """WITH s AS (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS va, CAST(l_partkey AS VARCHAR) AS vb FROM lineitem
+           WHERE l_linenumber IS NOT NULL AND l_partkey IS NOT NULL)
+SELECT 'l_linenumber' AS column_a, va AS value_a, 'l_partkey' AS column_b, vb AS value_b
+FROM ((SELECT a.va, b.vb FROM (SELECT DISTINCT va FROM s) a, (SELECT DISTINCT vb FROM s) b) EXCEPT SELECT va, vb FROM s)"""
+
+
+@register("exclusion_many", "R1 J3 A12", EXCLUSION_MANY_SQL)
+def q_exclusion_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain that grows with the data: parts never seen on some line number."""
+    return rel.exclusion_rules(load(spark, sf_dir, "lineitem"), ["l_linenumber", "l_partkey"])
+
+
 CONTINGENCY_SQL = """SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY 1, 2"""
 
 

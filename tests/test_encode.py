@@ -1,5 +1,6 @@
 """Encodings (T4) and their invariants."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from prepflow.operators import encode as enc
@@ -84,3 +85,35 @@ def test_dotted_category_names_flow_downstream(spark):
     assert corr.count() == 2
     m = mdl.train(out, "logistic", ["x", "dest_PSO J318.5-22", "dest_Earth"], target="y", key="k")
     assert mdl.score(m, out, "k").count() == 40
+
+
+def test_a_million_categories(spark):
+    """No limit: codes by a join, sparse output; the wide form says what to use."""
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).cast("string").alias("c"), (F.col("id") % 3).cast("string").alias("d"))
+    state = enc.fit_category_table(df, ["c", "d"])
+    assert state.sizes == {"c": n, "d": 3}
+    some = spark.createDataFrame([("0", "2"), ("999999", "1"), ("x", None), (None, "0"), ("500000", "9")], "c string, d string")
+    order = {v: i for i, v in enumerate(sorted(map(str, range(n))))}
+    codes = enc.ordinal_apply(some, state, suffix="_k", max_broadcast_rows=100)
+    assert "BroadcastHashJoin" not in codes._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["c"], r["c_k"], r["d_k"]) for r in codes.collect()} == {
+        ("0", 0.0, 2.0), ("999999", float(n - 1), 1.0), ("x", float(n), 3.0), (None, float(n), 0.0), ("500000", float(order["500000"]), 3.0)}
+    active = {(r["c"], r["d"]): r["active"] for r in enc.sparse_indices(some, state).collect()}
+    assert active == {("0", "2"): [0, n + 2], ("999999", "1"): [n - 1, n + 1], ("x", None): [], (None, "0"): [n], ("500000", "9"): [order["500000"]]}
+    vectors = {(r["c"], r["d"]): r["features"] for r in enc.sparse_vector(some, state).collect()}
+    assert all(v.size == n + 3 and list(v.toArray().nonzero()[0]) == active[k] for k, v in vectors.items())
+    dropped = {(r["c"], r["d"]): r["active"] for r in enc.sparse_indices(some, state, drop_first=True).collect()}
+    assert dropped[("0", "2")] == [n - 1 + 1] and dropped[("999999", "1")] == [n - 2, n - 1]
+    with pytest.raises(ValueError, match="sparse"):
+        enc.onehot_fit(df, ["c"])
+
+
+def test_sparse_of_empty_and_constant_columns(spark):
+    df = spark.createDataFrame([(None, "a", 1), (None, "a", 2)], "e string, k string, x int")
+    state = enc.fit_category_table(df, ["e", "k", "absent"])
+    assert state.sizes == {"e": 0, "k": 1}
+    assert [r["active"] for r in enc.sparse_indices(df, state).collect()] == [[0], [0]]
+    assert [r["active"] for r in enc.sparse_indices(df, state, drop_first=True).collect()] == [[], []]
+    assert enc.sparse_vector(df, state).first()["features"].size == 1
+    assert enc.ordinal_apply(df, state).first()["e"] == 0.0

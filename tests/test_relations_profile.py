@@ -97,3 +97,14 @@ def test_distinct_counts_without_expand_and_merged_sketches(spark):
     merged = {r["column"]: r for r in prof.merged_sketches(stored.unionByName(later)).collect()}
     assert abs(merged["a"]["n_distinct"] - 40_000) <= prof.sketch_error() * 40_000
     assert (merged["b"]["n_distinct"], merged["c"]["n_distinct"], merged["c"]["n_missing"]) == (300, 1, 22_500)
+
+
+def test_exclusion_rules_of_large_domains(spark):
+    """Domains beyond a chunk, on either side."""
+    n = 5000
+    df = spark.range(n).select(F.col("id").cast("string").alias("a"), (F.col("id") % 4).cast("string").alias("b"))
+    for cols in (["a", "b"], ["b", "a"]):
+        got = rel.exclusion_rules(df, cols, chunk=300)
+        assert got.count() == 3 * n and got.distinct().count() == 3 * n
+        seen = df.select(*[F.col(c).alias(f"value_{x}") for c, x in zip(cols, "ab")])
+        assert got.join(seen, ["value_a", "value_b"], "left_semi").count() == 0
