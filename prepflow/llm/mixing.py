@@ -15,8 +15,10 @@ is spread over many tasks.
 
 Defined results: NULL text has size 0; NULL is a source of its own, last in
 order; NULL ``doc_id`` sorts as the empty string; repeated rows are taken each on
-their own; documents of size 0 are taken 0 times; an empty table gives no rows;
-other columns are ignored.
+their own; rows with equal ids go by size, then (in ``mixed_documents``) by a number of
+their own; documents of size 0 are taken 0 times; texts of any length are one document,
+cut only where a target ends; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .common import frozen, small_side, word_count
+from .common import frozen, ids_name_rows, packed, small_side, unpacked, word_count
 
 HASH_BITS = 60
 
@@ -89,17 +91,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ma
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), schedules: Sequence[Schedule] = SCHEDULES,
         budget: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", bucket_rows: int = 50_000,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken, copies``.
 
+    With ``row_col``, a number that no two rows share, it comes back as ``row``.
+
     ``copies`` lists the passes in which the document is read: ``epoch``, ``take``
     (words; the last document of a source is cut where its target is reached) and
     ``position``, the training time.  ``taken`` is the sum of the takes.
     """
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(q(id_col).cast("string"), F.lit("")), F.lit(seed))),
                              1, HASH_BITS // 4), 16, 10).cast("long")
+    row = q(row_col).alias("row") if row_col else F.lit(0).cast("long").alias("row")
     base = frozen(docs.select(q(id_col).alias("doc_id"), q(source_col).alias("source"),
-                              word_count(q(text_col)).alias("size"), key.alias("key")))
+                              word_count(q(text_col)).alias("size"), key.alias("key"), row))
     buckets = max(1, math.ceil(base.count() / bucket_rows))
     bucket = F.least(F.floor(F.col("key").cast("double") / F.lit(2.0 ** HASH_BITS) * F.lit(buckets)),
                      F.lit(buckets - 1)).cast("int")
@@ -114,8 +120,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), schedules: Sequen
     offsets = (offsets.join(targets, offsets["source"].eqNullSafe(targets["source"]))
                .select("slot", "bucket", "offset"))
     rows = base.join(targets, same(targets)).select(
-        "doc_id", base["source"], "size", "key", "bucket", "slot", "source_size", "target")
-    here = Window.partitionBy("slot", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        "doc_id", base["source"], "size", "key", "row", "bucket", "slot", "source_size", "target")
+    here = Window.partitionBy("slot", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = (rows.withColumn("before", F.sum("size").over(here) - F.col("size"))
             .join(offsets, ["slot", "bucket"]))
     wanted = F.floor(F.col("target") + F.lit(0.5)).cast("long")
@@ -137,7 +143,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), schedules: Sequen
     copies = F.filter(F.array(*passes), lambda c: c.isNotNull())
     rows = rows.withColumn("copies", copies)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["take"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies",
+                       *(["row"] if row_col else []))
 
 
 def training_order(mixed: DataFrame, *by: str) -> DataFrame:
@@ -150,12 +157,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     A pass that reads less than half of a document leaves it out and one that
     reads more has all of it, so a source is within one document of its target.
-    Rows that share a ``doc_id`` share the passes of the one taken most.
+    Where ids repeat or are NULL, rows are numbered first, so each has passes of its own.
     """
-    plan = mix(docs, **how)
-    plan = plan.groupBy(F.col("doc_id").alias("id_")).agg(
-        F.max_by("copies", "taken").alias("copies"), F.max_by("size", "taken").alias("size"))
+    rows = packed(docs, q("doc_id").alias("doc_id"), q("text").alias("text"), q("source").alias("source"))
+    named = ids_name_rows(docs, "doc_id")
+    rows = rows if named else frozen(rows.withColumn("number", F.monotonically_increasing_id()))
+    plan = mix(rows, **how, row_col=None if named else "number")
     copies = F.transform(F.filter("copies", lambda c: c["take"] * 2 >= F.col("size")), lambda c: c["position"])
-    plan = frozen(plan.select("id_", F.explode(copies).alias("position_")))
-    rows = docs.join(small_side(plan, plan.count()), docs["doc_id"].eqNullSafe(plan["id_"]))
-    return rows.orderBy(plan["position_"], docs["doc_id"]).select(*[docs[c] for c in docs.columns])
+    key = "doc_id" if named else "number"
+    plan = frozen(plan.select(F.col("doc_id" if named else "row").alias("of"), F.explode(copies).alias("position")))
+    both = rows.join(small_side(plan, plan.count()), F.col(key) == F.col("of"))
+    return unpacked(both.orderBy("position", "doc_id", *([] if named else ["number"])), docs.columns)

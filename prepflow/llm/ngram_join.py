@@ -28,10 +28,15 @@ pairs of a group.
 Texts are read again where sets are needed again, so that sets are shuffled for
 candidates only.
 
+Where an id stands for several rows, rows are numbered first, and each goes with the
+class of its own text; a component is named by its smallest id all the same.
+
 Defined results: NULL or empty texts have an empty set and link with nothing;
 rows with NULL ``doc_id`` link with nothing and have a NULL component; rows that
-repeat a ``doc_id`` go each with the class of its own text; an empty table gives
-no rows; other columns are ignored by the join and kept by ``keep_first``.
+repeat a ``doc_id`` go each with the class of its own text; very long texts are one
+set like others (a task holds one text at a time, and the sets of one block); an
+empty table gives no rows; other columns are ignored by the join and kept by
+``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .common import Recent, frozen, small_side
+from .common import Recent, frozen, ids_name_rows, packed, small_side, unpacked
 from .components import components
 
 HOT_BITS = 22
@@ -64,8 +69,8 @@ class Similarity:
 
     words: int = 4
     percent: int = 85
-    block_elements: int = 4_000_000  # of a group, in one task
-    block_sets: int = 4096
+    block_elements: int = 2_000_000  # of a group; a task holds two blocks at most
+    block_sets: int = 2048
 
     def linked(self, a: int, b: int, common: int) -> bool:
         return 100 * common >= self.percent * (a + b - common)
@@ -269,11 +274,13 @@ class SignatureTree:
         bits = 64
         while bits < 4 * self.sizes[-1] and bits < 1 << 16:
             bits *= 2
-        flags = np.zeros((len(sets), bits), dtype=bool)
+        self.maps = np.empty((len(sets), bits // 64), dtype=np.uint64)
+        self.hidden = np.empty(len(sets), dtype=np.int64)
         for i, s in enumerate(sets):
-            flags[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
-        self.maps = np.packbits(flags, axis=1).view(np.uint64)
-        self.hidden = self.sizes - flags.sum(axis=1)
+            flags = np.zeros(bits, dtype=bool)
+            flags[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+            self.maps[i] = np.packbits(flags).view(np.uint64)
+            self.hidden[i] = len(s) - flags.sum()
         self.levels = []  # (maps, smallest, largest, most hidden)
         maps, low, high, hidden, step = self.maps, self.sizes, self.sizes, self.hidden, LEAF
         while True:
@@ -386,7 +393,27 @@ def _links(texts: DataFrame, members: DataFrame, rows: int, similarity: Similari
 def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every row."""
-    texts = docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("binary").alias("text"))
+    rows = docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("binary").alias("text"))
+    if ids_name_rows(rows, "doc_id", allow_null=True):
+        return _classes(rows, similarity).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    rows = _numbered(rows)
+    classes = frozen(_classes(rows.select(F.col("number").alias("doc_id"), "text"), similarity))
+    named = classes.join(rows.select(F.col("number").alias("number_"), F.col("doc_id").alias("id_")),
+                         F.col("doc_id") == F.col("number_"))
+    smallest = named.groupBy(F.col("root").alias("root_")).agg(F.min("id_").alias("component_id"))
+    found = named.join(smallest, F.col("root") == F.col("root_")).select(F.col("id_").alias("doc_id"), "n_shingles", "component_id")
+    nobody = classes.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    return found.unionAll(nobody)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``number`` of their own, written once; NULL where ``doc_id`` is."""
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    return frozen(rows.withColumn("number", number))
+
+
+def _classes(texts: DataFrame, similarity: Similarity) -> DataFrame:
+    """``doc_id, n_shingles, root`` of rows ``doc_id, text`` whose ids do not repeat: the smallest id reachable."""
     facts = frozen(texts.mapInArrow(lambda b: _facts(b, similarity.words), FACTS))
     sizes = facts.where(F.col("element").isNull()).select("doc_id", "n", "print")
     common = _common_elements(facts, sizes.count())
@@ -410,13 +437,11 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), id_c
         F.ceil(F.sum("n") / similarity.block_elements), F.ceil(F.count(F.lit(1)) / similarity.block_sets)).alias("blocks"))
     members = frozen(members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("member"), "blocks"))
                      .select("group", "member", "blocks", "block"))
-    n_members = members.count()
-
     # links: each block with itself and the first block; then, where a group is still in pieces, the rest
     others = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(1)))
-    first = members.withColumn("part", F.explode(F.when(F.col("block") == 0, others).otherwise(F.array("block"))))
-    links = frozen(_links(texts, first.select("group", "part", "member", F.col("member").alias("known")),
-                          n_members, similarity))
+    first = frozen(members.withColumn("part", F.explode(F.when(F.col("block") == 0, others).otherwise(F.array("block"))))
+                   .select("group", "part", "member", F.col("member").alias("known")))
+    links = frozen(_links(texts, first, first.count(), similarity))
     if members.where(F.col("blocks") > 2).limit(1).count():
         found = components(links).select(F.col("node").alias("member"), F.col("root").alias("known"))
         state = frozen(members.where(F.col("blocks") > 2).join(found, "member", "left")
@@ -433,19 +458,24 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), id_c
     where = reps.join(roots, "rep", "left").select(F.col("doc_id").alias("doc_"), F.col("print").alias("print_"),
                                                    F.coalesce("root", "rep").alias("root"))
     out = sizes.join(where, (F.col("doc_id") == F.col("doc_")) & (F.col("print") == F.col("print_")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("root"))
 
 
 def keep_first(docs: DataFrame, similarity: Similarity = Similarity(5, 80)) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; a repeated ``doc_id`` stays once."""
-    found = frozen(near_duplicates(docs, similarity))
-    late = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("id_")).distinct()
-    kept = docs.join(small_side(late, found.count()), docs["doc_id"] == late["id_"], "left_anti")
-    again = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id_")).count().where("count > 1")
-    again = frozen(again.select("id_"))
-    n = again.count()
-    if n == 0:
-        return kept
-    twice = small_side(again, n)
-    return (kept.join(twice, kept["doc_id"] == again["id_"], "left_anti")
-            .unionByName(kept.join(twice, kept["doc_id"] == again["id_"], "left_semi").dropDuplicates(["doc_id"])))
+    """One row of ``docs`` per component: that of the smallest id, and of these the smallest hash of all columns.
+
+    Rows without an id or a text are components of their own, and all stay.
+    """
+    if ids_name_rows(docs, "doc_id", allow_null=True):
+        found = frozen(near_duplicates(docs, similarity))
+        late = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("id_"))
+        return docs.join(small_side(late, found.count()), docs["doc_id"] == late["id_"], "left_anti")
+    hashed = F.xxhash64(*[q(c).cast("string") for c in docs.columns])
+    rows = _numbered(packed(docs, q("doc_id").cast("long").alias("doc_id"), q("text").cast("binary").alias("text"), hashed.alias("hash")))
+    classes = _classes(rows.select(F.col("number").alias("doc_id"), "text"), similarity).select(F.col("doc_id").alias("number_"), "root")
+    order = F.struct("doc_id", "hash", "number")
+    best = (rows.select("doc_id", "hash", "number").join(classes, F.col("number") == F.col("number_"))
+            .groupBy("root").agg(F.min(order)["number"].alias("best")))
+    best = frozen(best.select("best"))
+    kept = rows.join(small_side(best, best.count()), F.col("number") == F.col("best"), "left_semi")
+    return unpacked(kept.unionByName(rows.where(F.col("number").isNull())), docs.columns)

@@ -1,8 +1,7 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised (A-Z lower-cased, white space to one space,
-numbers to 0)
-and hashed; per host (the ``source`` column) the distinct documents with each
+Lines are normalised (A-Z lower-cased, white space to one space, numbers to 0 unless
+digits are half of the line, as in tables and logs) and hashed; per host (the ``source`` column) the distinct documents with each
 line are counted, copies of a text counting once (and with ``alike_percent``
 below 100 near copies, too, so a family of them is not its own boilerplate).  Lines in more than
 ``max(min_documents, share * documents of the host)`` are boilerplate.  A
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .common import BROADCAST_ROWS, SPACES, WORD, frozen, small_side, text_or_empty
+from .common import BROADCAST_ROWS, SPACES, WORD, frozen, packed, small_side, text_or_empty, unpacked
 from .components import components
 
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -90,7 +89,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line with a word: ``doc_id, source, content`` (hash of the text), ``place, line`` (hash), ``words``."""
     lines = docs.select("doc_id", "source", F.xxhash64("text").alias("content"),
                         F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    plain = F.translate(F.btrim(F.regexp_replace(F.regexp_replace("raw", "[0-9]+", "0"), SPACES, " ")),
+    digits = F.length("raw") - F.length(F.translate("raw", "0123456789", ""))
+    numbers = digits * 2 >= F.length(F.regexp_replace("raw", SPACES, ""))
+    words = F.when(numbers, F.col("raw")).otherwise(F.regexp_replace("raw", "[0-9]+", "0"))
+    plain = F.translate(F.btrim(F.regexp_replace(words, SPACES, " ")),
                         "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return (lines.withColumn("words", F.regexp_count("raw", F.lit(WORD))).where(F.col("words") > 0)
             .select("doc_id", "source", "content", "place", F.xxhash64(plain).alias("line"), "words"))
@@ -230,15 +232,15 @@ def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                .dropDuplicates(["id_", "source_", "content_"]))
     changed = frozen(changed)
     weight = changed.agg(F.sum(1 + F.greatest(F.size("places_"), F.lit(0)))).first()[0] or 0
-    on = (docs["doc_id"].cast("long").eqNullSafe(changed["id_"]) & docs["source"].eqNullSafe(changed["source_"])
-          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == changed["content_"]))
-    d = docs.join(small_side(changed, weight), on, "left").where(F.coalesce("kept_", F.lit(True)))
+    d = packed(docs, F.col("doc_id").cast("long").alias("id"), F.col("source").alias("host"), text_or_empty("text").alias("text"))
+    on = (F.col("id").eqNullSafe(F.col("id_")) & F.col("host").eqNullSafe(F.col("source_"))
+          & (F.xxhash64("text") == F.col("content_")))
+    d = d.join(small_side(changed, weight), on, "left").where(F.coalesce("kept_", F.lit(True)))
     cut = F.col("places_").isNotNull()
-    d = d.withColumn("lines_", F.when(cut, F.split("text", "\n")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("places_"))
-    d = d.withColumn("text", F.when(cut, F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n"))
-                     .otherwise(F.col("text")))
+    d = d.withColumn("lines", F.when(cut, F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places_"))
+    d = d.withColumn("rest", F.when(cut, F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")))
+    new = {"text": F.when(cut, F.col("rest")).otherwise(F.col("row")["text"])}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType))
-                         .otherwise(F.col("n_chars")))
-    return d.select(*[q(c) for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return unpacked(d, docs.columns, **new)

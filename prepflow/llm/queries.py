@@ -107,9 +107,13 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slot,
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, least(size, greatest(wanted - start, 0)) AS t0,
-             least(size, greatest(wanted - start - source_size, 0)) AS t1 FROM r)
+             least(size, greatest(wanted - start - source_size, 0)) AS t1,
+             least(start::DOUBLE / nullif(target, 0), 1.0) AS share FROM r)
 SELECT doc_id, size, source_size, target, CAST(t0 + t1 AS BIGINT) AS taken,
-       CAST((t0 > 0)::INT + (t1 > 0)::INT AS INTEGER) AS n_copies
+       CAST((t0 > 0)::INT + (t1 > 0)::INT AS INTEGER) AS n_copies,
+       -- time at which the source's demand reaches the document: steady, rising and falling weights
+       CASE WHEN t0 > 0 THEN round(CASE slot % 3 WHEN 0 THEN share WHEN 1 THEN sqrt(0.25 + 2 * share) - 0.5
+                                   ELSE 1.5 - sqrt(2.25 - 2 * share) END, 6) END AS position
 FROM k
 """
 
@@ -118,7 +122,7 @@ FROM k
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents")).withColumn("position", F.get("copies", F.lit(0))["position"])
     return training_order(mixed, "doc_id").select("doc_id", "size", "source_size", "target", "taken",
-                                                  F.size("copies").alias("n_copies"))
+                                                  F.size("copies").alias("n_copies"), F.round("position", 6).alias("position"))
 
 
 # ------------------------------------------------------------------ 6 licences
@@ -189,7 +193,10 @@ p AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c WHER
 v AS (SELECT r, CAST(sum(least(5, i - COALESCE(before, -5))) AS BIGINT) AS n FROM p GROUP BY r),
 l AS (
   SELECT r, source, text, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-         translate(trim(regexp_replace(regexp_replace(x, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')),
+         translate(trim(regexp_replace(
+             CASE WHEN 2 * (length(x) - length(translate(x, '0123456789', '')))
+                       >= length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))
+                  THEN x ELSE regexp_replace(x, '[0-9]+', '0', 'g') END, '[\x20\x09-\x0D]+', ' ', 'g')),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
   FROM (SELECT r, source, text, unnest(lines) AS x FROM m)),
 h AS (SELECT source, greatest(20.0, count(DISTINCT text) * 0.01) AS most FROM d GROUP BY source),

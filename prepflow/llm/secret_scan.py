@@ -1,10 +1,9 @@
 """Secret scans: fixed forms, and character Markov models of random strings and ordinary identifiers.
 
 The fixed forms are assignments to secret names, access keys and long hex runs.
-Beyond them, a string of 20 or more key characters with both letters and digits
-is a ``random`` secret when its mean log-likelihood ratio per character step,
-between a first-order Markov model of random strings and one of ordinary
-identifiers, is above a threshold.
+Beyond them, a string of ``least_length`` or more key characters that holds both
+letters and digits (``Training`` has both rules) is a ``random`` secret when its mean log-likelihood ratio per character step, between a first-order
+Markov model of random strings and one of ordinary identifiers, is above a threshold.
 
 The models are trained on labelled samples: random strings are digests of the
 numbers below ``samples``, in hex and base64; ordinary ones are the words of the
@@ -13,16 +12,19 @@ ways identifiers are joined.  Both bounds are parameters; the result is one
 number per pair of characters of a fixed alphabet.
 
 Positions come from the text between matches: a match starts after all text
-between and all matches before it.  All is DataFrame expressions.
+between and all matches before it, by running sums that do not grow with the square
+of the number of matches.  All is DataFrame expressions.
 
 Defined results: NULL text counts as empty and has no spans; positions are code
-points, end exclusive; repeated rows are scanned each; an empty table gives no
+points, end exclusive; texts and strings of any length are scanned whole; spans that
+start together go by kind as listed; repeated rows are scanned each; an empty table gives no
 rows (models are then trained on random strings alone); other columns are
 ignored by the scan and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .common import SPACES, text_or_empty
+from .common import SPACES, let, packed, prefixes, text_or_empty, unpacked
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 MARK = "[secret]"
@@ -39,7 +41,6 @@ MARK = "[secret]"
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run of hex digits is taken whole; shorter ones fail
-RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "random")
 
@@ -50,6 +51,13 @@ class Training:
     sample_documents: int = 2000
     smoothing: float = 0.5
     threshold: float = 1.5  # mean log-likelihood ratio (nats) per character step
+    least_length: int = 20  # of a string to be judged
+    holds: tuple[str, ...] = ("[0-9]", "[A-Za-z]")  # patterns it must contain: rules of one sign are no secrets
+
+    @property
+    def random(self) -> str:
+        """Strings to be judged."""
+        return rf"[A-Za-z0-9+/_=-]{{{self.least_length},}}"
 
 
 def _steps(strings: DataFrame, kind: str) -> DataFrame:
@@ -105,12 +113,16 @@ def train(docs: DataFrame, training: Training = Training()) -> list[float]:
 def mean_ratio(s: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio per character step of a string over ``ALPHABET``."""
     table = F.split(F.lit(",".join(f"{x:.3f}" for x in ratios)), ",").cast("array<double>")
-    letter = lambda i: F.call_function("instr", F.lit(ALPHABET), F.substr(s, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(
-        F.get(table, letter(i) * len(ALPHABET) + letter(i + 1)), F.lit(0.0)))
+    letters = F.transform(F.split(s, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    total = let(letters, lambda x: F.aggregate(
+        F.zip_with(x, F.slice(x, 2, F.size(x)), lambda a, b: F.coalesce(F.get(table, a * len(ALPHABET) + b), F.lit(0.0))),
+        F.lit(0.0), lambda acc, y: acc + y))
     return total / (F.length(s) - 1)
 
 
+SPAN = "struct<start:long,rank:int,end:long,kind:string,value:string>"
+
+
 def _matches(text: Column, kind: str, pattern: str, value_group: int, good) -> Column:
     """Spans of the leftmost non-overlapping matches whose value is ``good``; NULL where the text has none."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -118,36 +130,50 @@ def _matches(text: Column, kind: str, pattern: str, value_group: int, good) -> C
     parts = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("before"), whole.alias("whole"),
                                  value.alias("value")), F.lit(1), F.size(whole))
     rank = KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string,value:string>>")
-    placed = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("at"),
-        F.concat(acc["found"], F.array(F.struct(
-            (acc["at"] + F.length(x["before"])).alias("start"), F.lit(rank).alias("rank"),
-            (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("end"), F.lit(kind).alias("kind"),
-            x["value"].alias("value")))).alias("found")), lambda acc: acc["found"])
-    return F.filter(placed, lambda m: good(m["value"]))
-
-
-def with_spans(docs: DataFrame, ratios: list[float], threshold: float, text: Column) -> DataFrame:
-    """``docs`` plus ``__spans`` (start, rank, end, kind), by start, then kind as listed."""
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string,value:string>>")
+
+    def placed(found: Column) -> Column:
+        at = prefixes(F.transform(found, lambda x: (F.length(x["before"]) + F.length(x["whole"])).cast("long")), 0, lambda a, b: a + b)
+        return F.zip_with(found, at, lambda x, a: F.struct(
+            (a + F.length(x["before"])).cast("long").alias("start"), F.lit(rank).alias("rank"),
+            (a + F.length(x["before"]) + F.length(x["whole"])).cast("long").alias("end"), F.lit(kind).alias("kind"),
+            x["value"].alias("value")))
+
+    return F.filter(let(parts, placed), lambda m: good(m["value"]))
+
+
+def _free(spans: Column) -> Column:
+    """Of sorted spans, per span whether no base span overlaps it (for ``random`` spans)."""
+    base = lambda m: m["rank"] < len(BASE_KINDS)
+    before = prefixes(F.transform(spans, lambda m: F.when(base(m), m["end"]).otherwise(F.lit(-1)).cast("long")), -1, lambda a, b: F.greatest(a, b))
+    far = (1 << 62)
+    starts = F.reverse(F.transform(spans, lambda m: F.when(base(m), m["start"]).otherwise(F.lit(far)).cast("long")))
+    after = F.reverse(prefixes(starts, far, lambda a, b: F.least(a, b)))
+    return F.zip_with(F.zip_with(spans, before, lambda m, x: F.struct(m["start"].alias("start"), m["end"].alias("end"), x.alias("x"))),
+                      after, lambda m, y: (m["x"] <= m["start"]) & (y >= m["end"]))
+
+
+def with_spans(rows: DataFrame, ratios: list[float], training: Training) -> DataFrame:
+    """``rows`` (with ``text``) plus ``spans`` (start, rank, end, kind), by start, then kind as listed."""
+    none = F.array().cast(f"array<{SPAN}>")
     either = lambda test, found: F.when(test, found).otherwise(none)
-    d = docs.withColumn("__text", text)
-    t = F.col("__text")
-    d = d.withColumns({
-        "__assign": either(t.rlike(ASSIGN), _matches(t, "assign", ASSIGN, 2, lambda v: F.length(v) >= 6)),
-        "__access": either(t.contains("AKIA"), _matches(t, "access", ACCESS, 0, lambda v: F.length(v) >= 20)),
-        "__hex": either(t.rlike(HEX), _matches(t, "hex", HEX, 0, lambda v: F.lit(True))),
-        "__random": either(t.rlike(RANDOM), _matches(
-            t, "random", RANDOM, 0, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))),
+    t = F.col("text")
+    d = rows.withColumns({
+        "found_assign": either(t.rlike(ASSIGN), _matches(t, "assign", ASSIGN, 2, lambda v: F.length(v) >= 6)),
+        "found_access": either(t.contains("AKIA"), _matches(t, "access", ACCESS, 0, lambda v: F.length(v) >= 20)),
+        "found_hex": either(t.rlike(HEX), _matches(t, "hex", HEX, 0, lambda v: F.lit(True))),
+        "found_random": either(t.rlike(training.random), _matches(
+            t, "random", training.random, 0, lambda v: functools.reduce(
+                lambda a, b: a & b, [v.rlike(x) for x in training.holds], F.lit(True))
+            & (mean_ratio(v, ratios) > F.lit(training.threshold)))),
     })
-    base = F.concat("__assign", "__access", "__hex")
-    d = d.withColumn("__base", base).drop("__assign", "__access", "__hex")
-    free = lambda r: ~F.exists("__base", lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"]))
-    scored = F.filter("__random", lambda r: free(r) & (mean_ratio(r["value"], ratios) > F.lit(threshold)))
-    spans = F.transform(F.sort_array(F.concat("__base", scored)), lambda m: F.struct(
-        m["start"].alias("start"), m["rank"].alias("rank"), m["end"].alias("end"), m["kind"].alias("kind")))
-    return d.withColumn("__spans", spans).drop("__base", "__random")
+    d = d.withColumn("found", F.sort_array(F.concat("found_assign", "found_access", "found_hex", "found_random")))
+    some = (F.size("found_random") > 0) & (F.size("found") > F.size("found_random"))
+    free = F.when(some, let(F.col("found"), _free)).otherwise(F.transform("found", lambda m: F.lit(True)))
+    kept = F.filter(F.zip_with("found", free, lambda m, ok: F.struct(m.alias("m"), ok.alias("ok"))),
+                    lambda x: x["ok"] | (x["m"]["rank"] < len(BASE_KINDS)))
+    spans = F.transform(kept, lambda x: F.struct(
+        x["m"]["start"].alias("start"), x["m"]["rank"].alias("rank"), x["m"]["end"].alias("end"), x["m"]["kind"].alias("kind")))
+    return d.withColumn("spans", spans).select(*rows.columns, "spans")
 
 
 def find_secrets(docs: DataFrame, training: Training = Training(), ratios: list[float] | None = None,
@@ -158,24 +184,27 @@ def find_secrets(docs: DataFrame, training: Training = Training(), ratios: list[
     """
     rows = docs.select(q(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ratios = train(rows, training) if ratios is None else ratios
-    return with_spans(rows, ratios, training.threshold, F.col("text")).select("doc_id", F.col("__spans").alias("spans"))
+    return with_spans(rows, ratios, training).select("doc_id", "spans")
 
 
 def redact(docs: DataFrame, training: Training = Training(), ratios: list[float] | None = None) -> DataFrame:
     """``docs`` with each stretch of secrets in ``text`` replaced by a mark and ``n_chars`` (if there) renewed."""
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     ratios = train(rows, training) if ratios is None else ratios
-    d = with_spans(docs, ratios, training.threshold, F.coalesce(docs["text"], F.lit("")))
-    piece = lambda a, b: F.substr("__text", (a + 1).cast("int"), (b - a).cast("int"))
-    built = F.aggregate(
-        "__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, m: F.when(m["end"] <= acc["at"], acc).otherwise(F.struct(
-            m["end"].alias("at"),
-            F.when(m["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], piece(acc["at"], m["start"]), F.lit(MARK))).alias("out"))),
-        lambda acc: F.concat(acc["out"], piece(acc["at"], F.length("__text").cast("long"))))
-    d = d.withColumn("text", F.when(F.size("__spans") > 0, built).otherwise(F.col("text")))
+    d = with_spans(packed(docs, text_or_empty("text").alias("text")), ratios, training)
+    hit = F.size("spans") > 0
+
+    def masked(x: Column) -> Column:
+        cut = lambda a, b: F.array_join(F.slice(x["chars"], (a + 1).cast("int"), (b - a).cast("int")), "")
+        pieces = F.zip_with(x["spans"], x["upto"], lambda m, end: F.when(
+            m["start"] >= end, F.concat(cut(end, m["start"]), F.lit(MARK))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(x["spans"], lambda m: m["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(last, F.size(x["chars"]).cast("long")))
+
+    upto = prefixes(F.transform("spans", lambda m: m["end"]), 0, lambda a, b: F.greatest(a, b))  # where masked stretches end
+    d = d.withColumn("masked", F.when(hit, let(
+        F.struct(F.split("text", "").alias("chars"), F.col("spans").alias("spans"), upto.alias("upto")), masked)))
+    changed = {"text": F.coalesce("masked", F.col("row")["text"])}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long"))
-                         .otherwise(F.col("n_chars")))
-    return d.select(*[q(c) for c in docs.columns])
+        changed["n_chars"] = F.when(hit, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return unpacked(d, docs.columns, **changed)
