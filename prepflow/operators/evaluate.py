@@ -151,6 +151,17 @@ def metrics(df: DataFrame, actual: str | Column, predicted: str | Column, score:
     return out
 
 
+def pooled_metrics(df: DataFrame, fold: str, actual: str | Column, predicted: str | Column, score: str) -> DataFrame:
+    """Metrics of all out-of-fold rows together, beside the means of the folds' own.
+
+    ``of`` is ``pooled`` or ``mean of folds``; the two differ wherever folds differ.
+    """
+    cols = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    pooled = metrics(df, actual, predicted, score).select(F.lit("pooled").alias("of"), *cols)
+    folds = metrics(df, actual, predicted, score, keys=[fold]).agg(*[F.avg(c).alias(c) for c in cols])
+    return pooled.unionByName(folds.select(F.lit("mean of folds").alias("of"), *cols))
+
+
 def class_report(df: DataFrame, actual: str | Column, predicted: str | Column) -> DataFrame:
     """E5: per class ``precision, recall, f1, support``."""
     c = confusion_cells(df, actual, predicted)

@@ -32,6 +32,7 @@ from .alias import DICT_SEED, AliasState, alias_fill, fill_seed, fit_alias
 from .groups import counted_modes, with_group_modes, with_group_stats
 from .prefix import running_sums
 from .radix import exact_medians
+from .reshape import require_columns
 from .rules import Rule, apply_rules, fill_constant, homeplanet_rules, passenger_pre_rules
 from .state import DEFAULT_MAX_BROADCAST_ROWS, StateTable, balanced_for_training, freeze
 
@@ -376,6 +377,7 @@ def fit(train: DataFrame, cfg: ImputeConfig = ImputeConfig()) -> tuple[ImputeSta
     The prepared train frame (rules applied, before any statistical fill) feeds
     several fits and the caller: computed once, in the checkpoint folder.
     """
+    require_columns(train, cfg.row_key, "imputation")
     base = freeze(_prepare(train, cfg)).df
     medians = None
     if cfg.cascade_target and cfg.cascade_target in base.columns:

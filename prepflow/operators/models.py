@@ -185,11 +185,43 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     # keep only the used columns, cached for the duration of the fit
     data = balanced_for_training(_training_columns(df, preset, numeric, categorical, target, key))
     try:
-        return build_pipeline(preset, numeric, categorical, "label", data_shape(data, categorical), params).fit(data)
+        pipeline = build_pipeline(preset, numeric, categorical, "label", data_shape(data, categorical), params)
+        model = pipeline.fit(data)
+        return _calibrated(model, pipeline, data) if preset.kind == "svc" else model
     finally:
         data.unpersist()
 
 
+CALIBRATION_FOLDS = 3
+
+
+def _calibrated(model: PipelineModel, pipeline: Pipeline, data: DataFrame) -> PipelineModel:
+    """M6: a margin model with a fitted probability, as further stages of the model (saved and loaded with it).
+
+    The logistic is fitted on out-of-fold margins: each row's margin comes from a model
+    that did not train on it.  Rows are dealt to folds by a hash of their values.  Where
+    some fold's training rows have one class only, margins are those of the model itself.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorSlicer
+    fold = F.pmod(F.xxhash64(*[q(c) for c in data.columns if c != "label"]), F.lit(CALIBRATION_FOLDS))
+    counts = {(r["fold"], r["label"]): r["count"] for r in data.groupBy(fold.alias("fold"), "label").count().collect()}
+    labels = {label for _, label in counts}
+    whole = all(any((f, x) in counts for f in range(CALIBRATION_FOLDS) if f != i) for i in range(CALIBRATION_FOLDS) for x in labels)
+    slicer = VectorSlicer(inputCol="rawPrediction", outputCol="__margin", indices=[1])
+    if whole and len(labels) == 2:
+        parts = [slicer.transform(pipeline.fit(data.where(fold != i)).transform(data.where(fold == i))).select("__margin", "label")
+                 for i in range(CALIBRATION_FOLDS)]
+        margins = parts[0]
+        for p in parts[1:]:
+            margins = margins.unionByName(p)
+    else:
+        margins = slicer.transform(model.transform(data)).select("__margin", "label")
+    logistic = LogisticRegression(featuresCol="__margin", labelCol="label", probabilityCol="probability",
+                                  rawPredictionCol="__calibrated", predictionCol="__calibrated_label").fit(margins)
+    return PipelineModel([*model.stages, slicer, logistic])
+
+
 def _training_columns(df: DataFrame, preset: Preset, numeric: Sequence[str], categorical: Sequence[str], target: str,
                       key: str | None, *more: str) -> DataFrame:
     data = _with_label(df, target)
@@ -202,7 +234,7 @@ def _training_columns(df: DataFrame, preset: Preset, numeric: Sequence[str], cat
 
 
 def positive_probability(scored: DataFrame, model: PipelineModel) -> F.Column:
-    """Probability of the positive class; for margin models the logistic of the margin."""
+    """Probability of the positive class; for margin models without a fitted one the logistic of the margin."""
     if "probability" in scored.columns:
         return vector_to_array(F.col("probability"))[1]
     margin = vector_to_array(F.col("rawPrediction"))[1]
@@ -348,9 +380,19 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
 
 
 # ---------------------------------------------------------------------- E9 / M12
-def loss_history(model: PipelineModel) -> DataFrame | None:
-    """``(iteration, loss)`` of the last stage when Spark records it."""
+def loss_history(model: PipelineModel, df: DataFrame | None = None, target: str | None = None) -> DataFrame | None:
+    """``(iteration, loss)`` of the last stage.
+
+    Networks and regressions record it while training.  Boosted trees are evaluated on
+    ``df`` (training rows or others, with ``target``) after each round, in one pass.
+    """
     last = model.stages[-1]
+    if hasattr(last, "evaluateEachIteration"):
+        if df is None or target is None:
+            raise ValueError("the loss of boosted trees is that of given rows: pass df and target")
+        rows = PipelineModel(model.stages[:-1]).transform(_with_label(df, target))
+        hist = last.evaluateEachIteration(rows)
+        return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
     summ = getattr(last, "summary", None) if getattr(last, "hasSummary", False) else None
     summ = summ() if callable(summ) else summ
     hist = getattr(summ, "objectiveHistory", None) if summ is not None else None

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import q, row_sum, safe_ratio
 from .prefix import ranks_by_range
+from .reshape import drop_null_rows, require_columns
 from .state import freeze
 
 CHUNK = 1000  # values of a right domain in one row
@@ -72,6 +73,7 @@ def cohesion(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     one row having both non-null, the number and percentage whose target is
     constant.  ``group_col, target_col, n_groups, n_pure, pct_pure``.
     """
+    require_columns(df, [c for pair in pairs for c in pair], "cohesion")
     by_group: dict[str, list[str]] = {}
     for g, t in pairs:
         by_group.setdefault(g, []).append(t)
@@ -81,7 +83,7 @@ def cohesion(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         for i, t in enumerate(targets):
             x = q(t).cast(T.StringType())
             stats += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        per_group = df.where(q(g).isNotNull()).groupBy(g).agg(*stats)
+        per_group = drop_null_rows(df, [g]).groupBy(q(g)).agg(*stats)
         summary = per_group.agg(*[e for i in range(len(targets)) for e in (
             F.count_if(q(f"n{i}") > 1).alias(f"g{i}"),
             F.count_if((q(f"n{i}") > 1) & (q(f"lo{i}") == q(f"hi{i}"))).alias(f"p{i}"))])

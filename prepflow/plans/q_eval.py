@@ -155,6 +155,23 @@ def q_kfold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                             if c.endswith("_mean") or c.endswith("_std")})
 
 
+POOLED_SQL = f"""WITH {SCORED_SQL.replace('FROM s)', f', CAST(least(floor({_FOLD_U} * 5), 4) AS INTEGER) AS fold FROM s)')},
+c AS (SELECT {_ratios_sql()} FROM (SELECT {_cells_sql('predicted')} FROM s2)),
+per AS (SELECT fold, {_ratios_sql()} FROM (SELECT fold, {_cells_sql('predicted')} FROM s2 GROUP BY fold)),
+auc AS {_auc_sql('score', 'fold')}
+SELECT 'pooled' AS of, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, round((SELECT roc_auc FROM {_auc_sql('score')}), 6) AS roc_auc FROM c
+UNION ALL
+SELECT 'mean of folds', round(avg(accuracy), 6), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       round(avg(roc_auc), 6) FROM per JOIN auc USING (fold)"""
+
+
+@register("pooled_metrics", "E7 X2", POOLED_SQL)
+def q_pooled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sp.kfold(scored(spark, sf_dir), KEYS, 5, seed=42)
+    return _rounded(ev.pooled_metrics(s, "fold", "actual", "predicted", "score"))
+
+
 # ---------------------------------------------------------------------- E8 / S13
 LEADERBOARD_SQL = f"""WITH {SCORED_SQL},
 a AS (SELECT {_ratios_sql()} FROM (SELECT {_cells_sql('predicted')} FROM s2)),

@@ -16,6 +16,7 @@ from ..operators import impute as imp
 from ..operators import models as mdl
 from ..operators import split as sp
 from .q_impute import ORDERS_IMPUTE
+from . import sqlgen
 from .registry import register
 from .tables import load, orders_with_nulls
 
@@ -107,6 +108,59 @@ def q_loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mdl.loss_history(m)
 
 
+@register("loss_history_boosted", "E9 M1")
+def q_loss_history_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = doc_features(spark, sf_dir)
+    m = mdl.train(d, "xgboost", DOC_NUMERIC, DOC_CATEGORICAL, target="quality", key="doc_id", params=FEW_ROUNDS)
+    return mdl.loss_history(m, d, "quality")
+
+
+# ---------------------------------------------------------------------- what SQL can say of the models
+_TEST_DOCS = f"""SELECT doc_id, quality = 1 AS actual FROM labels JOIN documents USING (doc_id)
+WHERE {sqlgen.u('doc_id', sp.split_seed(42))} < 0.2"""
+_CHECKED = ("random_forest", "svc", "mlp", "xgboost")
+MODEL_INVARIANTS_SQL = f"WITH t AS ({_TEST_DOCS}) " + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, doc_id, actual, true AS in_range, true AS decided_at_half FROM t" for m in _CHECKED)
+
+
+@register("model_invariants", "M1 M5 M6 M7 M10 M11 P3 F9", MODEL_INVARIANTS_SQL)
+def q_model_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout runs: every test row once, its true label, a probability, and a decision that follows from it."""
+    d, out = doc_features(spark, sf_dir), None
+    for name in _CHECKED:
+        run = mdl.run_model(d, name, DOC_NUMERIC, DOC_CATEGORICAL, target="quality", key="doc_id", mode="holdout",
+                            params=FEW_ROUNDS if name == "xgboost" else None)
+        rows = run.scored.select(F.lit(name).alias("model"), "doc_id", "actual", F.col("probability").between(0.0, 1.0).alias("in_range"),
+                                 (F.col("prediction") == (F.col("probability") > 0.5)).alias("decided_at_half"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("model_reuse", "M12 M10", f"SELECT doc_id, true AS same FROM ({_TEST_DOCS})")
+def q_model_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved model, loaded again, gives every row the same probability (calibrated, so its stages are saved too)."""
+    from ..sources import io
+    d = sp.holdout_split(doc_features(spark, sf_dir), "doc_id", 0.2, seed=42)
+    train, test = d.where(F.col("split") == sp.TRAIN), d.where(F.col("split") == sp.TEST)
+    model = mdl.train(train, "svc", DOC_NUMERIC, DOC_CATEGORICAL, target="quality", key="doc_id")
+    path = io.scratch_path(spark, "model")
+    mdl.save_model(model, path)
+    one = mdl.score(model, test, "doc_id").select("doc_id", F.col("probability").alias("p"))
+    two = mdl.score(mdl.load_model(path), test, "doc_id").select(F.col("doc_id").alias("id"), F.col("probability").alias("r"))
+    return one.join(two, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("p").eqNullSafe(F.col("r")).alias("same"))
+
+
+TUNE_RANKS_SQL = "SELECT CAST(range + 1 AS INTEGER) AS rank, CAST(1 AS BIGINT) AS n FROM range(4)"
+
+
+@register("tune_ranks", "M8 X3 O3", TUNE_RANKS_SQL)
+def q_tune_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search gives every combination one rank: the whole grid of the vector classifier."""
+    res, _ = mdl.random_search(doc_features(spark, sf_dir), "svc", DOC_NUMERIC, DOC_CATEGORICAL, target="quality", key="doc_id",
+                               n_iter=10, folds=3)
+    return res.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("random_forest_fill", "C11 C12 A6")
 def q_random_forest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = imp.ImputeConfig(**{**ORDERS_IMPUTE.__dict__,
@@ -120,7 +174,7 @@ def q_random_forest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ end to end (3.1 + 3.2)
 from . import pipeline as pl  # noqa: E402
-from .tables import passengers  # noqa: E402
+from .tables import passengers, passengers_sql  # noqa: E402
 
 
 @register("passenger_prepare", "C1 C2 C3 C4 C5 C6 C7 C8 C9 C10 C11 C12 C13 C14 C15 X1 P11")
@@ -131,6 +185,33 @@ def q_passenger_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.prepare(passengers(spark, sf_dir), mode="holdout").nn
 
 
+_SPLIT = f"CASE WHEN {sqlgen.u('PassengerId', sp.split_seed(42))} < 0.2 THEN 'test' ELSE 'train' END"
+_DOMAINS = {"HomePlanet": ("Earth", "Europa", "Mars"), "CryoSleep": ("False", "True"), "VIP": ("False", "True"), "Side": ("P", "S")}
+
+
+def _prepared_facts(tree: DataFrame, *more: str) -> DataFrame:
+    """Per row: NULLs among the filled columns, and whether the categories are known ones."""
+    filled = [c for c in ("Age", "NumZone", *pl.CATEGORICAL) if c in tree.columns]
+    known = F.lit(True)
+    for c, values in _DOMAINS.items():
+        known = known & F.col(c).isin(*values)
+    return tree.select("PassengerId", "split", *more, sum((F.col(c).isNull().cast("int") for c in filled), F.lit(0)).alias("n_null"),
+                       known.alias("in_domain"))
+
+
+@register("passenger_facts", "C1 C11 C12 C13 C15 X1",
+          f"SELECT PassengerId, {_SPLIT} AS split, 0 AS n_null, true AS in_domain FROM ({passengers_sql()})")
+def q_passenger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preparation with the forest, as far as SQL can say: every passenger once, nothing NULL, known categories."""
+    return _prepared_facts(pl.prepare(passengers(spark, sf_dir), mode="holdout").tree)
+
+
+@register("passenger_full_facts", "X4 C11 C12",
+          f"SELECT PassengerId, {_SPLIT} AS split, 0 AS n_null, true AS in_domain FROM ({passengers_sql()})")
+def q_passenger_full_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared_facts(q_passenger_full(spark, sf_dir))
+
+
 @register("passenger_full", "X4 C1 C7 C8 C9 C10 C11 C12 C13 C14 C15 P11")
 def q_passenger_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preparation in full mode, with the zone forest: fitted on one table, applied to another without labels."""

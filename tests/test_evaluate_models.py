@@ -1,5 +1,6 @@
 """Evaluation (E1-E6) and models."""
 
+import math
 import random
 
 import pytest
@@ -147,3 +148,44 @@ def test_rows_without_score_count_in_the_cells(spark):
     df = spark.createDataFrame(rows, "y boolean, p boolean, s double")
     with_score, without = ev.metrics(df, "y", "p", "s").first(), ev.metrics(df, "y", "p").first()
     assert with_score["accuracy"] == without["accuracy"] == 0.5 and with_score["fn"] == 1
+
+
+def test_margins_are_calibrated(spark, tmp_path):
+    """A fitted probability beats the logistic of the margin, is saved with the model, and one class does no harm."""
+    import random
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        x = rng.gauss(0, 1)
+        rows.append((i, x, rng.choice("ab"), int(rng.random() < 1 / (1 + math.exp(-3 * x)))))
+    df = spark.createDataFrame(rows, "id int, x double, c string, y int")
+    model = mdl.train(df.where("id < 400"), "svc", ["x"], ["c"], target="y", key="id")
+    test = df.where("id >= 400")
+    scored = mdl.score(model, test, "id", "y").collect()
+    raw = model.transform(test).select("id", "y", "rawPrediction").collect()
+
+    def log_loss(pairs):
+        return -sum(math.log(max(1e-12, p if y else 1 - p)) for p, y in pairs) / len(pairs)
+
+    fitted = log_loss([(r["probability"], r["actual"]) for r in scored])
+    fixed = log_loss([(1 / (1 + math.exp(-r["rawPrediction"][1])), r["y"]) for r in raw])
+    assert fitted < fixed
+    mdl.save_model(model, str(tmp_path / "m"))
+    again = {r["id"]: r["probability"] for r in mdl.score(mdl.load_model(str(tmp_path / "m")), test, "id").collect()}
+    assert again == {r["id"]: r["probability"] for r in scored}
+
+
+def test_pooled_metrics_are_not_means_of_folds(spark):
+    rows = [(0, True, True, 0.9), (0, False, True, 0.8), (1, True, False, 0.1), (1, False, False, 0.2), (1, True, True, 0.7), (1, True, True, 0.6)]
+    df = spark.createDataFrame(rows, "fold int, actual boolean, predicted boolean, score double")
+    got = {r["of"]: r for r in ev.pooled_metrics(df, "fold", "actual", "predicted", "score").collect()}
+    assert got["pooled"]["accuracy"] == pytest.approx(4 / 6) and got["mean of folds"]["accuracy"] == pytest.approx((0.5 + 0.75) / 2)
+
+
+def test_loss_history_of_boosted_trees_falls(spark):
+    df = spark.range(200).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 > 4).cast("int").alias("y"))
+    m = mdl.train(df, "xgboost", ["x"], target="y", key="id", params={"maxIter": 5, "stepSize": 0.3})
+    loss = [r["loss"] for r in mdl.loss_history(m, df, "y").orderBy("iteration").collect()]
+    assert len(loss) == 5 and loss == sorted(loss, reverse=True)
+    with pytest.raises(ValueError):
+        mdl.loss_history(m)
