@@ -12,6 +12,7 @@ from ..operators import split as sp
 from ..sources import io
 from . import sqlgen
 from .q_eval import LEADERBOARD_SQL, _rounded, scored
+from ..operators.groups import with_group_stats
 from .registry import register
 from .tables import load, orders_with_nulls, orders_with_nulls_sql
 
@@ -46,6 +47,32 @@ def q_fold_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.discover_folds(spark, path)
 
 
+@register("fold_listing", "S6 S8 X2", FOLD_DISCOVERY_SQL.replace("fold, count(*) AS n_test", "fold"))
+def q_fold_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folds from the partition folders alone."""
+    o = sp.kfold(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5, seed=42)
+    path = io.scratch_path(spark, "folds")
+    io.write_splits(o.withColumn("split", F.lit("test")), path, by=("fold", "split"))
+    return io.list_folds(spark, path)
+
+
+BUCKETED_SQL = """SELECT o_orderkey, o_custkey, count(*) OVER g AS group_size, round(sum(o_totalprice) OVER g, 2) AS group_total,
+       o_totalprice = max(o_totalprice) OVER g AS is_largest
+FROM orders WINDOW g AS (PARTITION BY o_custkey)"""
+
+
+@register("bucketed_groups", "S6 W1 A8 C8", BUCKETED_SQL)
+def q_bucketed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group statistics over a bucketed table: neither they nor their join back shuffle."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    path = io.scratch_path(spark, "bucketed")
+    table = io.write_bucketed(o, "prepflow_" + path.rsplit("-", 1)[-1], "o_custkey", 16, path)
+    out = with_group_stats(table, "o_custkey", {"group_size": F.count(F.lit(1)), "group_total": F.sum("o_totalprice"),
+                                                "largest": F.max("o_totalprice")})
+    return out.select("o_orderkey", "o_custkey", "group_size", F.round("group_total", 2).alias("group_total"),
+                      (F.col("o_totalprice") == F.col("largest")).alias("is_largest"))
+
+
 # ------------------------------------------------------------------ sinks, each written and read back
 @register("submission_sink", "S9 F9", "SELECT o_orderkey, o_totalprice > 150000 AS \"Transported\" FROM orders")
 def q_submission_sink(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,10 +116,33 @@ def write_dictionaries(dictionary: DataFrame, path: str) -> None:
 
 
 def discover_folds(spark: SparkSession, path: str, fold_col: str = "fold", split_col: str = "split") -> DataFrame:
-    """The folds found under ``path`` that have test rows (partition discovery)."""
-    df = spark.read.parquet(path)
-    return (df.groupBy(fold_col).agg(F.count_if(F.col(split_col) == "test").alias("n_test"))
-              .where(F.col("n_test") > 0).orderBy(fold_col))
+    """The folds found under ``path`` that have test rows, and how many.
+
+    Only partitions of test rows are opened, and of their files the row counts alone.
+    """
+    test = spark.read.parquet(path).where(F.col(split_col) == "test")
+    return test.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n_test")).orderBy(fold_col)
+
+
+def list_folds(spark: SparkSession, path: str, fold_col: str = "fold", split_col: str = "split") -> DataFrame:
+    """The folds that have files of test rows, from the partition folders alone: no file is opened.
+
+    The reader of whole files gives their names, lengths and partition values; their
+    content is not selected, so it is not read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.where((F.col(split_col) == "test") & (F.col("length") > 0)).select(fold_col).distinct().orderBy(fold_col)
+
+
+def write_bucketed(df: DataFrame, name: str, group: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A prepared table ``name`` in buckets of its group, sorted by it; returns the table.
+
+    Statistics of groups and their join back to the rows need no shuffle then, however
+    often they are computed: both sides are read bucket by bucket.
+    """
+    w = df.write.mode("overwrite").bucketBy(buckets, group).sortBy(group).format("parquet")
+    (w.option("path", path) if path else w).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def with_row_key(df: DataFrame, key: str = "row_key", source: str | None = None) -> DataFrame:

@@ -49,3 +49,31 @@ def test_row_key_fallback(spark):
     out = io.with_row_key(df)
     assert out.select("row_key").distinct().count() == 2
     assert io.with_row_key(df, "k", "v").first()["k"] == "x"
+
+
+def test_bucketed_groups_need_no_exchange(spark, tmp_path):
+    """Statistics of groups and their join back, over a table in buckets of the group."""
+    from prepflow.operators.groups import with_group_modes, with_group_stats
+    df = spark.range(3000).select((F.col("id") % 40).alias("g"), "id", (F.col("id") % 7).cast("string").alias("v"))
+    table = io.write_bucketed(df, "bucketed_for_test", "g", 4, str(tmp_path / "b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = with_group_stats(table, "g", {"n": F.count(F.lit(1)), "last": F.max("id")})
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_for_test")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert len(rows) == 3000 and all(r["n"] == 75 and r["last"] % 40 == r["g"] for r in rows)
+
+
+def test_folds_are_listed_without_reading(spark, tmp_path):
+    df = spark.range(60).select("id", (F.col("id") % 3).alias("fold"), F.when((F.col("id") % 3 == 1), "train").otherwise("test").alias("split"))
+    io.write_splits(df, str(tmp_path / "f"), by=("fold", "split"))
+    listed = io.list_folds(spark, str(tmp_path / "f"))
+    assert [r["fold"] for r in listed.collect()] == [0, 2]
+    read = listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+    assert read.startswith("struct<length") and "content" not in read
+    assert [(r["fold"], r["n_test"]) for r in io.discover_folds(spark, str(tmp_path / "f")).collect()] == [(0, 20), (2, 20)]
