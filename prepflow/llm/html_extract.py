@@ -1,29 +1,40 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages are read as blocks of text on a path of open containers.  Tokens are the
-container openings (the first, second and so on of a path told apart) and the
-blocks, each with its path.  Per host, tokens that
-occur in the same pages, equally often, form an equivalence class: their
-occurrence vectors are compared by page count, total and two sums of page hashes.
-A class is valid if it occurs in enough of the host's pages and holds structure
-(container openings) as well as text; classes nest, as a class in all pages holds
-the page's frame and a class in half of them an insert.  The blocks of valid
-classes are the template, and what is left of a page are its slots.  Of these,
-the slots inside navigation, notices, adverts, forms, comments and the like, by
-element or by the words of class, id and role, are no main text; if the page has
-an ``article`` or ``main`` element, only slots inside it are.
-
-Each task sums a host's tokens before the shuffle.  A host's template has at most
-as many tokens as its pages share, whatever the number of pages; it goes to the
-pages by broadcast when small, otherwise by a join salted by page.
+Tokens are tags and words.  A container opening is a token by its path of open
+containers, the first, second and so on of a path told apart; a word is one by the
+path of its block.  Per host, tokens that occur in the same pages, equally often,
+form an equivalence class: their occurrence vectors are compared by page count, total
+and two sums of page hashes.  A class is valid if it occurs in enough of the host's
+pages and holds an opening; its words then come with that piece of the frame.  Paths
+nest the classes: the openings of valid classes are the template's regions, each
+inside the region of the nearest open container that is in the template.
+
+What is left are slots.  A block all of whose words are the template's is no slot.  A
+slot's place decides what it is: the regions that hold at least ``main_part`` of the
+host's words that are not frequent lie inside each other; the innermost is the main
+region.  Slots in it, or directly in a region around it, are main text; slots of regions
+beside it (menus, adverts, footers) are not.  A page without any main slot keeps all.
+
+Names add to this: slots inside navigation, notices, adverts, forms, comments and the
+like, by element or by the words of class, id and role, are no main text; if the page has
+an ``article`` or ``main`` element, only slots inside it are, wherever the regions lie.
+``names=False`` leaves all to the template.
+
+A token in half of a host's pages is in half of its pages in some group of pages, so
+tasks first send the tokens frequent in their own pages, with a bound of what they keep
+back; only tokens that can still be frequent are then counted, exactly, over all pages.
+A host's template has at most as many tokens as its pages share, whatever the number of
+pages; it goes to the pages by broadcast when small, otherwise by a join salted by page.
 
 Defined results: NULL or empty html gives an empty text; a URL that is NULL or
-has no host gets no template; repeated rows are extracted each; an empty table
-gives no rows; other columns are ignored.
+has no host gets no template; repeated rows are extracted each; long texts are read
+whole; a tie of regions cannot be, as two that hold more than half of the words are
+nested; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -55,16 +66,26 @@ NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sp
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 TAGS, OUTSIDE, INSIDE, PAGES = 0, 1, 2, 3  # kinds of tokens: openings, blocks outside and inside the main element
-COUNTED = "host string, token long, kind int, pages long, times long, r1 long, r2 long"
-FLUSH_TOKENS = 100_000
+COUNTED = "host string, token long, kind int, depth int, pages long, times long, r1 long, r2 long, words long"
+FLUSH_TOKENS = 400_000
+KNOWN_WORDS = 200_000  # hashes of (path, word) kept between pages
 
 
 @dataclass(frozen=True)
 class Deduction:
     min_pages: int = 4
-    share: float = 0.5  # of the host's pages, for blocks outside the main element
+    share: float = 0.5  # of the host's pages, for openings and for words outside the main element
     main_pages: int = 10
-    main_share: float = 0.8  # inside it
+    main_share: float = 0.8  # for words inside it
+    main_part: float = 0.75  # of the host's words that are not frequent, for the main region
+
+
+@dataclass(frozen=True)
+class Template:
+    words: frozenset[int] = frozenset()
+    openings: frozenset[int] = frozenset()
+    around: frozenset[int] = frozenset()  # openings of the main region and of those around it
+    main: int | None = None
 
 
 def _hash(*parts: str) -> int:
@@ -77,19 +98,22 @@ def _not_main(word: str) -> bool:
     return first not in ("no", "has", "with", "without") and not NOT_MAIN.isdisjoint((first, *rest))
 
 
-def blocks_of(html: str) -> Iterator[tuple[int, str, str, bool, bool]]:
-    """(kind, path, text, apart, inside main) of openings (text empty) and blocks, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, apart, inside main
+def blocks_of(html: str, names: bool = True) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
+    """(kind, path, text, apart, inside main, open) of openings (text empty) and blocks, in page order.
+
+    ``open`` holds the tokens of the open containers, an opening's own last."""
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]  # tag, path, apart, inside, open
+    times: dict[str, int] = {}
     pieces: list[str] = []
     tag, at, end = "", 0, len(html)
 
-    def block() -> Iterator[tuple[int, str, str, bool, bool]]:
+    def block() -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                _, path, apart, inside = stack[-1]
-                yield (INSIDE if inside else OUTSIDE), f"{path}/{tag}", text, apart, inside
+                _, path, apart, inside, opened = stack[-1]
+                yield (INSIDE if inside else OUTSIDE), f"{path}/{tag}", text, apart, inside, opened
 
     while at < end:
         less = html.find("<", at)
@@ -135,63 +159,150 @@ def blocks_of(html: str) -> Iterator[tuple[int, str, str, bool, bool]]:
                     del stack[depth:]
                     break
             continue
-        _, path, apart, inside = stack[-1]
+        _, path, apart, inside, opened = stack[-1]
         words = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-        own = name in APART or name == "header" and not inside
-        own = own or name not in ("html", "body") and any(_not_main(w) for w in words.split())
-        own = own or bool(attributes and HIDDEN.search(attributes))
+        own = bool(attributes and HIDDEN.search(attributes))
+        if names:
+            own = own or name in APART or name == "header" and not inside
+            own = own or name not in ("html", "body") and any(_not_main(w) for w in words.split())
         path = f"{path}/{name}" + (f".{words}" if words else "")
+        times[path] = n = times.get(path, 0) + 1
+        path = f"{path}#{n}"
+        opened = (*opened, _hash(path))
         if not attributes.endswith("/") or name not in VOID:
-            stack.append((name, path, apart or own, inside or name in MAIN))
-        yield TAGS, path, "", apart or own, inside
+            stack.append((name, path, apart or own, inside or names and name in MAIN, opened))
+        yield TAGS, path, "", apart or own, inside, opened
     yield from block()
 
 
-def main_text(html: str, template: frozenset[int]) -> str:
-    slots = [(text, inside) for kind, path, text, apart, inside in blocks_of(html)
-             if kind != TAGS and not apart and _hash(path, text) not in template]
-    inner = [text for text, inside in slots if inside]
-    return "\n\n".join(inner or [text for text, _ in slots])
+class _Words:
+    """Tokens of the words of a block; their hashes are kept while there is room."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, dict[str, int]] = {}
+        self.n = 0
+
+    def of(self, path: str, text: str) -> list[int]:
+        if self.n > KNOWN_WORDS:
+            self.known.clear()
+            self.n = 0
+        known, out = self.known.setdefault(path, {}), []
+        for word in text.split(" "):
+            token = known.get(word)
+            if token is None:
+                token = known[word] = _hash(path, word)
+                self.n += 1
+            out.append(token)
+        return out
+
+
+def main_text(html: str, template: Template = Template(), names: bool = True, words: _Words | None = None) -> str:
+    words = words or _Words()
+    slots = []  # text, inside the main element, in or around the main region
+    for kind, path, text, apart, inside, opened in blocks_of(html, names):
+        if kind == TAGS or apart or template.words and template.words.issuperset(words.of(path, text)):
+            continue
+        region = next((o for o in reversed(opened) if o in template.openings), None)
+        slots.append((text, inside, template.main is None or region is None or region in template.around
+                      or template.main in opened))
+    inner = [text for text, inside, _ in slots if inside]
+    return "\n\n".join(inner or [text for text, _, main in slots if main] or [text for text, _, _ in slots])
 
 
 # ------------------------------------------------------------------ Spark
-def _count_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[str, int], list[int]] = {}
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["host", "token", "kind", "pages", "times", "r1", "r2"]
-
-    def flush() -> pa.RecordBatch:
-        rows = [(*key, *values) for key, values in sums.items()]
-        sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    for b in batches:
-        for host, page, html in zip(*(b.column(i) for i in range(3))):
-            host, html, page = host.as_py(), html.as_py() or "", page.as_py()
-            r1, r2 = page & 0x7FFFFFFF, page >> 31 & 0x7FFFFFFF
-            seen: dict[int, list[int]] = {0: [PAGES, 1]}
-            opened: dict[str, int] = {}
-            for kind, path, text, _, _ in blocks_of(html):
-                if kind == TAGS:  # the first, second, ... opening of a path are different tokens
-                    text = f"#{opened.setdefault(path, 0)}"
-                    opened[path] += 1
-                own = seen.setdefault(_hash(path, text), [kind, 0])
-                own[1] += 1
-            for token, (kind, n) in seen.items():
-                s = sums.setdefault((host, token), [kind, 0, 0, 0, 0])
-                s[1] += 1
-                s[2] += n
-                s[3] += n * r1
-                s[4] += n * r2
-            if len(sums) >= FLUSH_TOKENS:
-                yield flush()
-    if sums:
-        yield flush()
+def _frequent_here(names: bool, share: float):
+    """Per host and group of pages: the tokens in ``share`` of the group's pages, with the most pages that a token
+    kept back can have (``slack``); token 0 stands for the group itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[str, dict[int, int]] = {}
+        words, size = _Words(), 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for host, counts in groups.items():
+                least = share * counts[0]
+                slack = math.ceil(least) - 1
+                rows += [(host, token, n, slack) for token, n in counts.items() if n >= least]
+            groups.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
+                pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "token", "n", "slack"])
+
+        for b in batches:
+            for host, html in zip(b.column(0).to_pylist(), b.column(2)):
+                seen = {0}
+                for kind, path, text, _, _, opened in blocks_of(html.as_py() or "", names):
+                    if kind == TAGS:
+                        seen.add(opened[-1])
+                    else:
+                        seen.update(words.of(path, text))
+                counts = groups.setdefault(host, {})
+                size -= len(counts)
+                for token in seen:
+                    counts[token] = counts.get(token, 0) + 1
+                size += len(counts)
+                if size >= FLUSH_TOKENS:
+                    yield flush()
+                    size = 0
+        if groups:
+            yield flush()
+
+    return run
+
+
+def _count_tokens(names: bool):
+    """Occurrence vectors of the candidates of each host, and the words inside openings that are none; token 0 is the page."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list[int]] = {}
+        words, last, known = _Words(), None, frozenset()
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*key, *values) for key, values in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                              [c.split()[0] for c in COUNTED.split(", ")])
+
+        for b in batches:
+            for host, page, html, tokens in zip(*(b.column(i) for i in range(4))):
+                host, html, page = host.as_py(), html.as_py() or "", page.as_py()
+                if host != last:
+                    last, known = host, frozenset(tokens.as_py())
+                r1, r2 = page & 0x7FFFFFFF, page >> 31 & 0x7FFFFFFF
+                seen: dict[int, list[int]] = {0: [PAGES, 0, 1, 0]}  # kind, depth, times, words that are not frequent
+                for kind, path, text, _, _, opened in blocks_of(html, names):
+                    if kind == TAGS:
+                        if opened[-1] in known:
+                            seen[opened[-1]] = [TAGS, len(opened), 1, 0]
+                        continue
+                    rare = 0
+                    for token in words.of(path, text):
+                        if token in known:
+                            seen.setdefault(token, [kind, 0, 0, 0])[2] += 1
+                        else:
+                            rare += 1
+                    for o in (0, *opened):
+                        if o in seen:
+                            seen[o][3] += rare
+                for token, (kind, depth, n, rare) in seen.items():
+                    s = sums.setdefault((host, token), [kind, depth, 0, 0, 0, 0, 0])
+                    s[2] += 1
+                    s[3] += n
+                    s[4] += n * r1
+                    s[5] += n * r2
+                    s[6] += rare
+                if len(sums) >= FLUSH_TOKENS:
+                    yield flush()
+        if sums:
+            yield flush()
+
+    return run
 
 
 def _page_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [_hash("", "\n".join([f"{kind} {path} {text}" for kind, path, text, _, _ in blocks_of(html.as_py() or "")]))
+        keys = [_hash("", "\n".join([f"{kind} {path} {text}" for kind, path, text, *_ in blocks_of(html.as_py() or "")]))
                 for html in b.column(2)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["host", "page", "key"])
 
@@ -211,50 +322,78 @@ def _distinct_pages(pages: DataFrame) -> DataFrame:
     return single.unionByName(pages.join(copies.where("first"), same, "left_semi").dropDuplicates(["host", "page"]))
 
 
-def templates(pages: DataFrame, deduction: Deduction = Deduction()) -> DataFrame:
-    """(``host_``, ``tokens``): the blocks of each host's template, from ``host, html``; copies of a page count once."""
-    counted = _distinct_pages(pages).mapInArrow(_count_tokens, COUNTED)
-    tokens = frozen(counted.groupBy("host", "token").agg(
-        F.max("kind").alias("kind"), *(F.sum(c).alias(c) for c in ("pages", "times", "r1", "r2")))
-        .where((F.col("pages") >= deduction.min_pages) | (F.col("kind") == PAGES)))
-    hosts = tokens.where(F.col("kind") == PAGES).select(F.col("host").alias("h"), F.col("pages").alias("of"))
-    often = F.col("pages") >= F.col("of") * F.lit(deduction.share)
-    shared = tokens.where(F.col("kind") != PAGES).join(hosts, F.col("host") == F.col("h")).where(often)
+def _by_host(rows: DataFrame, state: DataFrame, tokens: int, salts: int, page: str, how: str) -> DataFrame:
+    """``rows`` with the state (``host_``, ...) of their host: broadcast when small, else joined salted by page."""
+    same = F.col("host") == F.col("host_")
+    if tokens <= 400_000:
+        return rows.join(small_side(state, tokens), same, how).drop("host_")
+    spread = state.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(page), F.lit(salts)))
+    return salted.join(spread, same & (F.col("salt") == F.col("salt_")), how).drop("host_", "salt", "salt_")
+
+
+def templates(pages: DataFrame, deduction: Deduction = Deduction(), names: bool = True, salts: int = 32) -> DataFrame:
+    """(``host_``, ``words``, ``openings``, ``around``, ``main``): each host's template, from ``host, html``; copies of a
+    page count once."""
+    distinct = _distinct_pages(pages)
+    local = frozen(distinct.mapInArrow(_frequent_here(names, deduction.share), "host string, token long, n long, slack long")
+                   .groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")))
+    whole = local.where("token = 0").select(F.col("host").alias("host_"), F.col("n").alias("of"), F.col("slack").alias("all"))
+    least = F.greatest(F.lit(float(deduction.min_pages)), F.col("of") * F.lit(deduction.share))
+    known = frozen(local.where("token != 0").join(whole, F.col("host") == F.col("host_"))
+                   .where(F.col("n") + F.col("all") - F.col("slack") >= least)
+                   # at most some multiple of the tokens of a page can be frequent
+                   .groupBy("host_").agg(F.collect_list("token").alias("known")))
+    n = known.agg(F.sum(F.size("known"))).first()[0] or 0
+    counted = _by_host(distinct, known, n, salts, "page", "inner").select("host", "page", "html", "known")
+    tokens = frozen(counted.mapInArrow(_count_tokens(names), COUNTED).groupBy("host", "token").agg(
+        F.max("kind").alias("kind"), F.max("depth").alias("depth"),
+        *(F.sum(c).alias(c) for c in ("pages", "times", "r1", "r2", "words"))))
+    hosts = tokens.where(F.col("kind") == PAGES).select(F.col("host").alias("h"), F.col("pages").alias("of"),
+                                                        F.col("words").alias("all"))
+    shared = (tokens.where(F.col("kind") != PAGES).join(hosts, F.col("host") == F.col("h"))
+              .where((F.col("pages") >= deduction.min_pages) & (F.col("pages") >= F.col("of") * F.lit(deduction.share))))
     vector = ("host", "pages", "times", "r1", "r2")
     valid = shared.groupBy(*vector).agg(F.max((F.col("kind") == TAGS).cast("int")).alias("tags")).where("tags = 1")
+    opening = F.col("kind") == TAGS
     inner = ((F.col("of") >= deduction.main_pages) & (F.col("pages") >= F.col("of") * F.lit(deduction.main_share)))
-    blocks = (shared.where((F.col("kind") == OUTSIDE) | (F.col("kind") == INSIDE) & inner)
-              .join(valid.drop("tags"), list(vector)))
+    word = (F.col("kind") == OUTSIDE) | (F.col("kind") == INSIDE) & inner
+    around = opening & (F.col("all") > 0) & (F.col("words") >= F.col("all") * F.lit(deduction.main_part))
+    token = F.col("token")
     # a token is in half of the pages at least, so there are at most twice as many as on a page
-    return blocks.groupBy(F.col("host").alias("host_")).agg(F.collect_list("token").alias("tokens"))
-
-
-def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: tuple[list | None, frozenset] = (None, frozenset())
-    for b in batches:
-        texts = []
-        for html, tokens in zip(b.column(2), b.column(3)):
-            tokens = tokens.as_py()
-            if tokens != known[0]:
-                known = (tokens, frozenset(tokens or ()))
-            texts.append(main_text(html.as_py() or "", known[1]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
-                                         ["page_id", "url", "text"])
+    return shared.join(valid.drop("tags"), list(vector)).groupBy(F.col("host").alias("host_")).agg(
+        F.collect_list(F.when(word, token)).alias("words"), F.collect_list(F.when(opening, token)).alias("openings"),
+        F.collect_list(F.when(around, token)).alias("around"),
+        F.max_by(F.when(around, token), F.when(around, F.col("depth"))).alias("main"))
+
+
+def _extract(names: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words = {}, _Words()
+        for b in batches:
+            texts = []
+            for html, host, *state in zip(*(b.column(i) for i in range(2, 8))):
+                host = host.as_py()
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    tokens, openings, around, main = (x.as_py() for x in state)
+                    known[host] = Template(*(frozenset(x or ()) for x in (tokens, openings, around)), main)
+                texts.append(main_text(html.as_py() or "", known[host], names, words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
+                                             ["page_id", "url", "text"])
+
+    return run
 
 
 def extract_main_text(pages: DataFrame, deduction: Deduction = Deduction(), salts: int = 32, id_col: str = "page_id",
-                      url_col: str = "url", html_col: str = "html") -> DataFrame:
+                      url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
     """``page_id``, ``url`` and ``text`` (blocks joined by an empty line) of every page."""
     host = F.lower(F.regexp_extract(q(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(q(id_col).cast("long").alias("page_id"), q(url_col).alias("url"), q(html_col).alias("html"),
                         F.when(host != "", host).alias("host"))
-    found = frozen(templates(rows, deduction))
-    n = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    if n <= 400_000:
-        joined = rows.join(small_side(found, n), F.col("host") == F.col("host_"), "left")
-    else:
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts))
-        spread = found.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = rows.withColumn("salt", salt).join(
-            spread, (F.col("host") == F.col("host_")) & (F.col("salt") == F.col("salt_")), "left")
-    return joined.select("page_id", "url", "html", "tokens").mapInArrow(_extract, "page_id long, url string, text string")
+    found = frozen(templates(rows, deduction, names, salts))
+    n = found.agg(F.sum(F.size("words") + F.size("openings"))).first()[0] or 0
+    return (_by_host(rows, found, n, salts, "url", "left")
+            .select("page_id", "url", "html", "host", "words", "openings", "around", "main")
+            .mapInArrow(_extract(names), "page_id long, url string, text string"))

@@ -224,9 +224,9 @@ def test_main_text_of_one_page():
     page = ('<html><body class="x no-sidebar"><header><h1>Site</h1></header><main><article><header><h1>T &amp; U</h1></header>'
             '<p>one  two<br>three&nbsp;4</p><div class="share">x</div><ul><li>a<li>b</ul><section id="comments"><p>c</p></section>'
             '<pre> z\n y</pre><form>f<input></form><p hidden>h</article></main><aside>s</aside><footer>f</footer></body>')
-    assert main_text(page, frozenset()) == "T & U\n\none two three 4\n\na\n\nb\n\nz y\n\nh"
-    assert main_text("<p>a<b>b</b> < c &lt;d<script>if(a<b)</script><p>e<!-- x", frozenset()) == "ab < c <d\n\ne"
-    assert main_text("", frozenset()) == "" and main_text("<" * 3000 + "a='>", frozenset()).startswith("<")
+    assert main_text(page) == "T & U\n\none two three 4\n\na\n\nb\n\nz y\n\nh"
+    assert main_text("<p>a<b>b</b> < c &lt;d<script>if(a<b)</script><p>e<!-- x") == "ab < c <d\n\ne"
+    assert main_text("") == "" and main_text("<" * 3000 + "a='>").startswith("<")
 
 
 def test_template_is_deduced(spark):
