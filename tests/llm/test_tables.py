@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from prepflow.llm.html_extract import extract_main_text, main_text
+from prepflow.llm.html_extract import blocks_of, extract_main_text, main_text
 from prepflow.llm.mixing import SCHEDULES, Schedule, mix, mixed_documents
 from prepflow.llm.ngram_join import Similarity, keep_first, near_duplicates
 from prepflow.llm.quality import Rules, cleaned, judge, keep_good
@@ -269,6 +269,72 @@ def test_copies_of_a_page_are_no_template(spark, tag):
         assert r.text == (own if r.page_id >= 60 or tag == "article" else whole(i))
 
 
+def brute_force_texts(rows, names):
+    """Whole occurrence vectors, one entry per distinct page of a host; classes by equal vectors."""
+    hosts = defaultdict(list)
+    for page_id, url, html in rows:
+        hosts[url.split("/")[2] if url else None].append((page_id, list(blocks_of(html or "", names))))
+    for host, pages in hosts.items():
+        distinct = list({str([b[:3] for b in blocks]): blocks for _, blocks in pages}.values()) if host else []
+        counts = [Counter(t for kind, path, text, *_, o in blocks for t in
+                          ([("open", o[-1], len(o))] if kind == 0 else [("word", path, w, kind) for w in text.split(" ")]))
+                  for blocks in distinct]
+        vectors, classes = {}, defaultdict(list)
+        for token in set().union(*counts):
+            vectors[token] = tuple(c[token] for c in counts)
+            classes[vectors[token]].append(token)
+        n = len(distinct)
+        often = {t for t, v in vectors.items() if sum(x > 0 for x in v) >= max(4, n / 2)}
+        valid = {t for t in often if any(u[0] == "open" for u in classes[vectors[t]])}
+        template = {t for t in valid if t[0] == "open" or t[3] == 1 or n >= 10 and sum(x > 0 for x in vectors[t]) >= 0.8 * n}
+        rare = Counter()
+        for blocks in distinct:
+            for kind, path, text, *_, o in blocks:
+                for w in text.split(" ") if kind else ():
+                    rare.update([0, *o] if ("word", path, w, kind) not in often else [])
+        openings = {t[1]: t[2] for t in template if t[0] == "open"}
+        around = {o for o in openings if rare[0] and rare[o] >= 0.75 * rare[0]}
+        main = max(around, key=openings.get, default=None)
+        for page_id, blocks in pages:
+            slots = []
+            for kind, path, text, apart, inside, o in blocks:
+                if kind and not apart and not all(("word", path, w, kind) in template for w in text.split(" ")):
+                    region = [x for x in o if x in openings][-1:]
+                    slots.append((text, inside, main is None or not region or region[0] in around or main in o))
+            inner = [t for t, inside, _ in slots if inside]
+            yield page_id, "\n\n".join(inner or [t for t, _, here in slots if here] or [t for t, *_ in slots])
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_templates_match_brute_force(spark, names):
+    """Pages whose words are shared by chance, by about half of a host's pages; inserts; hosts of 1 to 40 pages."""
+    rng = random.Random(7)
+    some = lambda n, of: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()[:of]) for _ in range(n))
+    rows = []
+    for host, n in enumerate((1, 3, 4, 9, 12, 40)):
+        for i in range(n):
+            advert = f"<div class='x'><p>{some(2, 3)}</div>" if rng.random() < 0.55 else ""
+            items = "".join(f"<li>{some(1, 8)}</li>" for _ in range(rng.randrange(4)))
+            own = "".join(f"<p>{some(5, 8)} w{rng.randrange(60)} v{i}" for _ in range(rng.randrange(5)))
+            tag = "article" if host % 2 else "div"
+            rows.append((len(rows), f"http://h{host}.example/{i}", f"<nav>Home shop<ul>{items}</ul></nav>{advert}<{tag}><h1>The {some(2, 2)}</h1>"
+                         f"{own}<table><tr><td>price {rng.randrange(3)}</table></{tag}><div>\u00a9 all {some(1, 2)}</div>"))
+        rows += [(len(rows) + j, f"http://h{host}.example/again", rows[-1][2]) for j in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in extract_main_text(pages, names=names).collect()} == dict(brute_force_texts(rows, names))
+
+
+def test_places_decide_without_names(spark):
+    """Menus, adverts and footers that differ from page to page go by their place in the template alone."""
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    texts = {i: "\n\n".join([some(6), *(some(30) for _ in range(1 + i % 4))]) for i in range(24)}
+    page = lambda i: ("<div class='a'>" + "".join(f"<li>{some(1)}</li>" for _ in range(5)) + f"</div><div class='b'>{some(7)}</div>"
+                      "<div class='c'>" + "".join(f"<p>{p}</p>" for p in texts[i].split("\n\n")) + f"</div><div class='d'>\u00a9 us {some(6)}</div>")
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(24)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_main_text(pages, names=False).collect()} == texts
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
