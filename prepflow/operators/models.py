@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q
+from . import boosting
 from . import evaluate as ev
 from . import split as sp
 from .encode import ordinal_indexers
@@ -331,9 +332,13 @@ def sample_combinations(space: dict[str, list], n: int, seed: int = 42,
 
 def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categorical: Sequence[str],
                   target: str, key: str, space: dict[str, list] | None = None, n_iter: int = 10,
-                  folds: int = 5, seed: int = 42, parallelism: int = 4, include_base: bool = False):
-    """M8/M9: accuracy of sampled combinations over stratified folds (X3) with
-    ``CrossValidator(foldCol=...)``; returns ``(results, best_model)``.
+                  folds: int = 5, seed: int = 42, parallelism: int = 4, include_base: bool = False,
+                  all_rounds: bool = False):
+    """M8/M9: accuracy of sampled combinations over stratified folds (X3); returns ``(results, best_model)``.
+
+    Boosted trees without early stop are trained once for all combinations that differ
+    in rounds alone, and ``all_rounds`` adds to each combination the other rounds of the
+    space (see ``boosting``); other models go through ``CrossValidator(foldCol=...)``.
 
     ``results``: ``combination, params, accuracy, is_original, rank`` sorted by
     accuracy (ties to the lower index); with ``include_base`` the preset's
@@ -347,6 +352,9 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
     space = space or SEARCH_SPACES.get(preset.name, {})
     base = {k: preset.params[k] for k in space if k in preset.params} if include_base else None
     combos = sample_combinations(space, n_iter, seed, base)
+    prefixes = preset.kind == "gbt" and boosting.ROUNDS in space and not preset.early_stop_fraction
+    if prefixes and all_rounds:
+        combos = boosting.every_rounds(combos, space[boosting.ROUNDS])
     numeric = [c for c in numeric if c not in (key, target)]
     data = sp.stratified_kfold(_with_label(df, target), key, "label", folds, seed, col="__fold")
     data = balanced_for_training(_training_columns(data, preset, numeric, categorical, target, key, "__fold"))
@@ -360,15 +368,20 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
             if preset.kind == "svc" and "C" in own:
                 own["regParam"] = _svc_regularisation(own.pop("C"), shape)
             maps.append({clf.getParam(k): v for k, v in own.items()})
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), foldCol="__fold",
-                            numFolds=folds, parallelism=parallelism, seed=seed,
-                            evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"))
-        model = cv.fit(data)
+        if prefixes:
+            accuracies = boosting.fold_accuracies(data, pipe, combos, "__fold", folds, parallelism=parallelism)
+            best = pipe.fit(data, maps[max(range(len(combos)), key=accuracies.__getitem__)])
+        else:
+            cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), foldCol="__fold",
+                                numFolds=folds, parallelism=parallelism, seed=seed,
+                                evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"))
+            model = cv.fit(data)
+            accuracies, best = model.avgMetrics, model.bestModel
     finally:
         data.unpersist()
     spark = df.sparkSession
     rows = [(i, repr(sorted(c.items())), float(a), bool(include_base and i == 0))
-            for i, (c, a) in enumerate(zip(combos, model.avgMetrics))]
+            for i, (c, a) in enumerate(zip(combos, accuracies))]
     res = spark.createDataFrame(rows, "combination int, params string, accuracy double, is_original boolean")
     from pyspark.sql import Window
     ranked = res.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), "combination")))
@@ -376,7 +389,7 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
         best_is_base = ranked.where(F.col("rank") == 1).select((F.col("combination") == 0).alias("b"))
         ranked = ranked.withColumn("verdict", F.when(best_is_base.scalar(), F.lit("manual is best"))
                                    .otherwise(F.lit("random is better")))
-    return ranked, model.bestModel
+    return ranked, best
 
 
 # ---------------------------------------------------------------------- E9 / M12

@@ -89,15 +89,16 @@ def q_tune_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res
 
 
-# The query's own space: the rates and depths of the preset's, with rounds that small tables can pay for.
-FEW_ROUNDS_SPACE = {**mdl.SEARCH_SPACES["xgboost_search"], "maxIter": [5, 10, 15], "stepSize": [0.1, 0.3]}
+# The query's own space: the preset's, with rounds that small tables can pay for and rates in proportion.
+# One fit serves all rounds of a combination.
+FEW_ROUNDS_SPACE = {**mdl.SEARCH_SPACES["xgboost_search"], "maxIter": [5, 10, 15, 25], "stepSize": [0.1, 0.3]}
 
 
 @register("kfold_search", "M9 M2 O3 O4")
 def q_kfold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = mdl.with_params("xgboost_search", maxIter=10, stepSize=0.3)
     res, _ = mdl.random_search(doc_features(spark, sf_dir), base, DOC_NUMERIC, DOC_CATEGORICAL, target="quality",
-                               key="doc_id", space=FEW_ROUNDS_SPACE, n_iter=5, folds=5, include_base=True)
+                               key="doc_id", space=FEW_ROUNDS_SPACE, n_iter=5, folds=5, include_base=True, all_rounds=True)
     return res
 
 
