@@ -175,32 +175,51 @@ def blocks_of(html: str, names: bool = True) -> Iterator[tuple[int, str, str, bo
     yield from block()
 
 
+class _Tokens(dict):
+    """Tokens of the words at one path, made when first asked for."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.seed = _hash(path) + (1 << 63)
+
+    def __missing__(self, word: str) -> int:
+        token = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), self.seed) - (1 << 63)
+        return token
+
+
 class _Words:
-    """Tokens of the words of a block; their hashes are kept while there is room."""
+    """Tokens of the words of blocks; kept until there are too many (looked at now and then)."""
 
     def __init__(self) -> None:
-        self.known: dict[str, dict[str, int]] = {}
-        self.n = 0
+        self.known: dict[str, _Tokens] = {}
+        self.n = 0  # words seen since the last look
 
-    def of(self, path: str, text: str) -> list[int]:
-        if self.n > KNOWN_WORDS:
+    def _at(self, path: str, words: int) -> _Tokens:
+        self.n += words
+        if self.n > KNOWN_WORDS and sum(map(len, self.known.values())) > KNOWN_WORDS / 2:
             self.known.clear()
-            self.n = 0
-        known, out = self.known.setdefault(path, {}), []
-        for word in text.split(" "):
-            token = known.get(word)
-            if token is None:
-                token = known[word] = _hash(path, word)
-                self.n += 1
-            out.append(token)
-        return out
+        if self.n > KNOWN_WORDS:
+            self.n = words
+        known = self.known.get(path)
+        if known is None:
+            known = self.known[path] = _Tokens(path)
+        return known
+
+    def of(self, path: str, text: str) -> list[int]:
+        words = text.split(" ")
+        return list(map(self._at(path, len(words)).__getitem__, words))
+
+    def all_in(self, tokens: frozenset[int], path: str, text: str) -> bool:
+        """Whether all words are among ``tokens``; reads no further than the first that is not."""
+        known = self._at(path, 1)
+        return all(known[word] in tokens for word in text.split(" "))
 
 
 def main_text(html: str, template: Template = Template(), names: bool = True, words: _Words | None = None) -> str:
     words = words or _Words()
     slots = []  # text, inside the main element, in or around the main region
     for kind, path, text, apart, inside, opened in blocks_of(html, names):
-        if kind == TAGS or apart or template.words and template.words.issuperset(words.of(path, text)):
+        if kind == TAGS or apart or template.words and words.all_in(template.words, path, text):
             continue
         region = next((o for o in reversed(opened) if o in template.openings), None)
         slots.append((text, inside, template.main is None or region is None or region in template.around
@@ -265,10 +284,10 @@ def _count_tokens(names: bool):
                                               [c.split()[0] for c in COUNTED.split(", ")])
 
         for b in batches:
-            for host, page, html, tokens in zip(*(b.column(i) for i in range(4))):
+            for host, page, html, candidates in zip(*(b.column(i) for i in range(4))):
                 host, html, page = host.as_py(), html.as_py() or "", page.as_py()
                 if host != last:
-                    last, known = host, frozenset(tokens.as_py())
+                    last, known = host, frozenset(candidates.as_py())
                 r1, r2 = page & 0x7FFFFFFF, page >> 31 & 0x7FFFFFFF
                 seen: dict[int, list[int]] = {0: [PAGES, 0, 1, 0]}  # kind, depth, times, words that are not frequent
                 for kind, path, text, _, _, opened in blocks_of(html, names):
@@ -276,12 +295,11 @@ def _count_tokens(names: bool):
                         if opened[-1] in known:
                             seen[opened[-1]] = [TAGS, len(opened), 1, 0]
                         continue
-                    rare = 0
-                    for token in words.of(path, text):
-                        if token in known:
-                            seen.setdefault(token, [kind, 0, 0, 0])[2] += 1
-                        else:
-                            rare += 1
+                    tokens = words.of(path, text)
+                    often = [t for t in tokens if t in known]
+                    for token in often:
+                        seen.setdefault(token, [kind, 0, 0, 0])[2] += 1
+                    rare = len(tokens) - len(often)
                     for o in (0, *opened):
                         if o in seen:
                             seen[o][3] += rare
