@@ -29,7 +29,7 @@ from . import boosting
 from . import evaluate as ev
 from . import split as sp
 from .encode import ordinal_indexers
-from .state import balanced_for_training, freeze
+from .state import ROWS_PER_SUMMING_TASK, ROWS_PER_TASK, balanced_for_training, freeze
 
 
 @dataclass(frozen=True)
@@ -184,24 +184,29 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     categorical = [c for c in categorical if c != key and c != target]
     # the pipeline makes several passes (one per indexer, then the model):
     # keep only the used columns, cached for the duration of the fit
-    data = balanced_for_training(_training_columns(df, preset, numeric, categorical, target, key))
+    data = balanced_for_training(_training_columns(df, preset, numeric, categorical, target, key), _rows_per_task(preset))
     try:
         pipeline = build_pipeline(preset, numeric, categorical, "label", data_shape(data, categorical), params)
-        model = pipeline.fit(data)
-        return _calibrated(model, pipeline, data) if preset.kind == "svc" else model
+        return _calibrated(pipeline, data) if preset.kind == "svc" else pipeline.fit(data)
     finally:
         data.unpersist()
 
 
+def _rows_per_task(preset: Preset) -> int:
+    """Linear margin models iterate hundreds of times over sums of all rows; trees and networks do much per row."""
+    return ROWS_PER_SUMMING_TASK if preset.kind in ("svc", "lr") else ROWS_PER_TASK
+
+
 CALIBRATION_FOLDS = 3
 
 
-def _calibrated(model: PipelineModel, pipeline: Pipeline, data: DataFrame) -> PipelineModel:
+def _calibrated(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
     """M6: a margin model with a fitted probability, as further stages of the model (saved and loaded with it).
 
     The logistic is fitted on out-of-fold margins: each row's margin comes from a model
     that did not train on it.  Rows are dealt to folds by a hash of their values.  Where
     some fold's training rows have one class only, margins are those of the model itself.
+    The fits are independent and run side by side.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorSlicer
@@ -210,9 +215,11 @@ def _calibrated(model: PipelineModel, pipeline: Pipeline, data: DataFrame) -> Pi
     labels = {label for _, label in counts}
     whole = all(any((f, x) in counts for f in range(CALIBRATION_FOLDS) if f != i) for i in range(CALIBRATION_FOLDS) for x in labels)
     slicer = VectorSlicer(inputCol="rawPrediction", outputCol="__margin", indices=[1])
-    if whole and len(labels) == 2:
-        parts = [slicer.transform(pipeline.fit(data.where(fold != i)).transform(data.where(fold == i))).select("__margin", "label")
-                 for i in range(CALIBRATION_FOLDS)]
+    folds = range(CALIBRATION_FOLDS) if whole and len(labels) == 2 else ()
+    with ThreadPoolExecutor(max_workers=1 + CALIBRATION_FOLDS) as pool:
+        model, *others = pool.map(pipeline.fit, [data, *[data.where(fold != i) for i in folds]])
+    if folds:
+        parts = [slicer.transform(other.transform(data.where(fold == i))).select("__margin", "label") for i, other in zip(folds, others)]
         margins = parts[0]
         for p in parts[1:]:
             margins = margins.unionByName(p)
@@ -357,7 +364,7 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
         combos = boosting.every_rounds(combos, space[boosting.ROUNDS])
     numeric = [c for c in numeric if c not in (key, target)]
     data = sp.stratified_kfold(_with_label(df, target), key, "label", folds, seed, col="__fold")
-    data = balanced_for_training(_training_columns(data, preset, numeric, categorical, target, key, "__fold"))
+    data = balanced_for_training(_training_columns(data, preset, numeric, categorical, target, key, "__fold"), _rows_per_task(preset))
     try:
         shape = data_shape(data, categorical)
         pipe = build_pipeline(preset, numeric, categorical, "label", shape)

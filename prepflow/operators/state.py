@@ -40,11 +40,13 @@ def freeze(df: DataFrame, checkpoint: bool = True) -> StateTable:
 
 
 ROWS_PER_TASK = 20_000
+# sums over all rows, once an iteration and without row samples: few rows per task make the tasks the cost
+ROWS_PER_SUMMING_TASK = 200_000
 MAX_TASKS = 4096
 
 
-def balanced_for_training(df: DataFrame) -> DataFrame:
-    """Persist a training frame, spread over one task per ``ROWS_PER_TASK`` rows.
+def balanced_for_training(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Persist a training frame, spread over one task per ``rows_per_task`` rows.
 
     Learners draw their row samples per partition, so rows are dealt by a hash of
     their values to a number of partitions that follows from the row count alone:
@@ -53,7 +55,7 @@ def balanced_for_training(df: DataFrame) -> DataFrame:
     """
     df = df.persist()
     try:
-        tasks = min(MAX_TASKS, max(1, -(-df.count() // ROWS_PER_TASK)))
+        tasks = min(MAX_TASKS, max(1, -(-df.count() // rows_per_task)))
         key = F.xxhash64(*[q(c) for c in df.columns])
         spread = df.repartition(tasks, key).sortWithinPartitions(key).persist()
         spread.count()
