@@ -36,8 +36,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -65,9 +67,15 @@ NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sp
                      "toolbar widget footer copyright contentinfo complementary alert".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
+# what a tag does; a name that is not here does nothing
+SPACE, SKIPS, NESTS, BREAKS = range(4)
+DOES = (dict.fromkeys(BLOCKS, BREAKS) | dict.fromkeys(CONTAINERS, NESTS) | dict.fromkeys(RAW, SKIPS)
+        | dict.fromkeys(("br", "td", "th"), SPACE))
+
 TAGS, OUTSIDE, INSIDE, PAGES = 0, 1, 2, 3  # kinds of tokens: openings, blocks outside and inside the main element
 COUNTED = "host string, token long, kind int, depth int, pages long, times long, r1 long, r2 long, words long"
 FLUSH_TOKENS = 400_000
+KNOWN_OPENINGS = 20_000  # openings and paths whose words and hashes are kept between pages
 KNOWN_WORDS = 200_000  # hashes of (path, word) kept between pages
 
 
@@ -98,6 +106,22 @@ def _not_main(word: str) -> bool:
     return first not in ("no", "has", "with", "without") and not NOT_MAIN.isdisjoint((first, *rest))
 
 
+@lru_cache(KNOWN_OPENINGS)
+def _opening(name: str, attributes: str, inside: bool, names: bool) -> tuple[str, bool]:
+    """The words of class, id and role of a container's opening, and whether its own name, words or state set it apart."""
+    words = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
+    own = bool(attributes and HIDDEN.search(attributes))
+    if names:
+        own = own or name in APART or name == "header" and not inside
+        own = own or name not in ("html", "body") and any(_not_main(w) for w in words.split())
+    return words, own
+
+
+@lru_cache(KNOWN_OPENINGS)
+def _path_token(path: str) -> int:
+    return _hash(path)
+
+
 def blocks_of(html: str, names: bool = True) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
     """(kind, path, text, apart, inside main, open) of openings (text empty) and blocks, in page order.
 
@@ -106,52 +130,60 @@ def blocks_of(html: str, names: bool = True) -> Iterator[tuple[int, str, str, bo
     times: dict[str, int] = {}
     pieces: list[str] = []
     tag, at, end = "", 0, len(html)
+    find, match = html.find, TAG.match
 
-    def block() -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
-        if pieces:
-            text = " ".join(unescape("".join(pieces)).split())
-            pieces.clear()
-            if text:
-                _, path, apart, inside, opened = stack[-1]
-                yield (INSIDE if inside else OUTSIDE), f"{path}/{tag}", text, apart, inside, opened
+    def block() -> tuple[int, str, str, bool, bool, tuple[int, ...]] | None:
+        text = " ".join(unescape("".join(pieces)).split())
+        pieces.clear()
+        if not text:
+            return None
+        _, path, apart, inside, opened = stack[-1]
+        return (INSIDE if inside else OUTSIDE), f"{path}/{tag}", text, apart, inside, opened
 
     while at < end:
-        less = html.find("<", at)
+        less = find("<", at)
         if less < 0:
             pieces.append(html[at:])
             break
         if less > at:
-            pieces.append(html[at:less])
-        if html.startswith("<!--", less):
-            at = html.find("-->", less + 4) + 3
-            if at < 3:
-                break
-            continue
-        if html.startswith(("<!", "<?"), less):
-            at = html.find(">", less) + 1
-            if at < 1:
-                break
-            continue
-        m = TAG.match(html, less)
+            piece = html[at:less]
+            if pieces or not piece.isspace():  # white space before a block's text is trimmed
+                pieces.append(piece)
+        m = match(html, less)
         if m is None:
-            pieces.append("<")
-            at = less + 1
+            if html.startswith("<!--", less):
+                at = find("-->", less + 4) + 3
+                if at < 3:
+                    break
+            elif html.startswith(("<!", "<?"), less):
+                at = find(">", less) + 1
+                if at < 1:
+                    break
+            else:
+                pieces.append("<")
+                at = less + 1
             continue
         at = m.end()
-        closing, name, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        closing, name, attributes = m.group(1, 2, 3)
+        if name is None:
+            closing, name, attributes = m.group(4, 5, 6)
         name = name.lower()
-        if name == "br" or name in ("td", "th"):
+        does = DOES.get(name)
+        if does is None:
+            continue
+        if does == SPACE:
             pieces.append(" ")
             continue
-        if name in RAW and not closing:
+        if does == SKIPS and not closing:
             close = re.compile(f"</{name}\\b", re.I).search(html, at)
             at = end if close is None else close.start()
             continue
         if name not in BLOCKS:
             continue
-        yield from block()
+        if pieces and (found := block()):
+            yield found
         tag = "" if closing else name
-        if name not in CONTAINERS:
+        if does != NESTS:
             continue
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -160,19 +192,16 @@ def blocks_of(html: str, names: bool = True) -> Iterator[tuple[int, str, str, bo
                     break
             continue
         _, path, apart, inside, opened = stack[-1]
-        words = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-        own = bool(attributes and HIDDEN.search(attributes))
-        if names:
-            own = own or name in APART or name == "header" and not inside
-            own = own or name not in ("html", "body") and any(_not_main(w) for w in words.split())
+        words, own = _opening(name, attributes, inside, names)
         path = f"{path}/{name}" + (f".{words}" if words else "")
         times[path] = n = times.get(path, 0) + 1
         path = f"{path}#{n}"
-        opened = (*opened, _hash(path))
+        opened = (*opened, _path_token(path))
         if not attributes.endswith("/") or name not in VOID:
             stack.append((name, path, apart or own, inside or names and name in MAIN, opened))
         yield TAGS, path, "", apart or own, inside, opened
-    yield from block()
+    if pieces and (found := block()):
+        yield found
 
 
 class _Tokens(dict):
@@ -234,32 +263,39 @@ def _frequent_here(names: bool, share: float):
     kept back can have (``slack``); token 0 stands for the group itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[str, dict[int, int]] = {}
-        words, size = _Words(), 0
+        # host: counts by path of its words, as they stand, and at "" of its openings' tokens and of the pages (0)
+        groups: dict[str, dict[str, Counter]] = {}
+        size = 0
 
         def flush() -> pa.RecordBatch:
             rows = []
             for host, counts in groups.items():
-                least = share * counts[0]
+                least = share * counts[""][0]
                 slack = math.ceil(least) - 1
-                rows += [(host, token, n, slack) for token, n in counts.items() if n >= least]
+                for path, own in counts.items():
+                    often = [(key, n) for key, n in own.items() if n >= least]
+                    if path:  # only these words are hashed
+                        token = _Tokens(path)
+                        often = [(token[word], n) for word, n in often]
+                    rows += [(host, token, n, slack) for token, n in often]
             groups.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
                 pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "token", "n", "slack"])
 
         for b in batches:
             for host, html in zip(b.column(0).to_pylist(), b.column(2)):
-                seen = {0}
+                seen: dict[str, set] = {"": {0}}
                 for kind, path, text, _, _, opened in blocks_of(html.as_py() or "", names):
                     if kind == TAGS:
-                        seen.add(opened[-1])
+                        seen[""].add(opened[-1])
                     else:
-                        seen.update(words.of(path, text))
+                        seen.setdefault(path, set()).update(text.split(" "))
                 counts = groups.setdefault(host, {})
-                size -= len(counts)
-                for token in seen:
-                    counts[token] = counts.get(token, 0) + 1
-                size += len(counts)
+                for path, keys in seen.items():
+                    own = counts.setdefault(path, Counter())
+                    size -= len(own)
+                    own.update(keys)
+                    size += len(own)
                 if size >= FLUSH_TOKENS:
                     yield flush()
                     size = 0

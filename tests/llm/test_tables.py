@@ -359,3 +359,22 @@ def test_pipeline_stages(spark):
     for p in pieces:
         by[p.doc_id] += p.length
     assert by == {p.doc_id: copies[p.doc_id] * p.doc_tokens for p in pieces}
+
+
+def test_first_count_hashes_frequent_words_alone(monkeypatch):
+    import pyarrow as pa
+    from prepflow.llm import html_extract as he
+    made, hashed = [], he._Tokens.__missing__
+    monkeypatch.setattr(he._Tokens, "__missing__", lambda self, word: (made.append(word), hashed(self, word))[1])
+    pages = [f"<body><nav>Home About</nav><p>Only {i} here{i} &amp; there{i}</p>\n <p>Home</p></body>" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * 40), pa.array(range(40)), pa.array(pages)], ["host", "page", "html"])
+    rows = [tuple(r.values()) for b in he._frequent_here(True, 0.5)(iter([batch])) for r in b.to_pylist()]
+    assert len(made) < 10
+    seen = {}
+    for page in pages:
+        tokens = {0}
+        for kind, path, text, _, _, opened in he.blocks_of(page):
+            tokens |= {opened[-1]} if kind == he.TAGS else {he._Tokens(path)[w] for w in text.split()}
+        for t in tokens:
+            seen[t] = seen.get(t, 0) + 1
+    assert sorted(rows) == sorted(("h", t, n, 19) for t, n in seen.items() if n >= 20)
