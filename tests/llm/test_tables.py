@@ -378,3 +378,30 @@ def test_first_count_hashes_frequent_words_alone(monkeypatch):
         for t in tokens:
             seen[t] = seen.get(t, 0) + 1
     assert sorted(rows) == sorted(("h", t, n, 19) for t, n in seen.items() if n >= 20)
+
+
+def test_rounds_of_few_edges_take_few_tasks(spark, monkeypatch):
+    from prepflow.llm import components as co
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts, write = [], co.frozen
+    monkeypatch.setattr(co, "frozen", lambda df: (out := write(df), parts.append(out.rdd.getNumPartitions()))[0])
+    try:
+        rng = random.Random(4)
+        pairs = [(i, i + 1) for i in range(1, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
+        for per_task, tasks in ((100_000, 1), (40, 16)):
+            monkeypatch.setattr(co, "EDGES_PER_TASK", per_task)
+            parts.clear()
+            edges = spark.createDataFrame(pairs, "u long, v long").repartition(16)
+            found = {r["node"]: r["root"] for r in co.components(edges).collect()}
+            assert len(parts) > 2 and max(parts[1:]) <= tasks
+            up = {x: x for p in pairs if p[0] != p[1] for x in p}
+            for _ in up:
+                for u, v in pairs:
+                    if u != v:
+                        up[u] = up[v] = min(up[u], up[v])
+            assert found == up
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
