@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from ..functions.columns import q
 from . import boosting
 from . import evaluate as ev
+from . import forest_rows
 from . import split as sp
 from .encode import ordinal_indexers
 from .state import ROWS_PER_SUMMING_TASK, ROWS_PER_TASK, balanced_for_training, freeze
@@ -187,6 +188,8 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     data = balanced_for_training(_training_columns(df, preset, numeric, categorical, target, key), _rows_per_task(preset))
     try:
         pipeline = build_pipeline(preset, numeric, categorical, "label", data_shape(data, categorical), params)
+        if preset.kind == "rf" and forest_rows.grows(pipeline.getStages()[-1], data):
+            return forest_rows.fit_forest(pipeline, data)
         return _calibrated(pipeline, data) if preset.kind == "svc" else pipeline.fit(data)
     finally:
         data.unpersist()
@@ -345,7 +348,8 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
 
     Boosted trees without early stop are trained once for all combinations that differ
     in rounds alone, and ``all_rounds`` adds to each combination the other rounds of the
-    space (see ``boosting``); other models go through ``CrossValidator(foldCol=...)``.
+    space (see ``boosting``).  Forests of two classes share trees among combinations that differ
+    in depth or number of trees (see ``forest_rows``); other models go through ``CrossValidator(foldCol=...)``.
 
     ``results``: ``combination, params, accuracy, is_original, rank`` sorted by
     accuracy (ties to the lower index); with ``include_base`` the preset's
@@ -378,6 +382,9 @@ def random_search(df: DataFrame, preset: Preset | str, numeric: Sequence[str], c
         if prefixes:
             accuracies = boosting.fold_accuracies(data, pipe, combos, "__fold", folds, parallelism=parallelism)
             best = pipe.fit(data, maps[max(range(len(combos)), key=accuracies.__getitem__)])
+        elif preset.kind == "rf" and forest_rows.grows(clf, data, combos, folds):
+            accuracies = forest_rows.fold_accuracies(data, pipe, combos, "__fold", folds, parallelism)
+            best = forest_rows.fit_forest(pipe, data, combos[max(range(len(combos)), key=accuracies.__getitem__)])
         else:
             cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), foldCol="__fold",
                                 numFolds=folds, parallelism=parallelism, seed=seed,
