@@ -188,8 +188,6 @@ def train(df: DataFrame, preset: Preset | str, numeric: Sequence[str], categoric
     data = balanced_for_training(_training_columns(df, preset, numeric, categorical, target, key), _rows_per_task(preset))
     try:
         pipeline = build_pipeline(preset, numeric, categorical, "label", data_shape(data, categorical), params)
-        if preset.kind == "rf" and forest_rows.grows(pipeline.getStages()[-1], data):
-            return forest_rows.fit_forest(pipeline, data)
         return _calibrated(pipeline, data) if preset.kind == "svc" else pipeline.fit(data)
     finally:
         data.unpersist()
