@@ -37,7 +37,7 @@ FEWEST_ROWS = 50          # with fewer a bootstrap may be empty
 ROWS_PER_CHUNK = 4096     # several chunks a task of ``balanced_for_training``, while the rows are few
 ROWS_PER_LARGE_CHUNK = 20_000
 MANY_ROWS = 100_000
-ROWS_PER_NODE = 20_000
+ROWS_PER_NODE = 100_000   # some 10 bytes a row
 TREES_PER_BATCH = 20
 SHARED = {"numTrees", "maxDepth", "minInstancesPerNode"}
 KNOWN = SHARED | {"seed", "maxBins", "maxMemoryInMB", "cacheNodeIds", "featuresCol", "labelCol"}
@@ -137,8 +137,8 @@ def histograms(slot: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, tr
 
 
 def _gini(c: np.ndarray) -> np.ndarray:
-    share = c / np.maximum(c.sum(-1, keepdims=True), 1e-300)
-    return 1.0 - share[..., 0] ** 2 - share[..., 1] ** 2
+    n = np.maximum(c[..., 0] + c[..., 1], 1e-300)
+    return 1.0 - (c[..., 0] / n) ** 2 - (c[..., 1] / n) ** 2
 
 
 def best_splits(hist: np.ndarray, tried: np.ndarray, categorical: np.ndarray, least: int):
@@ -148,14 +148,14 @@ def best_splits(hist: np.ndarray, tried: np.ndarray, categorical: np.ndarray, le
     order = np.broadcast_to(np.arange(width), (nodes, k, width))
     nominal = categorical[tried]
     if nominal.any():
-        by = np.where(hist.sum(-1) > 0, hist[..., 1], np.inf)
+        by = np.where(hist[..., 0] + hist[..., 1] > 0, hist[..., 1], np.inf)
         order = np.where(nominal[..., None], np.argsort(by, axis=-1, kind="stable"), order)
         hist = np.take_along_axis(hist, order[..., None], axis=2)
     left = np.cumsum(hist, axis=2)
     total = left[:, :1, -1:, :]
     left = left[:, :, :-1]
     right = total - left
-    nl, nr, n = left.sum(-1), right.sum(-1), total.sum(-1)
+    nl, nr, n = (c[..., 0] + c[..., 1] for c in (left, right, total))
     gain = _gini(total) - nl / n * _gini(left) - nr / n * _gini(right)
     gain[(nl < least) | (nr < least)] = -np.inf
     gain = gain.reshape(nodes, -1)
@@ -287,27 +287,27 @@ def _top_levels(chunks: DataFrame, jobs: DataFrame, growth: Growth, variants: Se
         if not big:
             return tops
 
-        def tried(least: int, t: int, node: int) -> np.ndarray:
-            return growth.tried(np.random.default_rng([growth.seed, t, least, node]), 1)
+        def tried(least: int, t: int) -> np.ndarray:
+            return np.concatenate([growth.tried(np.random.default_rng([growth.seed, t, least, int(v)]), 1) for v in big[least, t]])
 
-        def count(r, t, x, y, w, node, big=big):
+        def count(r, t, x, y, w, node):
             at = big[r.least, t]
-            slots = np.full(len(tops[r.least, t]["feature"]), -1, np.int64)
+            slots = np.full(node.max(initial=at.max()) + 1, -1, np.int64)
             slots[at] = np.arange(len(at))
             rows = np.flatnonzero(slots[node] >= 0)
-            h = histograms(slots[node[rows]], x[rows], y[rows], w[rows], np.concatenate([tried(r.least, t, int(v)) for v in at]), width)
-            return [{"least": r.least, "tree": t, "node": int(v), "h": own.astype(np.int32).tobytes()} for v, own in zip(at, h) if own.any()]
+            h = histograms(slots[node[rows]], x[rows], y[rows], w[rows], tried(r.least, t), width)
+            return [{"least": r.least, "tree": t, "h": h.astype(np.int32).tobytes()}]
 
         def choose(b: pd.DataFrame) -> pd.DataFrame:
-            least, t, node = (int(b[c].iloc[0]) for c in ("least", "tree", "node"))
-            h = reduce(np.add, (np.frombuffer(h, np.int32).astype(float) for h in b["h"])).reshape(1, growth.per_node, width, 2)
-            gain, feature, goes, left = best_splits(h, tried(least, t, node), categorical, least)
-            return pd.DataFrame({"least": [least], "tree": [t], "node": [node], "gain": gain, "feature": feature,
-                                 "goes": [goes[0].tobytes()], "left": [left[0].tolist()]})
+            least, t = int(b["least"].iloc[0]), int(b["tree"].iloc[0])
+            h = reduce(np.add, (np.frombuffer(h, np.int32).astype(float) for h in b["h"])).reshape(-1, growth.per_node, width, 2)
+            gain, feature, goes, left = best_splits(h, tried(least, t), categorical, least)
+            return pd.DataFrame({"least": least, "tree": t, "node": big[least, t], "gain": gain, "feature": feature,
+                                 "goes": [g.tobytes() for g in goes], "left": left.tolist()})
         live = {k: tops[k] for k in big}
         wanted = jobs.where(F.col("least").isin([k[0] for k in big]))
-        counts = _drawn(chunks, wanted, growth, live, count, "least int, tree int, node int, h binary", tasks)
-        splits = counts.groupBy("least", "tree", "node").applyInPandas(
+        counts = _drawn(chunks, wanted, growth, live, count, "least int, tree int, h binary", tasks)
+        splits = counts.groupBy("least", "tree").applyInPandas(
             choose, "least int, tree int, node int, gain double, feature int, goes binary, left array<double>").collect()
         by = defaultdict(list)
         for r in splits:
