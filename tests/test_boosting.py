@@ -75,3 +75,25 @@ def test_search_agrees_with_cross_validation(spark, rows):
     top = dict(eval(next(r.params for r in found if r["rank"] == 1)))
     assert best.stages[-1].getNumTrees == top["maxIter"]
     prepared.unpersist()
+
+
+def test_passenger_model_trains_all_rounds_of_the_preset(spark, monkeypatch):
+    """Neither fewer rounds nor another rate: what reaches the learner is the preset."""
+    from prepflow.plans import pipeline as pl
+    from prepflow.plans import q_models
+    tree = spark.createDataFrame([(str(i), i % 5 and "train" or "test", float(i), "ab"[i % 2], i % 3 == 0) for i in range(40)],
+                                 "PassengerId string, split string, Age double, Deck string, Transported boolean")
+    seen = []
+
+    class Trained(Exception):
+        pass
+
+    def fit(self, data):
+        seen.append((self.getMaxIter(), self.getStepSize(), self.getMaxDepth(), data.count()))
+        raise Trained
+
+    monkeypatch.setattr(pl, "prepare", lambda *a, **k: pl.Prepared(tree, tree))
+    monkeypatch.setattr(GBTClassifier, "_fit", fit)
+    with pytest.raises(Trained):
+        q_models.q_passenger_model(spark, "/root/testdata/sf0.001")
+    assert seen == [(1500, 0.01, 5, 32)]
