@@ -55,6 +55,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import q
 from .common import Recent, frozen, ids_name_rows, packed, small_side, unpacked
 from .components import components
+from .membership import near, staying
 
 HOT_BITS = 22
 HOT_BUFFER = 6_000_000  # elements counted together in a task
@@ -191,7 +192,11 @@ def _common_elements(facts: DataFrame, documents: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ second reading: signatures
 def signatures(s: np.ndarray, similarity: Similarity, common: np.ndarray) -> np.ndarray:
-    """Signatures of a sorted set; sets that link share at least one."""
+    """Signatures of a sorted set; sets that link share at least one.
+
+    Where fewer parts are empty than agree, as many of the last ones are spared as leave one sure to agree: of two sets,
+    the one that spares more agrees in more of the parts before than it has empty ones there, and the other sends those too.
+    """
     slot = s >> np.uint64(64 - HOT_BITS)
     own = s[(common[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 0]
     out = []
@@ -204,9 +209,10 @@ def signatures(s: np.ndarray, similarity: Similarity, common: np.ndarray) -> np.
             empty = cuts[1:] == cuts[:-1]
             name = np.uint64((size_class * 2 + scheme) << 32) + np.arange(parts, dtype=np.uint64)
             all_parts = _mix(sums + _mix(name + np.uint64(1)))
-            short = int(empty.sum()) >= agree
-            out.append(all_parts if short and scheme else all_parts[~empty])
-            if not short:
+            spare = agree - 1 - int(empty.sum())
+            out.append(all_parts if spare < 0 and scheme else all_parts[~empty])
+            if spare >= 0:
+                out[-1] = out[-1][:len(out[-1]) - spare]
                 break
     return np.concatenate(out)
 
@@ -382,7 +388,7 @@ def _link_groups(batches: Iterable[pa.RecordBatch], similarity: Similarity) -> I
 
 def _links(texts: DataFrame, members: DataFrame, rows: int, similarity: Similarity) -> DataFrame:
     """Edges inside the groups of ``members`` (``group, part, member, known``); texts are read again for their sets."""
-    placed = texts.join(small_side(members, rows), F.col("doc_id") == F.col("member")).select(
+    placed = near(texts, F.col("doc_id"), members.select("member"), rows).join(small_side(members, rows), F.col("doc_id") == F.col("member")).select(
         "group", "part", "doc_id", "known", "text")
     sets = placed.mapInArrow(lambda b: _set_rows(b, similarity.words),
                              "group long, part long, doc_id long, known long, elements binary")
@@ -467,15 +473,16 @@ def keep_first(docs: DataFrame, similarity: Similarity = Similarity(5, 80)) -> D
     Rows without an id or a text are components of their own, and all stay.
     """
     if ids_name_rows(docs, "doc_id", allow_null=True):
-        found = frozen(near_duplicates(docs, similarity))
-        late = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("id_"))
-        return docs.join(small_side(late, found.count()), docs["doc_id"] == late["id_"], "left_anti")
+        found = near_duplicates(docs, similarity).where(F.col("doc_id").isNotNull())
+        verdicts = frozen(found.select(F.col("doc_id").alias("id"), (F.col("component_id") == F.col("doc_id")).alias("stays")))
+        return staying(docs, q("doc_id").cast("long"), verdicts)
     hashed = F.xxhash64(*[q(c).cast("string") for c in docs.columns])
-    rows = _numbered(packed(docs, q("doc_id").cast("long").alias("doc_id"), q("text").cast("binary").alias("text"), hashed.alias("hash")))
-    classes = _classes(rows.select(F.col("number").alias("doc_id"), "text"), similarity).select(F.col("doc_id").alias("number_"), "root")
+    rows = _numbered(packed(docs, q("doc_id").cast("long").alias("doc_id"), hashed.alias("hash")))
+    texts = rows.select(F.col("number").alias("doc_id"), F.col("row")["text"].cast("binary").alias("text"))
+    classes = frozen(_classes(texts, similarity).select(F.col("doc_id").alias("number_"), "root"))
     order = F.struct("doc_id", "hash", "number")
-    best = (rows.select("doc_id", "hash", "number").join(classes, F.col("number") == F.col("number_"))
-            .groupBy("root").agg(F.min(order)["number"].alias("best")))
-    best = frozen(best.select("best"))
-    kept = rows.join(small_side(best, best.count()), F.col("number") == F.col("best"), "left_semi")
-    return unpacked(kept.unionByName(rows.where(F.col("number").isNull())), docs.columns)
+    placed = rows.select("doc_id", "hash", "number").join(classes, F.col("number") == F.col("number_"))
+    best = placed.groupBy("root").agg(F.min(order)["number"].alias("best")).select("best")
+    verdicts = frozen(classes.where(F.col("number_").isNotNull()).join(best, F.col("number_") == F.col("best"), "left")
+                      .select(F.col("number_").alias("id"), F.col("best").isNotNull().alias("stays")))
+    return unpacked(staying(rows, F.col("number"), verdicts), docs.columns)
