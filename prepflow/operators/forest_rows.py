@@ -408,7 +408,7 @@ def _per_node(features: int, trees: int) -> int:
 
 
 def fit_forest(pipeline: Pipeline, rows: DataFrame, params: dict | None = None) -> PipelineModel:
-    """``pipeline``, whose last stage is a random forest of two classes, fitted on ``rows``."""
+    """``pipeline``, whose last stage is a random forest of two classes, fitted on ``rows``; the forest stays in the shared folder."""
     clf = pipeline.getStages()[-1]
     clf = clf.copy({clf.getParam(k): v for k, v in (params or {}).items()})
     stages, train, bins = _prepared(pipeline, rows)
@@ -417,13 +417,41 @@ def fit_forest(pipeline: Pipeline, rows: DataFrame, params: dict | None = None)
     chunks = chunked(train, clf.getFeaturesCol(), clf.getLabelCol(), bins, _chunk(n)).persist()
     try:
         trees = grown_trees(chunks, growth, [clf.getMinInstancesPerNode()], clf.getNumTrees(), n)
-        return PipelineModel([*stages.stages, spark_model(clf, train, trees, growth)])
+        return StoredForestModel(stages.stages, saved_model(clf, train, trees, growth))
     finally:
         chunks.unpersist()
 
 
+class StoredForestModel(PipelineModel):
+    """A fitted pipeline that ends with the forest saved at ``path``.
+
+    The forest has as many nodes as rows and trees make, and Spark ML holds a model in the driver: it is
+    loaded when the stages are first asked for (to score, save or look at them), not before.
+    """
+
+    def __init__(self, prepare: Sequence, path: str):
+        self._prepare, self._forest, self.path = list(prepare), None, path
+        super().__init__([])
+
+    @property
+    def stages(self) -> list:
+        if self._forest is None:
+            self._forest = RandomForestClassificationModel.load(self.path)
+        return [*self._prepare, self._forest]
+
+    @stages.setter
+    def stages(self, own: Sequence) -> None:
+        if own:
+            *self._prepare, self._forest = own
+
+
 def spark_model(clf, train: DataFrame, trees: DataFrame, growth: Growth) -> RandomForestClassificationModel:
-    """``trees`` as a model of Spark ML, by way of its saved form in the shared checkpoint folder."""
+    """``trees`` as a model of Spark ML, held by the driver."""
+    return RandomForestClassificationModel.load(saved_model(clf, train, trees, growth))
+
+
+def saved_model(clf, train: DataFrame, trees: DataFrame, growth: Growth) -> str:
+    """Where ``trees`` lie as a saved model of Spark ML, in the shared checkpoint folder; the tasks write the nodes."""
     spark, bins, depth, width = train.sparkSession, growth.bins, growth.max_depth, growth.bins.width
     path = f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
     stub = clf.copy({clf.numTrees: 1, clf.maxDepth: 0}).fit(train)
@@ -462,7 +490,7 @@ def spark_model(clf, train: DataFrame, trees: DataFrame, growth: Growth) -> Rand
     meta = json.loads(spark.read.text(f"{path}/stub/metadata").first()[0])
     meta["numTrees"], meta["paramMap"] = count, {**meta["paramMap"], "numTrees": count, "maxDepth": depth}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/model/metadata")
-    return RandomForestClassificationModel.load(f"{path}/model")
+    return f"{path}/model"
 
 
 def _struct(columns: str) -> str:

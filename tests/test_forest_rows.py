@@ -83,6 +83,21 @@ def test_forests_do_not_come_from_cross_validation(data, monkeypatch):
     assert best.stages[-1].getNumTrees == top["numTrees"] and max(t.depth for t in best.stages[-1].trees) <= top["maxDepth"]
 
 
+def test_search_leaves_the_forest_in_the_shared_folder(data, monkeypatch, tmp_path):
+    """The best forest is grown and saved whole; the driver loads it once, when it is used."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    loaded, load = [], RandomForestClassificationModel.load
+    monkeypatch.setattr(RandomForestClassificationModel, "load", lambda path: loaded.append(path) or load(path))
+    found, best = mdl.random_search(data, "random_forest", ["x", "z"], ["c"], "y", "id",
+                                    space={"numTrees": [5], "maxDepth": [4], "minInstancesPerNode": [1]}, n_iter=1, folds=2)
+    assert found.count() == 1 and loaded == []
+    scored = best.transform(data).select("id", "prediction").collect()
+    assert len(scored) == 3000 and len(loaded) == 1 and best.stages[-1].getNumTrees == 5
+    mdl.save_model(best, str(tmp_path / "m"))
+    again = mdl.load_model(str(tmp_path / "m")).transform(data).select("id", "prediction").collect()
+    assert sorted(again) == sorted(scored)
+
+
 def test_forest_is_as_good_as_that_of_spark(data):
     """Bootstraps and tried features are drawn otherwise: equal in distribution."""
     rows, pipe = _parts(data, numTrees=40, maxDepth=6, minInstancesPerNode=2)
